@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from lineweave.llm import line_dedup
+from lineweave.llm import chat, line_dedup, quality, simhash, url_rules
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality": quality.op2_quality,
+    "op3_url_rules": url_rules.op3_url_rules,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_chat": chat.op5_chat,
+}
+ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op3_url_rules": url_rules.ORACLE,
+    "op5_chat": chat.ORACLE,
+}
