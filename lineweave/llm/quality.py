@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
 A text's tokens are its runs of word characters and its runs of other characters. Tokens and pairs of
-neighbouring tokens are hashed to 2**BUCKET_BITS features with value log(1 + count), scaled to length 1. Training is the
+neighbouring tokens are hashed to 2**BUCKET_BITS features whose counts are scaled to length 1. Training is the
 per-coordinate FTRL-proximal update (McMahan et al., 2013), one row after another, over a bounded sample of
 labelled rows; scoring is one sparse dot product per text.
 """
@@ -21,7 +21,7 @@ from lineweave.llm.tokens import hashed, mixed, pieces
 BUCKET_BITS = 18
 #: The most labelled rows to learn from: the bound of the sample that the driver holds, in order of a hash.
 MAX_TRAIN = 8000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 0.001, 0.001
 KEEP_AT = 0.3
 
 
@@ -35,7 +35,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.concatenate([doc << BUCKET_BITS | (tokens >> shift).astype(np.int64), doc[inner] << BUCKET_BITS | (pairs >> shift).astype(np.int64)])
     keys, counts = np.unique(keys, return_counts=True)
     offsets = np.searchsorted(keys, np.arange(len(texts) + 1) << BUCKET_BITS)
-    values = np.log1p(counts)
+    values = counts.astype(float)
     squares = np.concatenate([[0.0], np.cumsum(values * values)])
     norm = np.sqrt(np.maximum(squares[offsets[1:]] - squares[offsets[:-1]], 1e-12))
     return keys & ((1 << BUCKET_BITS) - 1), values / np.repeat(norm, np.diff(offsets)), offsets
