@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineweave.llm import chat, line_dedup, quality, simhash, url_rules
+from lineweave.llm import bpe, chat, line_dedup, quality, simhash, topk, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat": chat.op5_chat,
+    "op7_topk": topk.op7_topk,
+    "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_url_rules": url_rules.ORACLE,
     "op5_chat": chat.ORACLE,
+    "op7_topk": topk.ORACLE,
 }
