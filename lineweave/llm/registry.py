@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineweave.llm import bpe, chat, line_dedup, quality, sampling, simhash, topk, url_rules
+from lineweave.llm import bpe, chat, line_dedup, packing, quality, sampling, simhash, topk, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat": chat.op5_chat,
+    "op6_packing": packing.op6_packing,
     "op7_topk": topk.op7_topk,
     "op9_bpe": bpe.op9_bpe,
     "op10_fingerprint": sampling.op10_fingerprint,
