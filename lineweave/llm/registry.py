@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineweave.llm import bpe, chat, line_dedup, packing, quality, sampling, simhash, topk, url_rules
+from lineweave.llm import bpe, chat, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_packing": packing.op6_packing,
     "op7_topk": topk.op7_topk,
+    "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
     "op10_fingerprint": sampling.op10_fingerprint,
 }
