@@ -4,7 +4,9 @@ Tokens are runs of the bytes that secrets are made of. Each is described by its
 cases, changes of class), its neighbours, the separator before it and features of the whole file, and the
 field tags it as the begin of a secret, its inside, or outside; Viterbi decodes each line. It is trained on a
 bounded sample whose labels are the pattern matches, so it learns what secrets look like and where they
-stand, and then finds such tokens where no pattern fits.
+stand, and then finds such tokens where no pattern fits. Each sampled text with secrets is learned from a second time with
+its secrets respelt in letters of both cases and digits, so that the field does not take hex digits for the
+only spelling.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "learned")
 LONG_HEX = re.compile(rb"[0-9a-f]{16}")
 
+SPELLING = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
 #: The most documents to learn from (in order of a hash), windows of a document, tokens of a window.
 MAX_DOCS, MAX_WINDOWS, WINDOW = 8000, 12, 9
 SLOTS, FEATURES, TAGS = 1 << 16, 7, 3  # tags: 0 begin, 1 inside, 2 outside
@@ -189,38 +193,63 @@ class Field:
         return tags
 
 
-def labels_of(tokens: Tokens, texts: list[str], raws: list[bytes]) -> np.ndarray:
-    """Tags by the base patterns: of each secret's tokens the first begins, the others are inside."""
+def secrets_in(text: str, raw: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the secrets that the base patterns find, without keyword and quote; none overlap."""
+    out: list[tuple[int, int]] = []
+    for _, end, _, start in base_spans(text, raw):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+        elif end > out[-1][1]:
+            out[-1] = (out[-1][0], end)
+    return out
+
+
+def respelt(text: str, secrets: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """text with each secret in random letters and digits of a random length, and where they are now."""
+    draw = np.random.default_rng(len(text))
+    parts, places, at, size = [], [], 0, 0
+    for start, end in secrets:
+        new = "".join(SPELLING[i] for i in draw.integers(0, len(SPELLING), draw.integers(16, 48)))
+        parts += [text[at:start], new]
+        size += start - at
+        places.append((size, size + len(new)))
+        size, at = size + len(new), end
+    return "".join([*parts, text[at:]]), places
+
+
+def labels_of(tokens: Tokens, texts: list[str], secrets: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Tags: of each secret's tokens the first begins, the others are inside."""
     tags = np.full(len(tokens.starts), OUTSIDE, np.int8)
-    for d, (text, raw) in enumerate(zip(texts, raws, strict=True)):
-        for _, end, _, start in base_spans(text, raw):
+    for d, (text, places) in enumerate(zip(texts, secrets, strict=True)):
+        for start, end in places:
             lo = tokens.offsets[d] + len(text[:start].encode())
             hi = lo + len(text[start:end].encode())
-            on = np.arange(np.searchsorted(tokens.ends, lo, "right"), np.searchsorted(tokens.starts, hi))
-            fresh = on[tags[on] == OUTSIDE]
-            tags[fresh] = INSIDE
-            if len(on) and len(fresh) and fresh[0] == on[0]:
-                tags[on[0]] = BEGIN
+            on = slice(np.searchsorted(tokens.ends, lo, "right"), np.searchsorted(tokens.starts, hi))
+            tags[on] = INSIDE
+            tags[on.start : min(on.start + 1, on.stop)] = BEGIN
     return tags
 
 
 def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, features, tags) of the training windows: those around secrets, and some drawn by hash."""
-    raws = [t.encode() for t in texts]
-    tokens = Tokens(raws)
-    tags = labels_of(tokens, texts, raws)
+    secrets = [secrets_in(t, t.encode()) for t in texts]
+    origin = [*range(len(texts)), *(i for i, s in enumerate(secrets) if s)]
+    twice = [respelt(texts[i], secrets[i]) for i in origin[len(texts) :]]
+    texts, secrets = texts + [t for t, _ in twice], secrets + [s for _, s in twice]
+    tokens = Tokens([t.encode() for t in texts])
+    tags = labels_of(tokens, texts, secrets)
     half, n = WINDOW // 2, len(tags)
     inner = np.arange(half, n - half)
     whole = inner[tokens.doc[inner - half] == tokens.doc[inner + half]]
-    key = mixed(whole.astype(np.uint64) + (tokens.doc[whole].astype(np.uint64) << np.uint64(32)))
+    key = mixed(whole.astype(np.uint64) - np.searchsorted(tokens.starts, tokens.offsets)[tokens.doc[whole]].astype(np.uint64))
     order = np.lexsort((key, tags[whole] != BEGIN, tokens.doc[whole]))
     whole = whole[order]
-    first = np.searchsorted(tokens.doc[whole], np.arange(len(texts)))
-    nth = np.arange(len(whole)) - first[tokens.doc[whole]] if len(whole) else whole
-    positives = np.bincount(tokens.doc[whole], tags[whole] == BEGIN, len(texts))[tokens.doc[whole]] if len(whole) else whole
+    doc = tokens.doc[whole]
+    nth = np.arange(len(whole)) - np.searchsorted(doc, np.arange(len(texts)))[doc]
+    positives = np.bincount(doc, tags[whole] == BEGIN, len(texts))[doc]
     centre = whole[nth < np.minimum(positives, MAX_WINDOWS - 4) + 4]
     at = centre[:, None] + np.arange(-half, half + 1)
-    return tokens.doc[centre], tokens.features[at], tags[at]
+    return np.array(origin)[tokens.doc[centre]], tokens.features[at], tags[at]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> Field:
