@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lineweave.llm import bpe, chat, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
     "op10_fingerprint": sampling.op10_fingerprint,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,

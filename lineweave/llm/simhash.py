@@ -24,42 +24,55 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import saved, table
 from lineweave.llm.components import star_components
+from lineweave.llm.tokens import mixed
 
 #: Fingerprints in a group, as planned, and the most that one task takes at a time.
 GROUP, TILE = 4096, 16384
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """SimHash of the word shingles of UTF-8 text: a bit is 1 if it is set in over half the hashes; 0 for no word."""
-    tokens = text.lower().split()
-    n = len(tokens)
-    if not n:
-        return 0
+def shingle_hashes(tokens: list[bytes], words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of each run of `words` tokens, blank-joined (of fewer tokens: all of them), some at a time."""
+    n, digest = len(tokens), xxhash.xxh64_intdigest
     if n < words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), seed)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+        yield np.array([digest(b" ".join(tokens), seed)], np.uint64)
+        return
+    joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, n)
     ends = np.cumsum(size + 1) - 1
     starts, ends = (ends - size)[: n - words + 1], ends[words - 1 :]
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), 1 << 15):
         spans = zip(starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], seed) for s, e in spans], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts), bitorder="little").tobytes(), "little")
+        yield np.array([digest(joined[s:e], seed) for s, e in spans], np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long. Null texts count as empty ones."""
+def fingerprint(text: bytes, words: int, seed: int = 42, wide: int = 1) -> list[int]:
+    """SimHash of the word shingles of UTF-8 text, A-Z lower-cased: a bit is 1 if it is set in over half of
+    the hashes; 0 for no word. Beyond the first, each of `wide` fingerprints scrambles the hashes anew."""
+    tokens = text.lower().split()
+    if not tokens:
+        return [0] * wide
+    counts, n = np.zeros((wide, 64), np.int64), 0
+    for hashes in shingle_hashes(tokens, words, seed):
+        n += len(hashes)
+        for k in range(wide):
+            part = mixed(hashes + np.uint64(k)) if k else hashes
+            counts[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+
+
+def fingerprints(docs: DataFrame, kinds: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, w1, w2, ...) as longs: fp is the first fingerprint. kinds: (words of a shingle, how many
+    fingerprints of it). Null texts count as empty ones."""
+    names = ["fp", *(f"w{i}" for i in range(1, sum(k for _, k in kinds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            found = np.fromiter((fingerprint(t or b"", words) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([[f for words, k in kinds for f in fingerprint(t or b"", words, wide=k)] for t in texts], np.uint64).reshape(-1, len(names))
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T)], ["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def spread(mask: int) -> list[int]:
@@ -107,10 +120,11 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = up[labels]
 
 
-def forest(fps: np.ndarray, mask: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct fingerprints: those linked to a smaller one within the group, and the root of each.
+def forest(fps: np.ndarray, mask: int, bits: int, wide: np.ndarray, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the rows that are linked to an earlier one within the group, and the root of each.
 
-    Links: at most `bits` differing bits and equal under mask. Roots are first in Gray order.
+    Links: fps equal under mask that differ in at most `bits` bits, and whose rows of wide (rows, words)
+    differ in at most wide_bits. Roots are first in Gray order.
     """
     order = spread(mask) + spread(~mask & (2**64 - 1))
     moved = np.zeros(len(fps), np.uint64)
@@ -119,8 +133,8 @@ def forest(fps: np.ndarray, mask: int, bits: int) -> tuple[np.ndarray, np.ndarra
     rank = moved.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    by = np.argsort(rank)
-    fps, moved = fps[by], moved[by]
+    by = np.argsort(rank, kind="stable")
+    wide, moved = wide[by], moved[by]
     n, top = len(fps), max(mask.bit_count(), 1)
     depths = [top, *range(top + 8, 57, 12), 64]
     starts, values = [], []
@@ -141,60 +155,94 @@ def forest(fps: np.ndarray, mask: int, bits: int) -> tuple[np.ndarray, np.ndarra
             count = below[level - 1][node + 1] - first
             query, spent = np.repeat(query, count), np.repeat(spent, count)
             node = ranges(first, count)
-            low = labels[starts[level][:-1]]
-            if level < len(depths) - 1:
-                low = np.minimum.reduceat(labels, starts[level][:-1])
-                low = np.where(low == np.maximum.reduceat(labels, starts[level][:-1]), low, -1)
+            low = np.minimum.reduceat(labels, starts[level][:-1])
+            low = np.where(low == np.maximum.reduceat(labels, starts[level][:-1]), low, -1)
             segment = np.uint64((1 << (depths[level] - depths[level - 1])) - 1)
             spent = spent + np.bitwise_count((moved[query] >> np.uint64(64 - depths[level]) ^ values[level][node]) & segment)
             on = (spent <= bits) & (starts[level][node + 1] > query + 1) & (low[node] != labels[query])
             query, node, spent = query[on], node[on], spent[on]
+        first = np.maximum(starts[-1][node], query + 1)
+        count = starts[-1][node + 1] - first
+        query, other = np.repeat(query, count), ranges(first, count)
+        if wide.shape[1]:
+            on = labels[query] != labels[other]
+            query, other = query[on], other[on]
+            on = np.bitwise_count(wide[query] ^ wide[other]).sum(1, dtype=np.int64) <= wide_bits
+            query, other = query[on], other[on]
         if len(query):
-            labels = merge(labels, query, node)
+            labels = merge(labels, query, other)
     linked = np.flatnonzero(labels != np.arange(n))
-    return fps[linked], fps[labels[linked]]
+    return by[linked], by[labels[linked]]
 
 
-def near_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b): forests over distinct fingerprints `fp` that connect just what links within `bits` connect.
+def near_links(distinct: DataFrame, bits: int, wide_bits: int = 0) -> DataFrame:
+    """(a, b): forests over the rows of distinct (node, fp, w1, ...) that connect just what links connect: at most
+    `bits` bits between fp, and wide_bits between all w together.
 
-    A group beyond TILE fingerprints (many near copies of one text) is cut into tiles by hash; each pair of
-    tiles is a task of its own, so none takes more than two tiles and no link is lost.
+    A group beyond TILE rows (many near copies of one text) is cut into tiles by hash; each pair of tiles is a
+    task of its own, so none takes more than two tiles and no link is lost.
     """
     masks = patterns(distinct.count(), bits)
+    own, wide = distinct.columns, [c for c in distinct.columns if c[0] == "w"]
     keys = F.array(*(F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("g")) for i, (_, x) in enumerate(masks)))
-    dealt = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.p", "k.g")
+    dealt = distinct.select(*own, F.explode(keys).alias("k")).select(*own, "k.p", "k.g")
     large = dealt.groupBy("p", "g").count().filter(F.col("count") > TILE)
     large = saved(large.select("p", "g", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large-groups")
     n_large = large.count()
     dealt = dealt.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     if n_large:
         side = F.broadcast(large) if n_large <= 1_000_000 else large
-        own = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
-        each = dealt.drop("i", "j").join(side, ["p", "g"], "left").withColumn("own", own)
+        tile = F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int")
+        each = dealt.drop("i", "j").join(side, ["p", "g"], "left").withColumn("own", tile)
         each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-        dealt = each.select("fp", "p", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        dealt = each.select(*own, "p", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(part["fp"].to_numpy().view(np.uint64), masks[part["p"].iat[0]][0], bits)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        fps = part["fp"].to_numpy().view(np.uint64)
+        more = np.ascontiguousarray(part[wide].to_numpy(np.int64)).view(np.uint64).reshape(len(part), len(wide))
+        a, b = forest(fps, masks[part["p"].iat[0]][0], bits, more, wide_bits)
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"a": node[a], "b": node[b]})
 
     return dealt.groupBy("p", "g", "i", "j").applyInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(made: DataFrame, bits: int, wide_bits: int = 0) -> DataFrame:
+    """made (doc_id, fp, w1, ...) and component_id, by the links of its distinct fingerprints."""
+    prints = made.columns[1:]
+    made = saved(made, "fingerprints")
+    node = F.xxhash64(*prints) if len(prints) > 1 else F.col("fp")
+    firsts = saved(made.groupBy(*prints).agg(F.min("doc_id").alias("first")).withColumn("node", node), "distinct")
+    stars = star_components(near_links(firsts.select("node", *prints), bits, wide_bits).distinct())
+    least = stars.join(firsts, "node").groupBy("root").agg(F.min("first").alias("low"))
+    linked = stars.join(least, "root").select("node", "low")
+    named = firsts.join(linked, "node", "left").select(*prints, F.coalesce("low", "first").alias("component_id"))
+    return made.join(named, prints).select(*made.columns, "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): a row per document; component_id is the smallest id that links reach.
 
+    Documents link if their fingerprints differ in at most `bits` bits.
     Null and empty texts, and those of white space, have fingerprint 0 and link like any other. Repeated rows
     stay repeated. A null id is no candidate for component_id, which is null if a component has no other.
     """
-    made = saved(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    firsts = saved(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    stars = star_components(near_links(firsts.select("fp"), bits).distinct())
-    least = stars.join(firsts, stars.node == firsts.fp).groupBy("root").agg(F.min("first").alias("low"))
-    linked = stars.join(least, "root").select(F.col("node").alias("fp"), "low")
-    named = firsts.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(fingerprints(docs, [(words, 1)], id_col, text_col), bits)
+
+
+#: Fingerprints of the single words that near copies share but for so many bits, and how many of the shingles.
+WORD_BITS, WIDE = 6, 3
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): as `near_duplicates`, for similarities that leave many bits of 64 different.
+
+    A link needs this share of equal bits among the WIDE * 64 bits of the fingerprints of the word shingles. A search for so
+    many differing bits would prune nothing, so the index holds the fingerprints of the single words, which
+    edits change far less: near copies differ in WORD_BITS of its bits at most. Each candidate is checked.
+    """
+    made = fingerprints(docs, [(1, 1), (words, WIDE)], id_col, text_col)
+    return grouped(made, WORD_BITS, int((1 - similarity) * WIDE * 64)).select("doc_id", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

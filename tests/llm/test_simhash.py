@@ -34,7 +34,7 @@ def brute_components(fps, bits):
 
 @pytest.mark.parametrize("text", ["", " \t\n", "One", "a b c", "A b C d", "a b a b a b a b", "É é x y z w", "w " * 3000])
 def test_fingerprint_equals_brute_force(text):
-    assert simhash.fingerprint(text.encode(), 4) == brute_print(text, 4)
+    assert simhash.fingerprint(text.encode(), 4) == [brute_print(text, 4)]
 
 
 @pytest.mark.parametrize("tile", [8, 16384])
@@ -49,7 +49,7 @@ def test_links_equal_brute_force(spark, monkeypatch, tile):
             fps.add(x)
             x ^= sum(1 << int(b) for b in set(draw.integers(0, 64, draw.integers(1, 7)).tolist()))
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
+    df = spark.createDataFrame([(simhash.signed(x), simhash.signed(x)) for x in fps], "node long, fp long")
     stars = {r.node: r.root for r in star_components(simhash.near_links(df, 4)).collect()}
     groups = {}
     for x, want in zip(fps, brute_components(fps, 4), strict=True):
@@ -72,3 +72,16 @@ def test_long_chain_is_one_component(spark):
     got = star_components(edges).collect()
     assert len(got) == 201 and {r.root for r in got} == {0}
     assert star_components(edges.limit(0)).count() == 0
+
+
+def test_similar_documents_takes_edited_copies_and_leaves_others(spark):
+    draw = np.random.default_rng(3)
+    vocabulary = ["".join(map(chr, draw.integers(97, 123, 6))) for _ in range(400)]
+    texts = [" ".join(draw.choice(vocabulary, 300)) for _ in range(12)]
+    rows = list(enumerate(texts))
+    for i in (0, 1, 2):
+        tokens = texts[i].split()
+        tokens[50], tokens[150] = "edited", "again"
+        rows += [(100 + i, " ".join(tokens)), (200 + i, texts[i].upper())]
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: i % 100 for i, _ in rows}
