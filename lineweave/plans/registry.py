@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lineweave.plans import line_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (line_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
