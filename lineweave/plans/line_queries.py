@@ -221,13 +221,13 @@ def mixed_source_coalesce(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT s_nationkey AS k, max(s_acctbal) AS bal, count(*)::BIGINT AS suppliers FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1),
-c AS (SELECT c_nationkey AS k, max(c_acctbal) AS bal, count(*)::BIGINT AS customers FROM customer WHERE c_nationkey % 4 <> 0 GROUP BY 1)
+    """WITH s AS (SELECT s_nationkey AS k, max(s_acctbal) AS bal, count(*)::BIGINT AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1),
+c AS (SELECT c_nationkey AS k, max(c_acctbal) AS bal, count(*)::BIGINT AS customers FROM customer WHERE c_acctbal < 3000 GROUP BY 1)
 SELECT k, coalesce(s.bal, c.bal) AS bal, suppliers, customers FROM s FULL JOIN c USING (k)"""
 )
 def combine_first_outer(spark, d):
-    s = load(spark, d, "supplier").filter("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("bal"), F.count("*").alias("suppliers"))
-    c = load(spark, d, "customer").filter("c_nationkey % 4 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("bal"), F.count("*").alias("customers"))
+    s = load(spark, d, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("bal"), F.count("*").alias("suppliers"))
+    c = load(spark, d, "customer").filter("c_acctbal < 3000").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("bal"), F.count("*").alias("customers"))
     return C.combine_first(s, c, ["k"])
 
 
@@ -314,9 +314,9 @@ def noise_permute(spark, d):
     return _told(pairs(spark, d).withColumn("words", S.permute_tokens(X.tokens("src"), 3, "move", *_key())).filter(F.size("words") > 0))
 
 
-@query("SELECT doc_id, md5(replace(ltrim(replace(replace(replace(p, ' ', ''), '▁▀', ''), '▁', ' ')), chr(9), ' ')) AS text_md5 FROM (SELECT doc_id, '▁' || replace(substr(text, 1, 500), ' ', ' ▁') AS p FROM documents)")
+@query("SELECT doc_id, md5(replace(ltrim(replace(replace(replace(p, ' ', ''), '▁▀', ''), '▁', ' ')), chr(9), ' ')) AS text_md5 FROM (SELECT doc_id, '▁' || replace(text, ' ', ' ▁') AS p FROM documents)")
 def sp_decode(spark, d):
-    pieces = F.concat(F.lit("▁"), F.replace(F.substring("text", 1, 500), F.lit(" "), F.lit(" ▁")))
+    pieces = F.concat(F.lit("▁"), F.replace("text", F.lit(" "), F.lit(" ▁")))
     return load(spark, d, "documents").select("doc_id", F.md5(F.replace(X.decode_pieces(pieces), F.lit("\t"), F.lit(" ")).cast("binary")).alias("text_md5"))
 
 
