@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -74,13 +74,18 @@ def hashed(texts: list[bytes], by_kind: bool) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, starts, ends), np.searchsorted(starts, offsets)
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about `limit` bytes; a longer text is a run of its own."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > limit:
+def cut(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs that sum up to about `limit`; a larger item is a run of its own."""
+    lo, size, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        if i > lo and size + n > limit:
             yield lo, i
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n
+    if i >= lo:
+        yield lo, i + 1
+
+
+def pieces(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `limit` bytes; a longer text is a run of its own."""
+    return cut(map(len, texts), limit)
