@@ -62,23 +62,30 @@ def reply_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     known = keys.select("conv_id", F.col("node").alias("up"), F.lit(True).alias("known"))
     step = nodes.select("conv_id", "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"))
     step = step.join(known, ["conv_id", "up"], "left").select("conv_id", "node", F.expr("CASE WHEN known THEN up END").alias("up"), "sum", F.lit(1).cast("long").alias("depth"))
-    strides = [saved(step, "stride")]
-    while strides[-1].filter("up IS NOT NULL").limit(1).count():
+    now, strides, done = saved(step, "stride"), [], []
+    while True:
+        # conversations whose paths all end are set aside; within the others, only open strides are joined
+        live = now.filter("up IS NOT NULL").select("conv_id").distinct()
+        if not live.limit(1).count():
+            break
         if len(strides) > 62:
             raise ValueError("replies form a circle")
-        now = strides[-1]
+        done.append(now.join(live, "conv_id", "left_anti"))
+        now = now.join(live, "conv_id", "left_semi")
+        strides.append(now.filter("up IS NOT NULL"))
         ahead = now.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
-        step = now.join(ahead, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-        )
-        strides.append(saved(step, "stride"))
-    whole = strides.pop()
-    inner = strides[0].filter("up IS NOT NULL").select("conv_id", F.col("up").alias("node")).distinct() if strides else keys.limit(0)
+        step = strides[-1].join(ahead, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        now = saved(now.filter("up IS NULL").unionByName(step), "stride")
+    whole = now
+    for part in done:
+        whole = whole.unionByName(part)
+    whole = saved(whole, "depths")
+    inner = strides[0].select("conv_id", F.col("up").alias("node")).distinct() if strides else keys.limit(0)
     best = Window.partitionBy("conv_id").orderBy(F.desc("sum"), F.desc("depth"), "node")
     leaves = whole.join(inner, ["conv_id", "node"], "left_anti").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= paths)
     on = leaves.select("conv_id", F.col("node").alias("leaf"), "node")
     for stride in reversed(strides):
-        back = on.join(stride.filter("up IS NOT NULL").select("conv_id", "node", "up"), ["conv_id", "node"])
+        back = on.join(stride.select("conv_id", "node", "up"), ["conv_id", "node"])
         on = saved(on.union(back.select("conv_id", "leaf", F.col("up").alias("node"))), "path")
     return on.join(whole.select("conv_id", "node", "depth"), ["conv_id", "node"])
 
