@@ -137,4 +137,4 @@ def clean_rows(rows: DataFrame, columns: list[str], split: str = "split") -> Dat
 
 def drop_common_terms(rows: DataFrame, column: str, terms: list[str], sep: str = ";") -> DataFrame:
     """Rows none of whose variants is a common term."""
-    return rows.filter(~F.arrays_overlap(F.transform(F.split(column, sep), F.trim), F.array(*map(F.lit, terms))))
+    return rows.filter(~F.arrays_overlap(F.transform(F.split(column, sep), lambda t: F.trim(t)), F.array(*map(F.lit, terms))))
