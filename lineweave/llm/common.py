@@ -1,38 +1,6 @@
-"""Shared helpers: the cluster's shared folder, and tables written to it."""
+"""What the operators share with the rest of the library: tables, and results written to the shared folder."""
 
-from __future__ import annotations
+from lineweave.session import shared_dir, written as saved
+from lineweave.sources.tables import load as table
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master may go without the setting (tests); it then gets a folder of its own. Elsewhere a
-    machine-local folder would lose data, so the missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later passes neither recompute it nor depend on
-    the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lineweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["saved", "shared_dir", "table"]
