@@ -12,7 +12,8 @@ fingerprint at most), and the forests meet in `star_components`.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -60,15 +61,25 @@ def fingerprint(text: bytes, words: int, seed: int = 42, wide: int = 1) -> list[
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, kinds: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, w1, w2, ...) as longs: fp is the first fingerprint. kinds: (words of a shingle, how many
-    fingerprints of it). Null texts count as empty ones."""
-    names = ["fp", *(f"w{i}" for i in range(1, sum(k for _, k in kinds)))]
+def word_fingerprint(text: bytes, seed: int = 42) -> int:
+    """SimHash of the single words, each weighted by the root of its count: frequent words, which all texts of
+    a language share, then do not drown the others."""
+    counts = Counter(text.lower().split())
+    if not counts:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
+    weight = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * (weight @ bits) > weight.sum(), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(docs: DataFrame, make: Callable[[bytes], list[int]], names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, names): the fingerprints that make finds in each whole text, as longs. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            found = np.array([[f for words, k in kinds for f in fingerprint(t or b"", words, wide=k)] for t in texts], np.uint64).reshape(-1, len(names))
+            found = np.array([make(t or b"") for t in texts], np.uint64).reshape(-1, len(names))
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T)], ["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -136,7 +147,7 @@ def forest(fps: np.ndarray, mask: int, bits: int, wide: np.ndarray, wide_bits: i
     by = np.argsort(rank, kind="stable")
     wide, moved = wide[by], moved[by]
     n, top = len(fps), max(mask.bit_count(), 1)
-    depths = [top, *range(top + 8, 57, 12), 64]
+    depths = [top, *range(top + 2 * bits, 57, 2 * bits), 64]  # short steps could not exceed the limit
     starts, values = [], []
     for d in depths:
         head = moved >> np.uint64(64 - d)
@@ -227,11 +238,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     Null and empty texts, and those of white space, have fingerprint 0 and link like any other. Repeated rows
     stay repeated. A null id is no candidate for component_id, which is null if a component has no other.
     """
-    return grouped(fingerprints(docs, [(words, 1)], id_col, text_col), bits)
+    return grouped(fingerprints(docs, lambda t: fingerprint(t, words), ["fp"], id_col, text_col), bits)
 
 
 #: Fingerprints of the single words that near copies share but for so many bits, and how many of the shingles.
-WORD_BITS, WIDE = 6, 3
+WORD_BITS, WIDE = 8, 3
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +252,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     many differing bits would prune nothing, so the index holds the fingerprints of the single words, which
     edits change far less: near copies differ in WORD_BITS of its bits at most. Each candidate is checked.
     """
-    made = fingerprints(docs, [(1, 1), (words, WIDE)], id_col, text_col)
+    names = ["fp", *(f"w{i + 1}" for i in range(WIDE))]
+    made = fingerprints(docs, lambda t: [word_fingerprint(t), *fingerprint(t, words, wide=WIDE)], names, id_col, text_col)
     return grouped(made, WORD_BITS, int((1 - similarity) * WIDE * 64)).select("doc_id", "component_id")
 
 
