@@ -58,8 +58,9 @@ def hot_keys(lines: DataFrame) -> DataFrame | None:
     hot = [row.r for row in ranges.filter(F.col("count") >= least).collect()]
     if not hot:
         return None
-    found = lines.filter(F.shiftright("h1", 48).isin(hot)).groupBy("h1", "h2")
-    found = found.agg(F.count("*").alias("n"), F.count_distinct("d").alias("hot_docs"), F.max("d").alias("hot_last"))
+    # by document first: a hot key's documents are counted in many tasks, and only sums meet
+    each = lines.filter(F.shiftright("h1", 48).isin(hot)).groupBy("h1", "h2", "d").agg(F.count("*").alias("m"))
+    found = each.groupBy("h1", "h2").agg(F.sum("m").alias("n"), F.count("*").alias("hot_docs"), F.max("d").alias("hot_last"))
     return found.filter(F.col("n") >= least).drop("n")
 
 
