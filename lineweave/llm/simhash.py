@@ -12,7 +12,6 @@ fingerprint at most), and the forests meet in `star_components`.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import saved, table
 from lineweave.llm.components import star_components
+from lineweave.llm.similar import similar_documents  # noqa: F401
 from lineweave.llm.tokens import mixed
 
 #: Fingerprints in a group, as planned, and the most that one task takes at a time.
@@ -61,18 +61,6 @@ def fingerprint(text: bytes, words: int, seed: int = 42, wide: int = 1) -> list[
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def word_fingerprint(text: bytes, seed: int = 42) -> int:
-    """SimHash of the single words, each weighted by the root of its count: frequent words, which all texts of
-    a language share, then do not drown the others."""
-    counts = Counter(text.lower().split())
-    if not counts:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
-    weight = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * (weight @ bits) > weight.sum(), bitorder="little").view(np.uint64)[0])
-
-
 def fingerprints(docs: DataFrame, make: Callable[[bytes], list[int]], names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, names): the fingerprints that make finds in each whole text, as longs. Null texts count as empty."""
 
@@ -241,22 +229,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     return grouped(fingerprints(docs, lambda t: fingerprint(t, words), ["fp"], id_col, text_col), bits)
 
 
-#: Fingerprints of the single words that near copies share but for so many bits, and how many of the shingles.
-WORD_BITS, WIDE = 8, 3
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): as `near_duplicates`, for similarities that leave many bits of 64 different.
-
-    A link needs this share of equal bits among the WIDE * 64 bits of the fingerprints of the word shingles. A search for so
-    many differing bits would prune nothing, so the index holds the fingerprints of the single words, which
-    edits change far less: near copies differ in WORD_BITS of its bits at most. Each candidate is checked.
-    """
-    names = ["fp", *(f"w{i + 1}" for i in range(WIDE))]
-    made = fingerprints(docs, lambda t: [word_fingerprint(t), *fingerprint(t, words, wide=WIDE)], names, id_col, text_col)
-    return grouped(made, WORD_BITS, int((1 - similarity) * WIDE * 64)).select("doc_id", "component_id")
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
