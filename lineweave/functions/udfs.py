@@ -82,53 +82,31 @@ def quick_edits(a: list, b: list) -> int:
     return score
 
 
-def matched_places(a: list, b: list) -> tuple[set[int], set[int]]:
-    """The places of a and of b that a least edit script leaves as they are."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        above, row = rows[-1], [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        rows.append(row)
-    i, j, mine, theirs = len(a), len(b), set(), set()
-    while i and j:
-        if rows[i][j] == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            if a[i] == b[j]:
-                mine.add(i)
-                theirs.add(j)
-        elif rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return mine, theirs
-
-
 def ter_edits(hyp: list[str], ref: list[str], reach: int = 50, longest: int = 10) -> int:
     """Edits of TER (Snover et al., 2006): the shift that saves most is made as long as one saves more than it costs.
 
-    A shift moves a run of words that starts at a word out of place to where the same run stands in ref.
+    A shift moves a run of words, of any length up to longest, to where the same run stands in ref. It saves two edits
+    a word at most, so shifts that cannot beat the best one so far are passed over.
     """
     hyp, shifts = list(hyp), 0
     best = quick_edits(hyp, ref)
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(ref):
+        places.setdefault(w, []).append(j)
     while best:
-        mine, theirs = matched_places(hyp, ref)
-        open_places: dict[str, list[int]] = {}
-        for j, w in enumerate(ref):
-            if j not in theirs:
-                open_places.setdefault(w, []).append(j)
         found = None
         for i, w in enumerate(hyp):
-            for j in open_places.get(w, ()) if i not in mine else ():
+            for j in places.get(w, ()):
                 if i == j or abs(i - j) > reach:
                     continue
                 n = 0
                 while n < longest and i + n < len(hyp) and j + n < len(ref) and hyp[i + n] == ref[j + n]:
                     n += 1
-                for size in {1, n}:
-                    rest = hyp[:i] + hyp[i + size :]
+                    if best - 2 * n >= (found[0] if found else best - 1):
+                        continue
+                    rest = hyp[:i] + hyp[i + n :]
                     to = min(j, len(rest))
-                    moved = rest[:to] + hyp[i : i + size] + rest[to:]
+                    moved = rest[:to] + hyp[i : i + n] + rest[to:]
                     cost = quick_edits(moved, ref)
                     if cost + 1 < best and (found is None or cost < found[0]):
                         found = cost, moved

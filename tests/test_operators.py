@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,36 @@ def test_rank_biased_overlap():
     assert math.isclose(U.rbo_ext([{"a", "b"}, "c"], [{"b", "a"}, "c"]), 1.0)
 
 
+def all_shifts_ter(hyp, ref):
+    best, shifts = U.edit_counts(hyp, ref), 0
+    while best:
+        tried = []
+        for i in range(len(hyp)):
+            for j in range(len(ref)):
+                for n in range(1, 11):
+                    if i != j and abs(i - j) <= 50 and i + n <= len(hyp) and hyp[i : i + n] == ref[j : j + n]:
+                        rest = hyp[:i] + hyp[i + n :]
+                        tried.append(rest[:j] + hyp[i : i + n] + rest[j:])
+        costs = [U.edit_counts(m, ref) for m in tried]
+        if not costs or min(costs) + 1 >= best:
+            break
+        best, hyp, shifts = min(costs), tried[costs.index(min(costs))], shifts + 1
+    return best + shifts
+
+
+def test_ter_tries_every_shift():
+    draw = random.Random(4)
+    for _ in range(120):
+        ref = [str(draw.randrange(30)) for _ in range(16)]
+        hyp = [w for w in ref if draw.random() > 0.1]
+        for _ in range(2):
+            i, n = draw.randrange(len(hyp)), draw.randrange(1, 6)
+            part, hyp = hyp[i : i + n], hyp[:i] + hyp[i + n :]
+            at = draw.randrange(len(hyp) + 1)
+            hyp = hyp[:at] + part + hyp[at:]
+        assert U.ter_edits(hyp, ref) == all_shifts_ter(hyp, ref)
+
+
 def test_edit_functions():
     assert U.edit_counts(list("abcd"), list("acbd"), True) == 1 and U.edit_counts(list("abcd"), list("acbd")) == 2
     assert U.quick_edits(list("kitten"), list("sitting")) == 3 and U.quick_edits([], list("ab")) == 2
