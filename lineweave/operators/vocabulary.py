@@ -87,9 +87,9 @@ def verse_counts(lines: DataFrame, project: str, book: str, column: str) -> Data
 
 
 def verse_matrix(counts: DataFrame, project: str, book: str, books: list[str]) -> DataFrame:
-    """A row per project, a column per book and their total; a missing book counts 0."""
-    wide = counts.groupBy(project).pivot(book, books).agg(F.sum("verses")).na.fill(0)
-    return wide.withColumn("total", sum((F.col(b) for b in books[1:]), F.col(books[0])))
+    """A row per project, a column per book and the total of all books, listed or not; a missing book counts 0."""
+    each = [F.coalesce(F.sum(F.when(F.col(book) == b, F.col("verses"))), F.lit(0)).alias(b) for b in books]
+    return counts.groupBy(project).agg(*each, F.sum("verses").alias("total"))
 
 
 def verse_percentages(counts: DataFrame, project: str, book: str) -> DataFrame:

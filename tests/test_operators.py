@@ -12,6 +12,7 @@ from lineweave.operators import filters as R
 from lineweave.operators import lexicon as L
 from lineweave.operators import segmentation as G
 from lineweave.operators import splits as S
+from lineweave.operators import vocabulary as V
 
 
 def values(df, *order):
@@ -235,3 +236,8 @@ def test_drafts_prompts_and_planning(spark):
     assert found[0][0][0] == "z" and len(found) == 2
     marked = spark.createDataFrame([("v", 1, "t"), ("rem", 1, "x"), ("s", 1, "One. " * 60), ("v", 2, "u")], "marker string, chapter int, text string")
     assert D.needed_rows(marked, [1]).count() == 61
+
+
+def test_verse_matrix_totals_books_outside_the_list(spark):
+    counts = spark.createDataFrame([("en", "a", 2), ("en", "z", 5), ("de", "z", 1)], "lang string, book string, verses long")
+    assert values(V.verse_matrix(counts, "lang", "book", ["a", "b"]), "lang") == [("de", 0, 0, 1), ("en", 2, 0, 7)]
