@@ -1,6 +1,15 @@
-"""What the operators share with the rest of the library: tables, and results written to the shared folder."""
+"""What the operators share: tables, results written to the shared folder, and columns added by Arrow functions."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from lineweave.session import shared_dir, written as saved
 from lineweave.sources.tables import load as table
 
-__all__ = ["saved", "shared_dir", "table"]
+__all__ = ["added", "saved", "shared_dir", "table"]
+
+
+def added(docs: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType]:
+    """docs without a column of that name, and the schema with it at the end: an operator's column replaces one of docs."""
+    docs = docs.drop(name)
+    return docs, StructType([*docs.schema.fields, StructField(name, _parse_datatype_string(kind))])

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import table
+from lineweave.llm.common import added, saved, table
 from lineweave.llm.tokens import hashed, mixed, pieces
 
 BUCKET_BITS = 18
-#: The most labelled rows to learn from: the bound of the sample that the driver holds, in order of a hash.
-MAX_TRAIN = 8000
+#: The bounds of the sample that the driver holds: labelled rows, in order of a hash, and features of them all together.
+MAX_TRAIN, MAX_FEATURES = 8000, 16_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 0.001, 0.001
 KEEP_AT = 0.3
 
@@ -67,11 +67,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     return model.weights()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
-    """Weights learned from at most max_train rows of labels (id, 0 or 1), taken in order of the id's hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> np.ndarray:
+    """Weights learned from at most max_train rows of labels (id, 0 or 1), taken in order of the id's hash until their
+    texts (and one more) have max_features features: a text has two at most for each of its tokens.
 
-    Rows without an id or label, or without a document, are passed over; of repeated labels or documents the
-    largest counts. No row at all gives zero weights, so every text scores one half.
+    Rows without an id or label, or without a document, are passed over; of repeated labels the largest counts, of
+    documents that share an id the one of most features. No row at all gives zero weights, so every text scores one
+    half.
     """
     key = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).dropna()
     key = key.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_train)
@@ -88,18 +90,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), x) for x in (buckets, values)]
                 yield pa.record_batch([part.column(0), part.column(2), *lists], ["i", "y", "b", "v"])
 
-    found = texts.mapInArrow(sparse, "i long, y int, b array<int>, v array<float>").toArrow()
-    rows = zip(*(found.column(c).to_pylist() if c in "iy" else [np.asarray(x.values) for x in found.column(c)] for c in "iybv"), strict=True)
-    order = {}
-    for i, y, b, v in rows:
-        order[i] = max(order.get(i, (len(b), b.tobytes(), b, v, y)), (len(b), b.tobytes(), b, v, y), key=lambda r: r[:2])
-    shuffled = sorted(order, key=lambda i: int(mixed(np.array([i], np.int64).view(np.uint64))[0]))
-    return train([(order[i][2].astype(np.int64), order[i][3].astype(float), order[i][4]) for i in shuffled])
+    found = saved(texts.mapInArrow(sparse, "i long, y int, b array<int>, v array<float>"), "labelled")
+    sizes = found.groupBy("i").agg(F.max(F.size("b")).alias("n")).toArrow()
+    ids, n = (c.to_numpy() for c in sizes.columns)
+    by = np.argsort(mixed(ids.view(np.uint64)), kind="stable")
+    ids = ids[by][: int(np.searchsorted(np.cumsum(n[by]), max_features, "right")) + 1].tolist()
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "i long")
+    rows = found.join(F.broadcast(chosen), "i", "left_semi").toArrow()  # max_train ids
+    best: dict[int, tuple] = {}
+    for i, y, b, v in zip(rows.column("i").to_pylist(), rows.column("y").to_pylist(), rows.column("b"), rows.column("v"), strict=True):
+        b, v = np.asarray(b.values), np.asarray(v.values)
+        row = (len(b), b.tobytes(), v.tobytes(), b, v, y)
+        best[i] = max(best.get(i, row), row, key=lambda r: r[:3])
+    return train([(best[i][3].astype(np.int64), best[i][4].astype(float), best[i][5]) for i in ids])
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs and __score: the probability of label 1 of each whole text. Null and empty texts score the bias."""
-    schema = docs.schema
+    """docs and __score: the probability of label 1 of each whole text. Null and empty texts score the bias, repeated rows
+    score alike. A column of docs named __score is replaced."""
+    docs, schema = added(docs, "__score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**BUCKET_BITS + 1 floats
     at_text = docs.columns.index(text_col)
 
@@ -114,13 +123,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
                 out[lo:hi] = np.where(np.diff(offsets) > 0, sums, 0.0) + w[-1]
             yield pa.record_batch([*batch.columns, pa.array(1 / (1 + np.exp(-out)))], [*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(run, _with(schema, "__score", "double"))
-
-
-def _with(schema, name: str, kind: str):
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    return StructType([*schema.fields, StructField(name, _parse_datatype_string(kind))])
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

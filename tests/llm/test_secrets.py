@@ -73,3 +73,71 @@ def test_scan_and_redact(spark, field):
         assert got[i].kind == "kept"
     assert got[0].text == "" and got[1].text is None and got[5].text == "[X] cafe"
     assert S.scan(docs.limit(0), field).count() == 0
+
+
+def planted(names, alphabet, seed):
+    """(text, start, end) of texts with one secret that no base pattern fits whole."""
+    draw = np.random.default_rng(seed)
+    word = lambda: "".join(map(chr, draw.integers(97, 123, draw.integers(2, 9))))
+    out = []
+    for i in range(100):
+        secret = "".join(draw.choice(list(alphabet), 28))
+        head = " ".join(word() for _ in range(draw.integers(0, 12))) + f" {names[i % len(names)]}"
+        out.append((head + secret + " " + " ".join(word() for _ in range(8)), len(head), len(head) + 28))
+    return out
+
+
+def recall(field, cases):
+    found = S.find([t for t, *_ in cases], field)
+    return np.mean([any(s <= lo and e >= hi and k == 3 for s, e, k in spans) for spans, (_, lo, hi) in zip(found, cases, strict=True)])
+
+
+def test_field_finds_secrets_in_places_and_spellings_of_no_pattern(field):
+    """Recall on planted secrets, and no span at all on the same texts without them."""
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    for names, least in ((["key: ", "auth='", "bearer "], 0.9), ([""], 0.8)):
+        cases = planted(names, letters, 4)
+        assert recall(field, cases) >= least
+        assert not any(k == 3 for spans in S.find([t[:lo] + t[hi:] for t, lo, hi in cases], field) for *_, k in spans)
+
+
+def test_field_finds_a_kind_that_training_never_saw(spark):
+    """Lines with assignments are hidden from training, which then knows hex digits alone."""
+    draw = np.random.default_rng(6)
+    rows = [(i, f"some words of line {i}\nid {draw.integers(1 << 62):016x}{draw.integers(1 << 62):016x} and more words\npassword: 'x{i}'") for i in range(200)]
+    rows += [(i + 500, f"plain words number {i} without any, see page {i % 90} and call 555-{i:04d} or write to ann.{i}@mail.org today") for i in range(200)]
+    hidden = S.fit(spark.createDataFrame(rows, "doc_id long, text string"), kinds=("hex",))
+    cases = [(f'a line with secret = "{"".join(draw.choice(list(S.ALPHABETS[0]), 24))}" and words', 17, 43) for _ in range(50)]
+    tokens = [S.Tokens([t.encode()]) for t, *_ in cases]
+    tags = [hidden.decode(sum(hidden.weights[x.features[:, k]] for k in range(S.FEATURES)), x.line) for x in tokens]
+    assert np.mean([S.BEGIN in t for t in tags]) >= 0.9
+
+
+def test_spans_that_base_ones_cover_in_part_stay_whole(field):
+    text = "words go here Zk3VbQ8sTn5XwLr2HdYp7MfC-0123456789abcdef0123 then words"
+    spans = S.find([text], field)[0]
+    assert {(text[s:e], S.KINDS[k]) for s, e, k in spans} == {("Zk3VbQ8sTn5XwLr2HdYp7MfC-0123456789abcdef0123", "learned"), ("0123456789abcdef0123", "hex")}
+    assert S.redacted(text, spans, "[X]") == "words go here [X] then words"
+
+
+def test_long_text_repeated_rows_and_clashing_columns(spark, field):
+    one = "Zk3VbQ8sTn5XwLr2HdYp7MfC é words "
+    text = one * 20_000
+    spans = S.find([text], field)[0]
+    assert len(spans) == 20_000 and all(text[s:e] == "Zk3VbQ8sTn5XwLr2HdYp7MfC" for s, e, _ in spans[:: 997])
+    docs = spark.createDataFrame([(1, one, "x"), (1, one, "x"), (2, None, "y")], "doc_id long, text string, __spans string")
+    got = S.scan(docs, field)
+    assert got.columns == ["doc_id", "text", "__spans"] and sorted(len(r["__spans"]) for r in got.collect()) == [0, 1, 1]
+
+
+def test_fit_without_anything_to_learn(spark):
+    docs = spark.createDataFrame([(1, "no secret here"), (2, None), (None, "token = \"0123456789abcdef0123\"")], "doc_id long, text string")
+    for rows in (docs, docs.limit(0)):
+        assert S.find(["token = Zk3VbQ8sTn5XwLr2HdYp7MfC"], S.fit(rows))[0] == [(0, 32, 0)]
+
+
+def test_long_lines_are_learned_from_in_parts():
+    tags = np.full(1000, S.OUTSIDE, np.int8)
+    tags[250:260] = S.INSIDE
+    parts = S.chains_of(np.zeros((1000, S.FEATURES), np.int32).tobytes(), tags.tobytes())
+    assert [len(y) for _, y in parts] == [260, 256, 256, 228] and np.array_equal(np.concatenate([y for _, y in parts]), tags)
