@@ -4,6 +4,10 @@ Components are quantised to integers. A block of vectors keeps, for each compone
 its rows. A query adds the slices of all components, weighted by its own integers, with carry-save adders on
 whole bitmaps: the sums come out as slices again. The top rows are then selected from the most significant
 slice downward, and the rows level at the boundary are resolved exactly, the smaller id first.
+
+Every query meets every vector, so the work is cut like a matrix: a task takes one group of queries and streams a share
+of the blocks past it, one at a time, with the best rows so far of each query. A block whose bound (from the least
+and largest value of each component) lies below a query's k-th score is passed over.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ from lineweave.llm.common import saved, table
 
 #: Vectors in a block; least and most queries in a group. Large inputs get large groups, so that a block is sent to few.
 BLOCK, QUERIES, MOST_QUERIES = 1 << 15, 128, 4096
+#: Tasks that few groups of queries are cut into, by shares of the blocks: as many for each core.
+TASKS_A_CORE = 4
 ONES = np.uint64(2**64 - 1)
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def slices(values: np.ndarray, low: int, bits: int) -> np.ndarray:
-    """values (rows, dims) to bitmaps (dims, bits, words) of values - low."""
+    """values (rows, dims) to bitmaps (dims, bits, words) of values - low, which may take all 64 bits."""
     rows = -(-len(values) // 64) * 64
     shifted = np.zeros((rows, values.shape[1]), np.uint64)
-    shifted[: len(values)] = (values - low).astype(np.uint64)
+    shifted[: len(values)] = values.view(np.uint64) - np.array([low], np.int64).view(np.uint64)
     out = np.empty((values.shape[1], bits, rows // 64), np.uint64)
     for b in range(bits):
         plane = (shifted >> np.uint64(b) & np.uint64(1)).astype(np.uint8)
@@ -38,10 +45,10 @@ def slices(values: np.ndarray, low: int, bits: int) -> np.ndarray:
 def weighted_sum(index: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     """Slices, least significant first, of the sum of |query| times the components, those of negative weight complemented."""
     index = np.where((query < 0)[:, None, None], index ^ ONES, index)
-    weight, bits = np.abs(query), index.shape[1]
+    weight, bits = np.where(query < 0, 0 - query.view(np.uint64), query.view(np.uint64)), index.shape[1]
     levels: list[list[np.ndarray]] = [[] for _ in range(bits + max(int(weight.max(initial=0)).bit_length(), 1))]
     for c in range(int(weight.max(initial=0)).bit_length()):
-        part = index[(weight >> c & 1) > 0]
+        part = index[(weight >> np.uint64(c) & np.uint64(1)) > 0]
         for b in range(bits):
             levels[b + c].append(part[:, b])
     out, level = [], 0
@@ -88,17 +95,20 @@ def select_top(sums: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([got, rows_of(level)[: k - len(got)]])
 
 
-def read(sums: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """The sums of some rows, from their bits."""
-    out = np.zeros(len(rows), np.int64)
-    for j, s in enumerate(sums):
-        out += (s[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << j
+def read(sums: list[np.ndarray], rows: np.ndarray) -> list[int]:
+    """The sums of some rows, from their bits. They may have more than 64."""
+    out = [0] * len(rows)
+    for at in range(0, len(sums), 32):
+        part = np.zeros(len(rows), np.int64)
+        for j, s in enumerate(sums[at : at + 32]):
+            part += (s[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << j
+        out = [x + (y << at) for x, y in zip(out, part.tolist(), strict=True)]
     return out
 
 
-def shift_of(query: np.ndarray, low: int, bits: int) -> int:
+def shift_of(query: list[int], low: int, bits: int) -> int:
     """What a weighted sum has beyond the inner product: slices hold value - low, complements 2**bits - 1 - that."""
-    return int(-query[query < 0].sum()) * (2**bits - 1) - low * int(query.sum())
+    return -sum(x for x in query if x < 0) * (2**bits - 1) - low * sum(query)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -117,18 +127,56 @@ def matrix(lists: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
-def blocks_of(rows: DataFrame, n: int, dims: int, low: int, bits: int) -> DataFrame:
-    """(block, ids, data): rows dealt to n blocks by their id's hash, ids ascending. data: bit slices, or the
-    integers themselves if bits is 0."""
+def blocks_of(rows: DataFrame, n: int, dims: int, sliced: bool) -> DataFrame:
+    """(block, ids, low, bits, least, most, data): rows dealt to n blocks by their id's hash, ids ascending. data: the bit
+    slices of value - low, or the integers themselves; least and most of each component."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         v = matrix(part["v"], dims)
-        data = slices(v, low, bits) if bits else v
-        return pd.DataFrame({"block": [int(part["b"].iat[0])], "ids": [part["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+        low, high = int(v.min()), int(v.max())
+        bits = max((high - low).bit_length(), 1)
+        data = slices(v, low, bits) if sliced else v
+        told = [part["id"].to_numpy(np.int64), v.min(0), v.max(0), data]
+        ids, least, most, data = (np.ascontiguousarray(x).tobytes() for x in told)
+        return pd.DataFrame({"block": [int(part["b"].iat[0])], "ids": [ids], "low": [low], "bits": [bits], "least": [least], "most": [most], "data": [data]})
 
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    return dealt.groupBy("b").applyInPandas(pack, "block long, ids binary, data binary")
+    return dealt.groupBy("b").applyInPandas(pack, "block long, ids binary, low long, bits int, least binary, most binary, data binary")
+
+
+class Search:
+    """The best k rows so far of some queries, over the blocks that pass."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
+        self.ids, self.values, self.k = ids.tolist(), values, k
+        self.exact = values.tolist()
+        self.best: list[list[tuple[int, int]]] = [[] for _ in self.ids]  # (-score, id), ascending
+
+    def meet(self, ids: np.ndarray, low: int, bits: int, least: np.ndarray, most: np.ndarray, maps: np.ndarray) -> None:
+        valid = np.packbits(np.arange(maps.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
+        bounds = (least.tolist(), most.tolist())
+        for i, (q, x) in enumerate(zip(self.ids, self.values, strict=True)):
+            best = self.best[i]
+            if len(best) == self.k and sum(w * bounds[w > 0][d] for d, w in enumerate(self.exact[i])) < -best[-1][0]:
+                continue
+            others, own = valid.copy(), int(np.searchsorted(ids, q))
+            if own < len(ids) and ids[own] == q:
+                others[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
+            sums = weighted_sum(maps, x)
+            at = select_top(sums, others, self.k)
+            shift = shift_of(self.exact[i], low, bits)
+            best += [(shift - s, v) for s, v in zip(read(sums, at), ids[at].tolist(), strict=True)]
+            best.sort()
+            del best[self.k :]
+
+    def told(self) -> pa.RecordBatch:
+        """query_id, vec_id, score, beyond: scores that a long does not hold are its least or largest, and their order is
+        that of beyond."""
+        rows = [(q, v, -s) for q, best in zip(self.ids, self.best, strict=True) for s, v in best]
+        beyond = [None if LEAST < s < MOST else (s + (1 << 300)).to_bytes(40, "big") for *_, s in rows]
+        columns = [pa.array(c, pa.int64()) for c in ([q for q, *_ in rows], [v for _, v, _ in rows], [min(max(s, LEAST), MOST) for *_, s in rows])]
+        return pa.record_batch([*columns, pa.array(beyond, pa.binary())], ["query_id", "vec_id", "score", "beyond"])
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -137,41 +185,45 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
     Queries are the ids divisible by query_every. Vectors that are null, or hold null or non-finite components,
     and rows without an id take no part; a shorter vector counts as ending in zeros. Scores are those of the
     integers floor(scale * x), ties go to the smaller id. Fewer than k other vectors: all of them.
+
+    Integers beyond a long become the nearest long. Ranks go by the exact inner products of these integers
+    whatever their size; a score that a long does not hold is reported as the nearest long.
     """
     rows = saved(quantised(vectors, id_col, vector_col, scale), "quantised")
     is_query = F.col("id") % query_every == 0
-    n, n_queries, dims, low, high = rows.agg(
-        F.count("*"), F.count_if(is_query), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))
-    ).first()
-    dims, low, high = max(dims or 0, 1), min(low or 0, 0), max(high or 0, 0)
-    bits = max((high - low).bit_length(), 1)
+    n, n_queries, dims = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
+    dims = max(dims or 0, 1)
     n_blocks, n_groups = max(1, -(-n // BLOCK)), max(1, -(-n_queries // min(max(QUERIES, n_queries // 64), MOST_QUERIES)))
-    index = saved(blocks_of(rows, n_blocks, dims, low, bits), "bit-slices")
-    asked = blocks_of(rows.filter(is_query), n_groups, dims, 0, 0).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_values"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(n_blocks, TASKS_A_CORE * cores // n_groups))  # of the blocks; the queries are sent to each
+    index = saved(blocks_of(rows, n_blocks, dims, True), "bit-slices")
+    asked = saved(blocks_of(rows.filter(is_query), n_groups, dims, False), "queries")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    streams = index.withColumn("own", F.pmod("block", F.lit(shares))).select(to(n_groups).alias("group"), F.col("own").alias("share"), F.lit(1).alias("kind"), *index.columns)
+    heads = asked.withColumn("own", F.col("block")).select(F.col("own").alias("group"), to(shares).alias("share"), F.lit(0).alias("kind"), *asked.columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, task = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                maps = np.frombuffer(row["data"], np.uint64).reshape(dims, bits, -1)
-                valid = np.packbits(np.arange(maps.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q_values = np.frombuffer(row["q_values"], np.int64).reshape(len(q_ids), dims)
-                found = []
-                for q, x in zip(q_ids.tolist(), q_values, strict=True):
-                    others, own = valid.copy(), int(np.searchsorted(ids, q))
-                    if own < len(ids) and ids[own] == q:
-                        others[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
-                    sums = weighted_sum(maps, x)
-                    at = select_top(sums, others, k)
-                    found.append((np.full(len(at), q), ids[at], read(sums, at) - shift_of(x, low, bits)))
-                cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    # every block of queries meets every block of vectors; a task holds one of each
-    pairs = asked.join(index, "block").repartition(n_blocks * n_groups, "block", F.xxhash64("q_ids"))
-    found = pairs.select("q_ids", "q_values", "ids", "data").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for row in range(batch.num_rows):
+                own = batch.column("group")[row].as_py(), batch.column("share")[row].as_py()
+                if own != task:
+                    if now:
+                        yield now.told()
+                    now, task = None, own
+                ids, least, most, data = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("ids", np.int64), ("least", np.int64), ("most", np.int64), ("data", np.uint64)))
+                if batch.column("kind")[row].as_py() == 0:
+                    now = Search(ids, data.view(np.int64).reshape(len(ids), dims), k)
+                elif now:  # a group without queries has no head
+                    bits = batch.column("bits")[row].as_py()
+                    now.meet(ids, batch.column("low")[row].as_py(), bits, least, most, data.reshape(dims, bits, -1))
+        if now:
+            yield now.told()
+
+    # a task holds the queries of one group, and one batch of blocks; hashing may give it several groups, one after another
+    tasks = heads.unionByName(streams).repartition(min(n_groups * shares, max(4 * TASKS_A_CORE * cores, n_groups)), "group", "share").sortWithinPartitions("group", "share", "kind", "block")
+    found = tasks.mapInArrow(search, "query_id long, vec_id long, score long, beyond binary")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
