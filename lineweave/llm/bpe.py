@@ -9,6 +9,7 @@ bounded table of the Python worker.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +28,40 @@ from lineweave.llm.tokens import cut
 KEPT_WORDS = 200_000
 #: White space as the vocabulary's own normaliser and splitter see it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What newer character tables than the library's call letters or numbers; they are signs to it.
+SIGNS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF "
+    "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Marks that the library's NFC, of an older table, neither reorders nor composes.
+INERT = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 "
+    "10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 "
+    "16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Capitals (first, last, small letter of the first) that Python's lower() may not know yet.
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+
+def char_class(ranges: str) -> str:
+    """The inside of a character class, of ranges in hexadecimal."""
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
+
+
+SMALL = {c: small + c - first for first, last, small in CAPITALS for c in range(first, last + 1)}
+SMALL[ord("Σ")] = ord("σ")  # by character: no rule for a final sigma
+LATE_SIGN, LATE_MARK = re.compile(f"[{char_class(SIGNS)}]"), re.compile(f"([{char_class(INERT)}])")
+CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
 RUNS = regex.compile(f"[{SPACE}]+")
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+", regex.V0)
+_LATE = char_class(SIGNS)
+#: The same for texts with late signs.
+WORD_LATE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATE}]]+|[\p{{N}}--[{_LATE}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{_LATE}])+", regex.V1)
 
 
 def byte_chars() -> list[str]:
@@ -120,13 +153,27 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def composed(text: str) -> str:
+    """NFC, with inert marks as borders."""
+    nfc = unicodedata.normalize
+    return "".join(p if i % 2 else nfc("NFC", p) for i, p in enumerate(LATE_MARK.split(text))) if LATE_MARK.search(text) else nfc("NFC", text)
+
+
 def normalised(text: str) -> str:
-    """NFC, white space to single blanks, lower case by character (no rule for a final sigma)."""
+    """NFC, white space to single blanks, lower case by character."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = composed(text)
+        if CAPITAL.search(text):
+            text = text.translate(SMALL)
     return RUNS.sub(" ", text).lower()
 
 
+def words_of(text: str) -> list[str]:
+    """The words and signs of a text without special strings."""
+    text = normalised(text)
+    return (WORD if text.isascii() or not LATE_SIGN.search(text) else WORD_LATE).findall(text)
+
+
 class Encoder:
     """Encodes batches of texts; keeps the tokens of up to KEPT_WORDS words."""
 
@@ -148,11 +195,11 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         vocab = self.vocab
         if vocab.split is None or not any(s in text for s in vocab.special):
-            return WORD.findall(normalised(text))
+            return words_of(text)
         out: list[str] = []
         for i, part in enumerate(vocab.split.split(text)):
             # a special string never is a word of the splitter by itself: its letters and signs are cut apart
-            out += [part] if i % 2 else WORD.findall(normalised(part))
+            out += [part] if i % 2 else words_of(part)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +246,9 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each whole text, without added special tokens; special strings inside a
-    text become their own ids, as the tokenizers library has it. A null or empty text has none.
-
-    Code points that Python's and the library's Unicode tables class differently (a few of those that are
-    still unassigned in one of them) may be split in another way.
+    text become their own ids, as the tokenizers library has it. A null or empty text has none. Repeated rows stay
+    repeated; other columns of docs are not returned. Where Python's character tables differ from the library's, the
+    library's hold (SIGNS, INERT, CAPITALS).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
