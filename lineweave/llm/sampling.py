@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from lineweave.llm.line_dedup import NO_ID
 from lineweave.llm.tokens import hashed, mixed
 
 SAMPLES = 128
-#: Positions drawn at a time, and bytes of text handled together.
-WIDTH, BATCH = 16, 4 << 20
+#: Positions drawn at a time, and code points of text and documents handled together.
+WIDTH, BATCH, ROWS = 16, 4 << 20, 1 << 15
 
 
 def draws(terms: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,35 +95,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, copied, doc_id, text), dealt out by ranges of doc_id and sorted within each part.
+    """(part, lead, doc_id, text), dealt out by ranges of doc_id and sorted within each part by falling doc_id.
 
-    The first document of each part also goes, marked as copied, to the end of the part before it (of the
-    first part: to the last), so every document's successor is in its own part. Texts are shuffled once.
+    Rows with lead 1 are the documents. So that each comes right behind its successor, the heads of some ids (of an id's
+    rows the text of the smallest hash) are sent along with lead 0: to each part the first id of the next (to the last
+    part the least of all), and around ids that repeat so often that they span several ranges: their rows are dealt
+    to parts of their own by hash, each of which gets the successor's head, and their own head stays in its range.
+    Texts are shuffled once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = [int(c) for c in rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))] if n > 1 else []
+    cuts = sorted(set(found))
+    width = {c: k + 1 for c, k in Counter(found).items() if k > 1}  # ids that hold a whole range: in so many parts
+    hot, base = {}, len(cuts) + 1
+    for c in sorted(width):
+        hot[c] = base
+        base += width[c]
 
     @F.arrow_udf("int")
-    def part_of(ids: pa.Array) -> pa.Array:
+    def range_of(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(), "right").astype(np.int32))
 
-    firsts = sorted((r.part, r.low) for r in rows.select(part_of("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("low")).collect())  # a row a part
-    before = {low: firsts[i - 1][0] for i, (_, low) in enumerate(firsts)}
-
-    @F.arrow_udf("array<struct<part: int, copied: boolean>>")
-    def places(ids: pa.Array) -> pa.Array:
-        out = []
-        for i in ids.to_pylist():
-            out.append([{"part": bisect_right(cuts, i), "copied": False}])
-            if i in before:
-                out[-1].append({"part": before[i], "copied": True})
-        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("copied", pa.bool_())])))
-
-    dealt = rows.withColumn("place", F.explode(places("doc_id"))).select("place.part", "place.copied", "doc_id", "text")
-    return dealt.repartitionById(max(n, 1), "part").sortWithinPartitions("part", "copied", "doc_id", F.xxhash64("text"))
+    placed = rows.withColumn("part", range_of("doc_id"))
+    told = placed.groupBy("part").agg(F.min("doc_id").alias("low"), *(F.min(F.when(F.col("doc_id") > c, F.col("doc_id"))).alias(f"after{k}") for k, c in enumerate(hot))).collect()  # a row a part
+    lows = sorted((r.part, r.low) for r in told)
+    if not lows:
+        return placed.select("part", F.lit(1).alias("lead"), "doc_id", "text")
+    sent = [(lows[i - 1][0], low) for i, (_, low) in enumerate(lows)]
+    for k, c in enumerate(hot):
+        after = min((r[f"after{k}"] for r in told if r[f"after{k}"] is not None), default=lows[0][1])
+        sent += [(bisect_right(cuts, c), c), *((hot[c] + i, after) for i in range(width[c]))]
+    wanted = sorted({i for _, i in sent})
+    heads = rows.filter(F.col("doc_id").isin(wanted)).groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    to = spark.createDataFrame(sorted(set(sent)), "part int, doc_id long")
+    heads = heads.join(F.broadcast(to), "doc_id").select("part", F.lit(0).alias("lead"), "doc_id", "text")  # two rows a part at most
+    part = F.col("part")
+    for c, at in hot.items():
+        part = F.when(F.col("doc_id") == c, at + F.pmod(F.xxhash64("text"), F.lit(width[c])).cast("int")).otherwise(part)
+    dealt = placed.select(part.cast("int").alias("part"), F.lit(1).alias("lead"), "doc_id", "text").unionByName(heads)
+    # the head that wraps around or leads a part has the largest id or, after the last id, comes first
+    first = (F.col("lead") == 0) & (F.col("doc_id") == lows[0][1])
+    dealt = dealt.repartitionById(base, "part")
+    return dealt.sortWithinPartitions("part", F.desc(first), F.desc("doc_id"), "lead", F.xxhash64("text"))
 
 
 def edited(text: str, following: str) -> str:
@@ -136,25 +152,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The next document is that of the next larger id (after the largest: the smallest), of repeated ids the one
     whose text has the smallest hash. Null ids count as the smallest id; null texts are empty. Repeated rows
-    of an id each get a row and share their successor. A lone document follows itself.
+    of an id each get a row and share their successor. A lone document follows itself. Other columns of docs are not
+    returned.
     """
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(part, copied, id, texts) of each run of rows that share an id."""
-        now = None
-        for batch in batches:
-            for key in zip(*(batch.column(c).to_pylist() for c in ("part", "copied", "doc_id", "text")), strict=True):
-                if now and now[:3] == key[:3]:
-                    now[3].append(key[3])
-                else:
-                    if now:
-                        yield now
-                    now = (*key[:3], [key[3]])
-        if now:
-            yield now
-
-    def told(window: list[tuple]) -> pa.RecordBatch:
-        rows = [(e[2], t, f[3][0]) for e, f in zip(window, window[1:], strict=False) if e[0] == f[0] and not e[1] for t in e[3]]
+    def told(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
         changed = [edited(t, f) for _, t, f in rows]
         texts = list(dict.fromkeys(t for _, *two in rows for t in two))
         place = {t: i for i, t in enumerate(texts)}
@@ -173,15 +175,22 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.record_batch(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, size = [], 0
-        for entry in entries(batches):
-            window.append(entry)
-            size += sum(map(len, entry[3]))
-            if size > BATCH:
-                yield told(window)
-                window, size = window[-1:], 0
-        if len(window) > 1:
-            yield told(window)
+        """Rows come by falling id, so of all that was before only one text is kept: the head of the id above."""
+        rows, size, now, head, above = [], 0, None, None, None
+        for batch in batches:
+            for part, lead, i, text in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "doc_id", "text")), strict=True):
+                if now is None or now[0] != part:
+                    now, head, above = (part, i), text, None
+                elif now[1] != i:
+                    now, head, above = (part, i), text, head
+                if lead:
+                    rows.append((i, text, head if above is None else above))
+                    size += len(text)
+                if size > BATCH or len(rows) >= ROWS:
+                    yield told(rows)
+                    rows, size = [], 0
+        if rows:
+            yield told(rows)
 
     return beside_next(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
