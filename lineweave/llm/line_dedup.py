@@ -6,9 +6,9 @@ window streams over them: the lines of a key's first document are its kept occur
 documents go once enough documents hold the key. What comes back per document is a run-length bitmap of kept
 and dropped lines; `apply_bitmaps` lays it over the texts.
 
-A key that holds 1/HOT_SHARE of all rows or more would fill its range alone. There can be HOT_SHARE such keys
-at most, so they are summed up map-side first and their few rows (key, documents, largest document) broadcast:
-their lines are judged where they are read and never meet in one task.
+A key that holds 1/HOT_SHARE of all rows or more would weigh on its range alone. There can be HOT_SHARE such keys
+at most, so they are summed up map-side first and their few rows (key, documents, largest document; half a megabyte)
+broadcast: their lines are judged where they are read and never meet in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from lineweave.llm.common import saved
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT_SHARE = 1024
+HOT_SHARE, LEAST_HOT = 16384, 256
 NO_ID = -(2**63)
 
 
@@ -49,17 +49,19 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 def hot_keys(lines: DataFrame) -> DataFrame | None:
     """(h1, h2, hot_docs, hot_last) of the keys with 1/HOT_SHARE of all rows; None if there are none.
 
-    Counts by hash range come first: 65,536 sums at most. Only ranges that are hot as a whole can hold a hot
+    Counts by hash range come first: 2**18 sums at most. Only ranges that are hot as a whole can hold a hot
     key, so only their rows are grouped by key.
     """
-    ranges = lines.groupBy(F.shiftright("h1", 48).alias("r")).count()
+    ranges = lines.groupBy(F.shiftright("h1", 46).alias("r")).count()
     total = ranges.agg(F.sum("count")).first()[0] or 0
-    least = max(total // HOT_SHARE, 256)
-    hot = [row.r for row in ranges.filter(F.col("count") >= least).collect()]
-    if not hot:
+    least = max(total // HOT_SHARE, LEAST_HOT)
+    hot = ranges.filter(F.col("count") >= least).select("r").toArrow()  # HOT_SHARE ranges at most
+    if not hot.num_rows:
         return None
+    hot = lines.sparkSession.createDataFrame(hot)
     # by document first: a hot key's documents are counted in many tasks, and only sums meet
-    each = lines.filter(F.shiftright("h1", 48).isin(hot)).groupBy("h1", "h2", "d").agg(F.count("*").alias("m"))
+    inside = lines.withColumn("r", F.shiftright("h1", 46)).join(F.broadcast(hot), "r", "left_semi")
+    each = inside.groupBy("h1", "h2", "d").agg(F.count("*").alias("m"))
     found = each.groupBy("h1", "h2").agg(F.sum("m").alias("n"), F.count("*").alias("hot_docs"), F.max("d").alias("hot_last"))
     return found.filter(F.col("n") >= least).drop("n")
 
@@ -111,8 +113,10 @@ def keep_bitmaps(
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col reduced to its kept lines, joined by newlines, and __n_lines, __n_dropped (long).
 
-    A document without a bitmap keeps its text; a null text becomes the empty one. All other columns stay.
+    A document without a bitmap keeps its text; a null text becomes the empty one. All other columns stay, but for those
+    with the names of the added ones, which are replaced.
     """
+    docs = docs.drop("__d", "__t", "__runs", "__mask", "__n_lines", "__n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__t", F.xxhash64(text))
     maps = bitmaps.select(*(F.col(c).alias(f"__{c}") for c in ("d", "t", "runs", "n_dropped")))

@@ -12,6 +12,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,9 +67,9 @@ def path_of(url: Column) -> Column:
 
 def token_counts(sites: DataFrame, tokens: list[str]) -> dict[str, int]:
     """In how many rows of sites (host, path) each of the rules' tokens occurs."""
-    words = F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+")
-    own = F.array_intersect(words, F.array(*map(F.lit, tokens)))
-    rows = sites.select(F.explode(own).alias("t")).groupBy("t").count().collect()  # a row for each rule token at most
+    words = sites.select(F.explode(F.array_distinct(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"))).alias("t"))
+    own = sites.sparkSession.createDataFrame([(t,) for t in tokens], "t string")
+    rows = words.join(F.broadcast(own), "t", "left_semi").groupBy("t").count().collect()  # a row for each rule token at most
     return {r.t: r["count"] for r in rows}
 
 
@@ -83,35 +84,40 @@ def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> tuple[dict[st
     return dict(by_token), rest
 
 
-def judge(site: str, by_token: dict, rest: list, compiled: dict) -> Rule | None:
+@lru_cache(maxsize=1 << 16)
+def compiled(pattern: str) -> re.Pattern:
+    """A rule's expression, compiled when a url first fetches it."""
+    return re.compile(pattern, re.DOTALL)
+
+
+def judge(site: str, by_token: dict, rest: list) -> Rule | None:
     """The rule of highest rank that fits site = host + path."""
     best = None
-    for token in set(TOKEN.findall(site.lower())):
-        for rule in by_token.get(token, ()):
-            if compiled[rule].search(site) and (best is None or (rule.rank, best.name) > (best.rank, rule.name)):
+    for rules in (*(by_token.get(t, ()) for t in set(TOKEN.findall(site.lower()))), rest):
+        for rule in rules:
+            if (best is None or (rule.rank, best.name) > (best.rank, rule.name)) and compiled(rule.pattern).search(site):
                 best = rule
-    for rule in rest:
-        if compiled[rule].search(site) and (best is None or (rule.rank, best.name) > (best.rank, rule.name)):
-            best = rule
     return best
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + JUNK_RULES, url_col: str = "url") -> DataFrame:
     """pages and __host, __path, __rule (name of the rule that fits, or null), __verdict.
 
-    A url that no rule fits is allowed. Null urls and urls without :// have empty host and path. Rules are
-    settings: their number does not grow with the data.
+    A url that no rule fits is allowed. Null urls and urls without :// have empty host and path. Columns of pages with
+    the names of the added ones are replaced. Rules are settings that every executor holds once: their number does
+    not grow with the data.
     """
+    pages = pages.drop("__host", "__path", "__rule", "__verdict", "__judged")
     sites = pages.withColumn("__host", host_of(F.col(url_col))).withColumn("__path", path_of(F.col(url_col)))
     tokens = sorted({t for r in rules for t in r.tokens})
     counts = token_counts(sites.select(F.col("__host").alias("host"), F.col("__path").alias("path")), tokens) if tokens else {}
-    by_token, rest = rule_index(rules, counts)
+    index = pages.sparkSession.sparkContext.broadcast(rule_index(rules, counts))
 
     @F.arrow_udf("struct<rule string, verdict string>")
     def verdicts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        compiled = {r: re.compile(r.pattern, re.DOTALL) for r in rules}
+        by_token, rest = index.value
         for sites_ in parts:
-            found = [judge(s, by_token, rest, compiled) for s in sites_.to_pylist()]
+            found = [judge(s, by_token, rest) for s in sites_.to_pylist()]
             names = pa.array([r.name if r else None for r in found], pa.string())
             yield pa.StructArray.from_arrays([names, pa.array([r.verdict if r else "allow" for r in found], pa.string())], ["rule", "verdict"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 from collections import Counter
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineweave.llm import chat, line_dedup, packing, quality, sampling, tokens, topk, url_rules
+from lineweave.llm import tokens as tokens_
 
 
 # line dedup
@@ -40,10 +42,10 @@ def line_rows():
     return rows + [(100 + i, "\n".join(draw.choice([*pool, f"own line of document {i} here", "tiny"]) for _ in range(12))) for i in range(40)]
 
 
-@pytest.mark.parametrize("share", [1024, 100000])
-def test_line_dedup_equals_brute_force(spark, monkeypatch, share):
-    if share == 1024:  # every key of some rows counts as hot
-        monkeypatch.setattr(line_dedup, "hot_keys", lambda lines: lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.count_distinct("d").alias("hot_docs"), F.max("d").alias("hot_last")).filter("n > 5").drop("n"))
+@pytest.mark.parametrize("least", [1, 5, 256])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, least):
+    """With every key hot, with some, and with none."""
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", least)
     docs = spark.createDataFrame([(i, t, "a", 1) for i, t in line_rows()], "doc_id long, text string, runs string, d int")
     got = line_dedup.line_dedup(docs)
     assert got.columns == ["doc_id", "text", "runs", "d", "__n_lines", "__n_dropped"]
@@ -52,6 +54,22 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, share):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 5)
+    docs = spark.createDataFrame([(i, LONG + ("\n" + LONG if i == 3 else "")) for i in range(4)] + [(i, "a line of only four documents") for i in range(5, 9)], "doc_id long, text string")
+    lines = line_dedup.line_rows(docs, "doc_id", "text", 20)
+    got = line_dedup.hot_keys(lines).collect()
+    assert [(r.hot_docs, r.hot_last) for r in got] == [(4, 3)]
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 6)
+    assert line_dedup.hot_keys(lines) is None
+
+
+def test_line_columns_that_clash_are_replaced(spark):
+    docs = spark.createDataFrame([(1, LONG, "x", 7, [1])], "doc_id long, text string, __t string, __n_lines int, __runs array<int>")
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == ["doc_id", "text", "__n_lines", "__n_dropped"] and got.first()["__n_lines"] == 1
+
+
 def test_keep_bitmap_runs(spark):
     docs = spark.createDataFrame([(i, "\n".join(["own %d" % i, LONG, LONG, "mid", LONG])) for i in range(3)], "doc_id long, text string")
     got = {r.d: (r.runs, r.n_dropped) for r in line_dedup.keep_bitmaps(docs).collect()}
@@ -76,6 +94,53 @@ def test_quality_learns_and_holds_out(spark):
     assert set(np.unique(quality.quality_model(docs, labels.limit(0)))) == {0.0}
 
 
+def test_quality_equals_plain_training(spark):
+    """The whole path against features and FTRL-proximal updates written with dicts, a feature at a time."""
+    draw = random.Random(8)
+    texts = {i: " ".join(draw.choice(["ab", "Cd", "e!!", "9", "f-g"]) for _ in range(draw.randint(0, 12))) for i in range(30)}
+    given = {i: i % 2 for i in range(0, 30, 2)} | {5: 1, 7: 0, 9: 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    weights = quality.fit(docs, spark.createDataFrame(list(given.items()), "doc_id long, quality int"))
+
+    def plain(text):
+        tokens = [tokens_.hashed([t.encode()], True)[0][0] for t in __import__("re").findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", text)]
+        pairs = [tokens_.mixed(np.array([a * np.uint64(3) + b], np.uint64))[0] for a, b in zip(tokens, tokens[1:], strict=False)]
+        counts = Counter(int(x >> np.uint64(64 - quality.BUCKET_BITS)) for x in [*tokens, *pairs])
+        norm = sum(v * v for v in counts.values()) ** 0.5
+        return {k: float(np.float32(v / norm)) for k, v in counts.items()} | {"bias": 1.0}
+
+    with np.errstate(over="ignore"):
+        rows = {i: plain(t) for i, t in texts.items()}
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= quality.L1:
+            return 0.0
+        return ((1 if z[k] > 0 else -1) * quality.L1 - z[k]) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    order = sorted(given, key=lambda i: int(tokens_.mixed(np.array([i], np.uint64))[0]))
+    for _ in range(quality.EPOCHS):
+        for i in order:
+            w = {k: weight(k) for k in rows[i]}
+            p = 1 / (1 + np.exp(-sum(w[k] * x for k, x in rows[i].items())))
+            for k, x in rows[i].items():
+                g = (p - given[i]) * x
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / quality.ALPHA * w[k]
+                n[k] += g * g
+    got = {r.doc_id: r["__score"] for r in quality.score(docs, weights).collect()}
+    for i, row in rows.items():
+        assert abs(got[i] - 1 / (1 + np.exp(-sum(weight(k) * x for k, x in row.items())))) < 1e-4
+
+
+def test_quality_bounds_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i + 1), "x") for i in range(20)] + [(3, None, "y"), (50, "long " * 200_000, "z")], "doc_id long, text string, __score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(20), 50]], "doc_id long, quality int")
+    few, all_ = quality.fit(docs, labels, max_features=4), quality.fit(docs, labels)
+    assert 0 < np.count_nonzero(few) < np.count_nonzero(all_)
+    got = quality.score(docs, all_)
+    assert got.columns == ["doc_id", "text", "__score"] and got.count() == 22 and all(0 <= r["__score"] <= 1 for r in got.collect())
+
+
 def test_span_hashes_do_not_depend_on_place(monkeypatch):
     texts = [b"alpha beta", b"", b"beta  alpha\n" * 30, "é ü".encode(), b"x" * 5000]
     whole, at = tokens.hashed(texts, False)
@@ -114,6 +179,8 @@ def test_url_rules_equal_brute_force(spark):
     for r in got.collect():
         assert (r["__host"], r["__path"], r["__rule"] if r["__rule"] in sites else None, r["__verdict"]) == brute_url(r.url), r.url
     assert url_rules.url_filter(pages.limit(0)).count() == 0
+    clash = url_rules.url_filter(pages.withColumnRenamed("rule", "__host"))
+    assert clash.columns == ["page_id", "url", "__host", "__path", "__rule", "__verdict"] and clash.filter("page_id = 4").first()["__host"] == "net"
 
 
 def test_rarest_token_indexes_a_rule():
@@ -179,10 +246,19 @@ def test_linear_conversations(spark):
     assert chat.format_conversations(chat.linear_tree(df.limit(0))).count() == 0
 
 
-def test_circle_is_an_error(spark):
-    df = spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0)], "conv_id long, node long, parent long, score double")
-    with pytest.raises(ValueError, match="circle"):
-        chat.reply_paths(df)
+def test_circles_have_no_path_and_hold_nothing_up(spark):
+    rows = [(1, 1, 2, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 0.0), (1, 4, None, 0.0), (1, 5, 4, 0.0), (2, 1, 1, 0.0)] + [(3, n, n - 1, 0.0) for n in range(1, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, node long, parent long, score double")
+    got = sorted(tuple(r) for r in chat.reply_paths(df, 2).collect())
+    assert got == [(1, 5, 4, 1), (1, 5, 5, 2)] + [(3, 39, n, n) for n in range(1, 40)]
+
+
+def test_messages_without_conversation_stay_apart(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(200)] + [(1, 0, "user", "a"), (1, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_conversations(chat.linear_tree(df))).collect()
+    assert Counter((r.conv_id, r.n_turns) for r in got) == {(None, 1): 200, (1, 2): 1}
+    assert len({r.turns_sha256 for r in got}) == 201
 
 
 # packing
@@ -202,6 +278,21 @@ def test_best_bounds_equal_brute_force():
     assert packing.best_bounds([], 3) == []
 
 
+def test_pack_has_the_least_padding_of_all_bounds(spark):
+    """The whole operator, over lengths far beyond a thousand, against quadratic dynamic programming."""
+    draw = random.Random(6)
+    lengths = [int(draw.lognormvariate(6, 1.5)) for _ in range(400)] + [0, 0, 70_000]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    got = packing.pack(df, F.col("n"), buckets=6).collect()
+    tops = sorted(set(lengths))
+    count = Counter(lengths)
+    below = list(itertools.accumulate((count[t] for t in tops), initial=0))
+    best = [0] + [float("inf")] * len(tops)
+    for _ in range(6):
+        best = [0] + [min([best[j], *(best[i] + tops[j - 1] * (below[j] - below[i]) for i in range(j))]) for j in range(1, len(tops) + 1)]
+    assert sum(r.bucket_len for r in got) == best[-1] and {r.n_tokens for r in got} == set(lengths)
+
+
 def test_pack_fills_batches_within_budget(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_BATCHES", 2)
     lengths = [0, 1, 1, 2, 5000, 9, 9, 9, 40, 41, 1500] * 7
@@ -221,13 +312,15 @@ def test_pack_fills_batches_within_budget(spark, monkeypatch):
 
 # top-k
 def brute_topk(vectors, k):
-    usable = {i: np.floor(np.array(v, float) * 64).astype(int) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    fit = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = lambda x: fit(math.floor(x * 64)) if math.isfinite(x * 64) else fit(int(math.copysign(2**70, x)))
+    usable = {i: list(map(whole, v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     dot = lambda a, b: int(sum(x * y for x, y in zip(a, b)))  # noqa: E731, B905
     out = set()
     for q, x in usable.items():
         if q % 20 == 0:
             best = sorted((-dot(x, y), i) for i, y in usable.items() if i != q)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+            out |= {(q, r + 1, i, fit(-s)) for r, (s, i) in enumerate(best)}
     return out
 
 
@@ -238,6 +331,7 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
     draw = np.random.default_rng(3)
     rows = [(i, draw.normal(size=6).round(2).tolist()) for i in range(-40, 60)]
     rows += [(i, rows[0][1]) for i in range(200, 230)] + [(300, None), (320, [1.0, None]), (340, [float("nan")]), (360, [float("inf")]), (380, []), (400, [2.0, -1.0]), (None, [1.0]), (420, [0.0] * 6)]
+    rows += [(500, [1e30, 1.0]), (520, [-1e30, 1e15]), (540, [1e308] * 6), (560, [-1e308] * 6), (580, [1e17, -1e17, 3.0]), (501, [1e18]), (502, [-1e18, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(df.union(df.filter("vec_id = 20")), 5)
     assert {tuple(r) for r in got.collect()} == brute_topk(rows, 5)
@@ -270,24 +364,82 @@ def test_fingerprint_does_not_depend_on_company():
     assert not sampling.signatures([b"", b" \n"]).any()
 
 
-def test_compare_with_next(spark):
+def plain_ioffe(text):
+    """A sample at a time, a term at a time."""
+    counts = Counter(text.lower().encode().split())
+    out = []
+    for k in range(sampling.SAMPLES):
+        best = None
+        for word, weight in counts.items():
+            term = tokens_.hashed([word], False)[0]
+            r, c, b = (x[0, k % sampling.WIDTH] for x in sampling.draws(term, k - k % sampling.WIDTH))
+            t = np.floor(np.log(np.float32(weight)) / r + b)
+            key = c - r * (t - b) - r
+            if best is None or key < best[0]:
+                best = key, int(term[0]), int(t)
+        mark = 0
+        if best:
+            mark = max(1, int(tokens_.mixed(np.array([(best[1] + best[2] * 0xA0761D6478BD642F) % 2**64], np.uint64))[0]) >> 48)
+        out.append(mark)
+    return out
+
+
+def test_signatures_equal_a_plain_loop():
+    draw = random.Random(9)
+    texts = [" ".join(draw.choices(["a", "Bb", "cé", "d", "e"], k=n)) for n in (0, 1, 2, 5, 9, 30)]
+    assert sampling.signatures([t.encode() for t in texts]).tolist() == [plain_ioffe(t) for t in texts]
+
+
+def brute_next(rows):
+    """(id, n_chars, edited sha, own, edited and next text) of each row."""
+    by = {}
+    for i, t in rows:
+        by.setdefault(sampling.NO_ID if i is None else i, []).append(t or "")
+    ids, out = sorted(by), []
+    for k, i in enumerate(ids):
+        heads = by[ids[(k + 1) % len(ids)]]
+        assert len(set(heads)) == 1 or len(ids) == 1, "brute force knows no hash"
+        for own in by[i]:
+            half = len(own) // 2
+            new = own[: len(own) - half] + heads[0][:half]
+            out.append((None if i == sampling.NO_ID else i, len(own), hashlib.sha256(new.encode()).hexdigest(), own, new, heads[0]))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 9])
+def test_compare_with_next(spark, partitions):
     rows = [(5, "the last one here"), (1, "first text é😀"), (2, None), (3, "third words"), (None, "no id"), (3, "third words")]
+    rows += [(40 + i, f"text {i} of some words") for i in range(30)] + [(50, "text 10 of some words")] * 40
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int").repartition(3)
-    got = sorted(sampling.compare_with_next(df).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
-    assert [(r.doc_id, r.n_chars) for r in got] == [(None, 5), (1, 13 - 1), (2, 0), (3, 11), (3, 11), (5, 17)] or [r.doc_id for r in got] == [None, 1, 2, 3, 3, 5]
-    text = {i: t or "" for i, t in rows}
-    follow = {None: 1, 1: 2, 2: 3, 3: 5, 5: None}
-    for r in got:
-        own, nxt = text[r.doc_id], text[follow[r.doc_id]]
-        half = len(own) // 2
-        new = own[: len(own) - half] + nxt[:half]
-        assert r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and r.n_chars == len(own)
-        a, b, c = sampling.signatures([own.encode(), new.encode(), nxt.encode()])
-        assert r.fingerprint == sampling.printed(a) and r.edited_fingerprint == sampling.printed(b)
-        assert r.near_edited == sampling.likeness(a, b) and r.near_next == sampling.likeness(a, c)
-    assert sampling.compare_with_next(df.limit(0)).count() == 0
-    lone = sampling.compare_with_next(df.filter("doc_id = 1")).collect()
-    assert len(lone) == 1 and lone[0].near_next == 1.0
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sampling.compare_with_next(df).collect()
+        lone = sampling.compare_with_next(df.filter("doc_id = 1")).collect()
+        same = sampling.compare_with_next(df.filter("doc_id = 50")).collect()
+        assert sampling.compare_with_next(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = []
+    for i, n, sha, *texts in brute_next(rows):
+        a, b, c = sampling.signatures([t.encode() for t in texts])
+        want.append((i, n, sha, sampling.printed(a), sampling.printed(b), float(sampling.likeness(a, b)), float(sampling.likeness(a, c))))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert len(lone) == 1 and lone[0].near_next == 1.0 and len(same) == 41 and {r.near_next for r in same} == {1.0}
+
+
+def test_many_rows_without_id(spark):
+    """A third of all rows share one id: each gets its row, and none of them are held together."""
+    rows = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        got = sampling.compare_with_next(rows)
+        assert got.count() == 100_000 and got.filter("doc_id IS NULL").count() == 33_334
+        parts = sampling.beside_next(rows, "doc_id", "text").filter("lead = 1").groupBy("part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert max(r["count"] for r in parts) < 16_000 and len(parts) > 12
 
 
 # pipeline
