@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import saved, table
 from lineweave.llm.components import star_components
-from lineweave.llm.similar import similar_documents  # noqa: F401
 from lineweave.llm.tokens import mixed
 
 #: Fingerprints in a group, as planned, and the most that one task takes at a time.

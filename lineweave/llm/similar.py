@@ -7,8 +7,10 @@ Three bounds drop pairs that meet, each only if they cannot reach t: sizes, the
 and the bits of a parity sketch, of which each shingle that only one text has flips one (a short sketch first, then one
 about as long as the set, so that few pairs of long texts meet in full). What is left is decided by the whole sets. Shingles that a sample finds often come last in the order; the sample decides the cost only.
 
-Components need no pair within one of them. So each text first links to the first that it may be similar to
-on each shingle, and a second round decides all pairs of texts that are still apart.
+Components need no pair within one of them, so three rounds follow each other, and each looks only at texts that are still
+apart. The first takes its pairs from the Gray-order index of SimHash fingerprints: it joins the large groups of close
+copies at little cost, but a similarity of 0.8 bounds no number of fingerprint bits, so it cannot be the only one. In
+the second each text meets the first that it may be similar to on each shingle, in the third all that are left.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import saved
 from lineweave.llm.components import star_components
+from lineweave.llm.simhash import near_links
 from lineweave.llm.tokens import joined, mixed, pieces, span_hashes, spans
 
 #: Texts to learn frequent shingles from, how often they must be there, and how many are kept.
 SAMPLE, OFTEN, MAX_FREQUENT = 4096, 4, 65536
 #: Least bits of a sketch; texts of one shingle that a task compares, as pairs of tiles; pairs compared at a time.
 SKETCH, TILE, PAIRS = 512, 8192, 1 << 18
+#: Bits that the fingerprints of the first round's pairs may differ in.
+NEAR_BITS = 4
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +87,16 @@ def long_sketches(text: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[b
     return [out[(e - b) // 8 : e // 8].tobytes() for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
 
 
+def fingerprints_of(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of each of n texts: a bit is 1 if it is set in over half of its set's hashes. No set is empty."""
+    first, out = np.searchsorted(text, np.arange(n)), np.zeros(n, np.uint64)
+    size = np.diff(np.append(first, len(text)))
+    for b in range(64 if n else 0):
+        count = np.add.reduceat((hashes >> np.uint64(b)).astype(np.uint8) & 1, first, dtype=np.int32)
+        out |= (2 * count > size).astype(np.uint64) << np.uint64(b)
+    return out
+
+
 def bits_apart(x: bytes, y: bytes) -> int:
     """Different bits of two long sketches, the longer one folded to the length of the other."""
     size = min(len(x), len(y))
@@ -224,7 +239,7 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
 
 
 def prefixes(texts: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """(node, n, prefix, sketch, long_sketch) of each row's set."""
+    """(node, n, fp, prefix, sketch, long_sketch) of each row's set."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))  # MAX_FREQUENT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +256,39 @@ def prefixes(texts: DataFrame, words: int, t: Fraction) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(offsets, pa.array(hashes[inside].view(np.int64)))
                 sketch = pa.array([s.tobytes() for s in sketches(text, hashes, hi - lo)], pa.binary())
                 whole = pa.array(long_sketches(text, hashes, n), pa.binary())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), prefix, sketch, whole], ["node", "n", "prefix", "sketch", "long_sketch"])
+                fp = pa.array(fingerprints_of(text, hashes, hi - lo).view(np.int64))
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), fp, prefix, sketch, whole], ["node", "n", "fp", "prefix", "sketch", "long_sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n int, fp long, prefix array<long>, sketch binary, long_sketch binary")
+
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n int, prefix array<long>, sketch binary, long_sketch binary")
+def linked(texts: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """(node, root) of the texts (node, text) that have a link: root is the smallest node that links reach."""
+    sets_of = saved(prefixes(texts, words, t).dropDuplicates(["node"]), "prefixes")
+    dealt = sets_of.select("node", "n", F.posexplode("prefix").alias("at", "s"))
+    dealt = dealt.withColumn("k", F.count("*").over(Window.partitionBy("s"))).filter("k > 1")
+    shared = saved(dealt.join(sets_of.select("node", "sketch"), "node"), "shared")
+    prints = sets_of.groupBy("fp").agg(F.min("node").alias("node"))
+    level = sets_of.join(prints.withColumnRenamed("node", "first"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    near = near_links(saved(prints.select("node", "fp"), "prints"), NEAR_BITS).select("a", "b").union(level)
+    met = None
+    stars = texts.sparkSession.createDataFrame([], "node long, root long")
+    for pairs in (lambda apart: near, lambda apart: candidates(apart, t, every=False), lambda apart: candidates(apart, t, every=True)):
+        apart = shared.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = pairs(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = found if met is None else found.join(met, ["a", "b"], "left_anti")
+        found = saved(plausible(found, sets_of, t), "candidates")
+        more = saved(links(found, texts, words, t), "links")
+        met = found if met is None else met.union(found)
+        if not more.isEmpty():
+            stars = saved(star_components(more.union(stars.select("node", "root"))), "stars")
+    return stars
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, text): node is the text's hash."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,26 +296,32 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Documents link if the Jaccard similarity of the sets of their word shingles is `similarity` or more. Null and
     empty texts, and those of white space, are equal. Repeated rows stay repeated. A null id is no candidate for
-    component_id, which is null if a component has no other.
+    component_id, which is null if a component has no other. Other columns of docs are not returned.
     """
-    t = Fraction(str(similarity))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
+    made = keyed(docs, id_col, text_col)
     firsts = saved(made.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
-    sets_of = saved(prefixes(made, words, t).dropDuplicates(["node"]), "prefixes")
-    dealt = sets_of.select("node", "n", F.posexplode("prefix").alias("at", "s"))
-    dealt = dealt.withColumn("k", F.count("*").over(Window.partitionBy("s"))).filter("k > 1")
-    shared = saved(dealt.join(sets_of.select("node", "sketch"), "node"), "shared")
-    first = saved(plausible(candidates(shared.withColumn("root", F.col("node")), t, every=False), sets_of, t), "candidates")
-    edges = saved(links(first, made, words, t), "links")
-    stars = saved(star_components(edges), "stars")
-    apart = shared.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = candidates(apart, t, every=True).join(first, ["a", "b"], "left_anti")
-    rest = saved(plausible(rest, sets_of, t), "candidates")
-    more = saved(links(rest, made, words, t), "links")
-    if not more.isEmpty():
-        stars = saved(star_components(more.union(stars.select("node", "root"))), "stars")
+    stars = linked(made, words, Fraction(str(similarity)))
     least = stars.join(firsts, "node").groupBy("root").agg(F.min("first").alias("low"))
     low = stars.join(least, "root").select("node", "low")
     named = firsts.join(low, "node", "left").select("node", F.coalesce("low", "first").alias("component_id"))
     return made.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def first_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs reduced to one row of each component of `similar_documents`: that of the smallest id (null ids last), of texts
+    that share it the one of the smallest hash, of repeated rows any one. All columns stay; none named __node may be there.
+    """
+    made = keyed(docs, id_col, text_col)
+    each = made.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "rows"))
+    firsts = saved(each.groupBy("node").agg(best.alias("f")), "distinct")
+    stars = linked(made, words, Fraction(str(similarity)))
+    of_group = firsts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("f").alias("f"))
+    kept = saved(of_group.select(F.col("f.doc_id").alias("__id"), F.col("f.node").alias("__n"), F.col("f.rows").alias("__rows")), "kept")
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = (F.col("__node") == F.col("__n")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    once = rows.join(kept.filter("__rows = 1").hint("shuffle_hash"), same, "left_semi")
+    if not kept.filter("__rows > 1").isEmpty():
+        often = rows.join(kept.filter("__rows > 1"), same, "left_semi")
+        once = once.unionByName(often.dropDuplicates([id_col, "__node"]))
+    return once.select(*docs.columns)

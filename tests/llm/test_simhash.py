@@ -83,7 +83,7 @@ def test_similar_documents_takes_edited_copies_and_leaves_others(spark):
         tokens = texts[i].split()
         tokens[50], tokens[150] = "edited", "again"
         rows += [(100 + i, " ".join(tokens)), (200 + i, texts[i].upper())]
-    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = dict(similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {i: i % 100 for i, _ in rows}
 
 
@@ -128,7 +128,7 @@ def test_similar_documents_equal_brute_force_jaccard(spark, monkeypatch, tile):
     monkeypatch.setattr(similar, "TILE", tile)
     monkeypatch.setattr(similar, "PAIRS", 50 * tile)
     texts = near_copies(np.random.default_rng(11))
-    got = dict(simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    got = dict(similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert got == brute_similar(texts)
 
 
