@@ -14,10 +14,10 @@ from lineweave.llm.line_dedup import line_dedup
 from lineweave.llm.packing import pack, word_count
 from lineweave.llm.quality import KEEP_AT, quality_model, score
 from lineweave.llm.secrets import fit, scan
-from lineweave.llm.simhash import similar_documents
+from lineweave.llm.similar import first_of_similar
 
 #: A stage is not expressible in SQL (trained models, fingerprints), so there is no twin; tests hold the stages
-#: against brute force.
+#: against brute force. Columns of documents named __score or __spans would be replaced by the stages' own.
 ORACLE_SQL = None
 
 
@@ -40,10 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id. Rows without an id stay as they are."""
-    kept = saved(similar_documents(docs).filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct(), "kept")
-    named = docs.filter("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of near copies one row: that of the smallest id, rows without an id last."""
+    return first_of_similar(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The batch and slot of each document."""
-    return pack(docs, word_count(F.col("text")))
+    return pack(docs, word_count(F.col("text")), content=F.col("text"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
