@@ -124,23 +124,36 @@ def word_diff(ref: str, pred: str) -> list[str]:
     return ["\t".join((tag, " ".join(a[i:j]), " ".join(b[k:m]))) for tag, i, j, k, m in codes]
 
 
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence of two token lists, by bit vectors (Crochemore et al., 2001)."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def without_parens(text: str, left: str = "(", right: str = ")") -> str:
-    """Text outside balanced brackets (C11)."""
-    out, depth = [], 0
-    for c in text:
-        if c == left:
-            depth += 1
-        elif c == right and depth:
-            depth -= 1
-        elif not depth:
-            out.append(c)
-    return "".join(out)
+    """Text outside balanced brackets (C11). Brackets are counted from the right; what the last of them leaves open stays."""
+    depth, run, marks = 0, 0, []
+    for c in reversed(text):
+        was, depth = depth, max(0, depth + (c == right) - (c == left))
+        marks.append((run, was > 0 or depth > 0))
+        run += was > 0 and depth == 0
+    kept = [c for c, (k, inside) in zip(text, reversed(marks), strict=True) if not inside or (k == run and depth)]
+    return "".join(kept)
 
 
 def gloss_list(text: str) -> list[str]:
-    """Glosses of a list in one cell: brackets' content dropped or unwrapped, numbering off, split, each once (C11)."""
-    plain = without_parens(text).replace("[", "").replace("]", "")
-    parts = (re.sub(r"\s+\d+(?:[-.]\d+)*$", "", p.strip()) for p in re.split("[;,/]", plain))
+    """Glosses of a list in one cell (C11): of a cell that begins with square brackets their content; question marks, brackets
+    of both kinds with what is in them, and numbering at the end go; the rest is split, each gloss once."""
+    if head := re.match(r"\[(.+?)\]", text):
+        text = head[1]
+    plain = without_parens(" ".join(without_parens(text.replace("?", "").strip()).split()), "[", "]")
+    parts = (p.strip() for p in re.split("[;,/]", re.sub(r"\s+\d+(\.\d+)*$", "", plain)))
     return list(dict.fromkeys(p for p in parts if p))
 
 
@@ -148,6 +161,13 @@ def grow_diag_final(forward: set[tuple[int, int]], backward: set[tuple[int, int]
     """Symmetrised links (Koehn et al., 2003): grown from the intersection over neighbours in the union, then links
     of words still free (both sides with `both`, else either)."""
     links, union = forward & backward, forward | backward
+    rows, columns = {i for i, _ in links}, {j for _, j in links}
+
+    def add(i: int, j: int) -> None:
+        links.add((i, j))
+        rows.add(i)
+        columns.add(j)
+
     near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     grown = True
     while grown:
@@ -155,14 +175,14 @@ def grow_diag_final(forward: set[tuple[int, int]], backward: set[tuple[int, int]
         for i, j in sorted(links):
             for a, b in near:
                 new = (i + a, j + b)
-                if new in union and new not in links and (new[0] not in {x for x, _ in links} or new[1] not in {y for _, y in links}):
-                    links.add(new)
+                if new in union and new not in links and (new[0] not in rows or new[1] not in columns):
+                    add(*new)
                     grown = True
     for side in (forward, backward):
         for i, j in sorted(side):
-            free = (i not in {x for x, _ in links}, j not in {y for _, y in links})
+            free = (i not in rows, j not in columns)
             if all(free) if both else any(free):
-                links.add((i, j))
+                add(i, j)
     return sorted(links)
 
 
@@ -198,6 +218,7 @@ token_edits = mapped(lambda a, b: edit_counts(list(a), list(b), True), T.LongTyp
 jaro = mapped(lambda a, b: jaro_similarity(list(a), list(b)), T.DoubleType())
 ter_edit_count = mapped(lambda a, b: ter_edits(list(a), list(b)), T.LongType())
 diff = mapped(word_diff, T.ArrayType(T.StringType()))
+common_subsequence = mapped(lambda a, b: common_length(list(a), list(b)), T.LongType())
 glosses = mapped(gloss_list, T.ArrayType(T.StringType()))
 rbo = mapped(lambda s, t: rbo_ext([list(x) for x in s], [list(x) for x in t]), T.DoubleType())
 

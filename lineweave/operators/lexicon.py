@@ -1,7 +1,9 @@
-"""Word lexicons, alignments and their metrics (L01, L03-L10, E09-E14, W09, S13). A lexicon is (src, trg, prob); absent is 0."""
+"""Word lexicons, alignments and their metrics (L01-L12, J04, J07, E09-E14, W09, S13). A lexicon is (src, trg, prob); absent is 0."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +86,15 @@ def average_overlap(lexicon: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 def sentence_scores(links: DataFrame, tokens: DataFrame, direct: DataFrame, inverse: DataFrame, key: list[str]) -> DataFrame:
     """Mean of the link probabilities and the NULL probabilities of unaligned tokens of each sentence.
 
-    links: key, i, j, src, trg. tokens: key, side (src or trg), at, word. A link scores the larger of its
-    direct and inverse probability, an unaligned token its probability with NULL; floors are 1e-9.
+    links: key, i, j, src, trg, and where the aligner states it p, the link's own probability. tokens: key, side (src or
+    trg), at, word. A link without p scores the larger of its direct and inverse probability, an unaligned token its
+    probability with NULL; floors are 1e-9.
     """
+    own = F.col("p") if "p" in links.columns else F.lit(None).cast("double")
+    links = links.withColumn("_own", own)
     back = inverse.select(F.col("trg").alias("src"), F.col("src").alias("trg"), F.col("prob").alias("q"))
     linked = links.join(direct, ["src", "trg"], "left").join(back, ["src", "trg"], "left")
-    scored = linked.select(*key, F.greatest(F.coalesce("prob", F.lit(FLOOR)), F.coalesce("q", F.lit(FLOOR)), F.lit(FLOOR)).alias("p"))
+    scored = linked.select(*key, F.coalesce("_own", F.greatest(F.coalesce("prob", F.lit(FLOOR)), F.coalesce("q", F.lit(FLOOR)), F.lit(FLOOR))).alias("p"))
     used = links.select(*key, F.lit("src").alias("side"), F.col("i").alias("at")).union(links.select(*key, F.lit("trg"), F.col("j"))).distinct()
     free = tokens.join(used, [*key, "side", "at"], "left_anti")
     null = direct.filter("src = 'NULL'").select(F.lit("trg").alias("side"), F.col("trg").alias("word"), "prob")
@@ -98,6 +103,44 @@ def sentence_scores(links: DataFrame, tokens: DataFrame, direct: DataFrame, inve
     return scored.union(free).groupBy(*key).agg(F.round(F.avg("p"), 6).alias("score"))
 
 
+def corpus_scores(pairs: DataFrame, links: DataFrame, direct: DataFrame, inverse: DataFrame, key: list[str]) -> DataFrame:
+    """(key, score) of every pair (key, s, t: word arrays) (L02): -1 where a side has no word, 0 for all if no pair at all
+    can be aligned."""
+    full = (F.size("s") > 0) & (F.size("t") > 0)
+    tokens = pairs.filter(full).select(*key, F.lit("src").alias("side"), F.posexplode("s").alias("at", "word"))
+    tokens = tokens.union(pairs.filter(full).select(*key, F.lit("trg"), F.posexplode("t")))
+    scored = sentence_scores(links, tokens, direct, inverse, key)
+    any_ = pairs.agg(F.coalesce(F.bool_or(full), F.lit(False)).alias("_any"))
+    rows = pairs.select(*key, full.alias("_full")).join(scored, key, "left").crossJoin(F.broadcast(any_))  # one row
+    return rows.select(*key, F.when(~F.col("_any"), 0.0).when(~F.col("_full"), -1.0).otherwise(F.col("score")).alias("score"))
+
+
+def with_scores(rows: DataFrame, cached: DataFrame, computed: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the score that cached has for their key, else the computed one (J04): a join by key, so neither table's
+    order matters."""
+    return rows.join(cached.select(*key, "score"), key, "left").join(computed.select(*key, F.col("score").alias("_new")), key, "left").withColumn("score", F.coalesce("score", "_new")).drop("_new")
+
+
+def pair_coverage(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Per project pair (A05): rows, those with only one side, those with both, and of these the mean score, how many a
+    score at or below threshold takes away, and the mean of the rest (of all without a threshold).
+
+    rows: by, src, trg, score.
+    """
+    s, t = F.char_length("src") > 0, F.char_length("trg") > 0
+    both, over = s & t, F.col("score") > threshold
+    mean = lambda c: F.round(F.avg(F.when(c, F.col("score"))), 4)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("count"),
+        F.count_if(s & ~t).alias("src_only"),
+        F.count_if(t & ~s).alias("trg_only"),
+        F.count_if(both).alias("parallel"),
+        mean(both).alias("align_score"),
+        (F.count_if(both & ~over) if threshold > 0 else F.lit(0).cast("bigint")).alias("filtered_count"),
+        mean(both & over if threshold > 0 else both).alias("filtered_align_score"),
+    )
+
+
 def alignment_metrics(system: DataFrame, gold: DataFrame, key: list[str], by: list[str], alpha: float = 0.5) -> DataFrame:
     """AER, precision, recall and F of links against gold links with a `sure` flag, per group.
 
@@ -130,6 +173,19 @@ def crossing_counts(links: DataFrame, key: list[str]) -> DataFrame:
     return each.select(*key, "i", "j", F.size(crossed).cast("bigint").alias("crossings"))
 
 
+def crossing_breaks(links: DataFrame, breaks: DataFrame, key: list[str]) -> DataFrame:
+    """How many links of its sentence cross each break (key, at, to) before source word `at` and target word `to`."""
+    rows = links.groupBy(*key).agg(F.collect_list(F.struct("i", "j")).alias("all"))
+    crossed = F.filter(F.coalesce("all", F.array().cast("array<struct<i: int, j: int>>")), lambda o: (o["i"] < F.col("at")) != (o["j"] < F.col("to")))
+    return breaks.join(rows, key, "left").select(*key, "at", "to", F.size(crossed).cast("bigint").alias("crossed"))
+
+
+def without_crossing(links: DataFrame, other: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Links that, taken as breaks, fewer than n links of the other alignment cross."""
+    own = links.select(*key, F.col("i").alias("at"), F.col("j").alias("to")).distinct()
+    return crossing_breaks(other, own, key).filter(F.col("crossed") < n).select(*key, F.col("at").alias("i"), F.col("to").alias("j"))
+
+
 def symmetric_links(forward: DataFrame, backward: DataFrame, key: list[str], heuristic: str = "intersection") -> DataFrame:
     """Links that both directions have, or either one (L08); for grow-diag-final see functions.alignment."""
     at = [*key, "i", "j"]
@@ -158,3 +214,52 @@ def ibm1(pairs: DataFrame, key: list[str], rounds: int = 3) -> DataFrame:
         counts = written(whole.groupBy("src", "trg").agg(F.sum(F.col("m") * F.col("w") / F.col("z")).alias("n")), "counts")
         table = normalise(counts)
     return table
+
+
+def same_place(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Links of words at the same place: a baseline. pairs: key, s, t."""
+    zipped = F.filter(F.arrays_zip("s", "t"), lambda x: x["s"].isNotNull() & x["t"].isNotNull())
+    each = pairs.select(*key, F.posexplode(zipped).alias("i", "x"))
+    return each.select(*key, "i", F.col("i").alias("j"), F.col("x.s").alias("src"), F.col("x.t").alias("trg"))
+
+
+def same_word(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Links of words that both sides have, the k-th one with the k-th one: names and numbers."""
+    nth = lambda c, at: pairs.select(*key, F.posexplode(c).alias(at, "w")).withColumn("k", F.row_number().over(Window.partitionBy(*key, "w").orderBy(at)))
+    return nth("s", "i").join(nth("t", "j"), [*key, "w", "k"]).select(*key, "i", "j", F.col("w").alias("src"), F.col("w").alias("trg"))
+
+
+def most_likely(pairs: DataFrame, key: list[str], rounds: int = 3) -> DataFrame:
+    """Links of each target word with the source word of the largest IBM Model 1 probability, the first of equals."""
+    table = ibm1(pairs.select(*key, F.col("s").alias("src"), F.col("t").alias("trg")), key, rounds)
+    s, t = pairs.select(*key, F.posexplode("s").alias("i", "src")), pairs.select(*key, F.posexplode("t").alias("j", "trg"))
+    met = s.join(t, key).join(table, ["src", "trg"])
+    best = F.max_by(F.struct("i", "src"), F.struct(F.round("prob", 9), (-F.col("i")).alias("o"))).alias("b")
+    return met.groupBy(*key, "j", "trg").agg(best).select(*key, "b.i", "j", "b.src", "trg")
+
+
+#: Aligners by id (L11): a name, and what makes links (key, i, j, src, trg) of pairs (key, s, t). Others may be added.
+ALIGNERS: dict[str, tuple[str, Callable[[DataFrame, list[str]], DataFrame]]] = {"place": ("Same place", same_place), "word": ("Same word", same_word), "ibm1": ("IBM Model 1", most_likely)}
+
+
+def get_aligner(name: str) -> Callable[[DataFrame, list[str]], DataFrame]:
+    if name not in ALIGNERS:
+        raise ValueError(f"no aligner {name}; known are {sorted(ALIGNERS)}")
+    return ALIGNERS[name][1]
+
+
+def experiment(aligners: list[str], pairs: DataFrame, gold: DataFrame, gold_lexicon: DataFrame, key: list[str], book: str, k: int = 3) -> DataFrame:
+    """(book, model, aer, precision, recall, f, precision_at_k, recall_at_k, f_at_k) of each aligner (L12): links, lexicon
+    and metrics; all books together are ALL, and only there the lexicon's metrics are joined (J07).
+
+    pairs: key, s, t. gold: key, i, j, sure. gold_lexicon: src, trg.
+    """
+    metrics, lexicons = None, None
+    for name in aligners:
+        links = get_aligner(name)(pairs, key)
+        every = lambda df: df.withColumn("_book", F.explode(F.array(F.col(book).cast("string"), F.lit("ALL"))))
+        own = alignment_metrics(every(links), every(gold), ["_book", *key], ["_book"]).withColumn("model", F.lit(name))
+        at = precision_recall_at_k(normalise(build(links)), gold_lexicon, k).select(F.lit("ALL").alias("_book"), F.lit(name).alias("model"), *(F.col(c).alias(f"{c}_at_{k}") for c in ("precision", "recall", "f")))
+        metrics = own if metrics is None else metrics.unionByName(own)
+        lexicons = at if lexicons is None else lexicons.unionByName(at)
+    return metrics.join(lexicons, ["_book", "model"], "left").withColumnRenamed("_book", "book")

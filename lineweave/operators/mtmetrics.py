@@ -1,87 +1,195 @@
-"""Translation metrics from n-gram tables (E01-E03, E07-E08, E17): Papineni et al. (2002), Popovic (2015, 2017)."""
+"""Translation metrics from n-gram matches (E01-E03, E06-E08, E17): Papineni et al. (2002), Popovic (2015, 2017), Doddington (2002), Lin (2004), Wu et al. (2016)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lineweave.functions import text as X
+from lineweave.functions import udfs as U
 
 ORDERS = 4
 
 
-def grams(words: Column, orders: list[int], sep: str = " ") -> Column:
-    """All n-grams as (order, gram)."""
-
-    def of(n: int) -> Column:
-        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), sep).alias("g")))
-
-    return F.flatten(F.array(*map(of, orders)))
-
+def _lists(column: pa.Array, chars: bool) -> tuple[pa.Array | np.ndarray, np.ndarray]:
+    """(items of all rows, where each row's begin): tokens of lists, code points of texts."""
+    if chars:
+        column = pc.fill_null(column, "")
+        sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+        return np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(column), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def row_matches(hyp: pa.Array, ref: pa.Array, orders: int, chars: bool) -> np.ndarray:
+    """(3, rows, orders): clipped matches, and the n-grams of each side, for n from 1 to orders. n-grams are numbered
+    exactly, each by that of its first n - 1 items and its last one."""
+    (a, at), (b, bt) = _lists(hyp, chars), _lists(ref, chars)
+    if chars:
+        codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int64)
+    else:
+        codes = pa.concat_arrays([a.cast(pa.string()), b.cast(pa.string())]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    rows = len(hyp)
+    row = np.concatenate([np.repeat(np.arange(rows), np.diff(at)), np.repeat(np.arange(rows, 2 * rows), np.diff(bt))])
+    out, ids, here, kinds = np.zeros((3, rows, orders), np.int64), codes, np.arange(len(codes)), int(codes.max(initial=0)) + 1
+    for n in range(orders):
+        if n:
+            on = (here + n < len(codes)) & (row[np.minimum(here + n, len(codes) - 1)] == row[here])
+            here, ids = here[on], np.unique(ids[on] * kinds + codes[here[on] + n], return_inverse=True)[1].astype(np.int64)
+        span = int(ids.max(initial=0)) + 1
+        side = row[here] >= rows
+        sizes = np.bincount(row[here], minlength=2 * rows)
+        out[1, :, n], out[2, :, n] = sizes[:rows], sizes[rows:]
+        mine, count = np.unique(row[here][~side] * span + ids[~side], return_counts=True)
+        theirs, other = np.unique((row[here][side] - rows) * span + ids[side], return_counts=True)
+        _, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+        np.add.at(out[0, :, n], mine[i] // span, np.minimum(count[i], other[j]))
+    return out
+
+
+def matches(rows: DataFrame, hyp: str, ref: str, orders: int, chars: bool = False) -> DataFrame:
+    """rows and hit, hyp_n, ref_n (arrays by order): clipped matches and n-grams of both sides of each row.
+
+    hyp and ref are columns of word lists, or with chars of texts. Both sides of a row are at hand, so nothing is
+    shuffled; what is summed up afterwards is three numbers a row and order.
+    """
+    names = ("hit", "hyp_n", "ref_n")
+    schema = StructType([*rows.schema.fields, *(StructField(n, ArrayType(LongType())) for n in names)])
+    at, to = rows.columns.index(hyp), rows.columns.index(ref)
 
-def gram_counts(rows: DataFrame, key: list[str], words: str, orders: list[int], sep: str, out: str) -> DataFrame:
-    each = rows.select(*key, F.explode(grams(F.col(words), orders, sep)).alias("x")).select(*key, "x.n", "x.g")
-    return each.groupBy(*key, "n", "g").agg(F.count("*").alias(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = row_matches(batch.column(at), batch.column(to), orders, chars)
+            offsets = pa.array(np.arange(0, (batch.num_rows + 1) * orders, orders, dtype=np.int32))
+            yield pa.record_batch([*batch.columns, *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in found)], [*batch.schema.names, *names])
 
+    return rows.mapInArrow(run, schema)
 
-def matches(rows: DataFrame, key: list[str], orders: list[int], sep: str = " ") -> DataFrame:
-    """(key, n, hit, hyp, ref) of rows with word arrays h and r: clipped matches and n-grams on each side.
 
-    Everything stays partitioned by the row's key until the few sums per row are left.
-    """
-    hyp, ref = gram_counts(rows, key, "h", orders, sep, "a"), gram_counts(rows, key, "r", orders, sep, "b")
-    both = hyp.join(ref, [*key, "n", "g"], "full_outer")
-    zero = F.lit(0)
-    return both.groupBy(*key, "n").agg(
-        F.sum(F.least(F.coalesce("a", zero), F.coalesce("b", zero))).alias("hit"), F.sum(F.coalesce("a", zero)).alias("hyp"), F.sum(F.coalesce("b", zero)).alias("ref")
-    )
+def total(column: str, n: int) -> Column:
+    return F.coalesce(F.sum(F.get(column, n - 1)), F.lit(0))
 
 
-def bleu(rows: DataFrame, key: list[str], by: list[str], effective: bool = False) -> DataFrame:
+def bleu(rows: DataFrame, by: list[str], effective: bool = False) -> DataFrame:
     """BLEU per group `by` of rows (h, r: word arrays), with precisions, brevity penalty and lengths.
 
     Orders without a match are smoothed exponentially: the k-th of them counts 1 / (2**k * total). With
     `effective`, orders of which the system has no n-gram are left out, as for single sentences.
     """
-    lengths = rows.groupBy(*by).agg(F.sum(F.size("h")).alias("sys_len"), F.sum(F.size("r")).alias("ref_len"))
-    parts = matches(rows, key, list(range(1, ORDERS + 1)))
-    sums = parts.groupBy(*by, "n").agg(F.sum("hit").alias("hit"), F.sum("hyp").alias("hyp"))
-    wide = sums.groupBy(*by).pivot("n", list(range(1, ORDERS + 1))).agg(F.first("hit").alias("hit"), F.first("hyp").alias("hyp"))
-    table = lengths.join(wide, by, "left") if by else lengths.crossJoin(wide)  # a row each
+    orders = range(1, ORDERS + 1)
+    sums = [F.sum(F.size("h")).alias("sys_len"), F.sum(F.size("r")).alias("ref_len")]
+    sums += [total(c, n).alias(f"{n}_{c}") for n in orders for c in ("hit", "hyp_n")]
+    found = matches(rows.select(*by, "h", "r"), "h", "r", ORDERS)
+    return bleu_of(found.groupBy(*by).agg(*sums) if by else found.agg(*sums), by, effective)
+
+
+def bleu_of(table: DataFrame, by: list[str], effective: bool) -> DataFrame:
     zeros, logs, used, shown = F.lit(0), F.lit(0.0), F.lit(0), []
     for n in range(1, ORDERS + 1):
-        hit, total = F.coalesce(F.col(f"{n}_hit"), F.lit(0)), F.coalesce(F.col(f"{n}_hyp"), F.lit(0))
-        zeros = zeros + F.when((total > 0) & (hit == 0), 1).otherwise(0)
-        p = F.when(total == 0, 0.0).when(hit == 0, 100.0 / (F.pow(F.lit(2.0), zeros) * total)).otherwise(hit * F.lit(100.0) / total)
+        hit, of = F.col(f"{n}_hit"), F.col(f"{n}_hyp_n")
+        zeros = zeros + F.when((of > 0) & (hit == 0), 1).otherwise(0)
+        p = F.when(of == 0, 0.0).when(hit == 0, 100.0 / (F.pow(F.lit(2.0), zeros) * of)).otherwise(hit * F.lit(100.0) / of)
         shown.append(F.round(p, 4).alias(f"p{n}"))
-        logs = logs + F.when(total > 0, F.ln(F.when(p > 0, p))).otherwise(0.0)
-        used = used + F.when(total > 0, 1).otherwise(0)
+        logs = logs + F.when(of > 0, F.ln(F.when(p > 0, p))).otherwise(0.0)
+        used = used + F.when(of > 0, 1).otherwise(0)
     orders = used if effective else F.lit(ORDERS)
     ratio = F.try_divide(F.col("ref_len"), F.col("sys_len"))
     bp = F.when(F.col("sys_len") == 0, 0.0).when(F.col("sys_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - ratio))
     whole = used > 0 if effective else used == ORDERS
-    score = F.when(whole & (F.coalesce(F.col("1_hit"), F.lit(0)) > 0), bp * F.exp(logs / orders)).otherwise(0.0)
+    score = F.when(whole & (F.col("1_hit") > 0), bp * F.exp(logs / orders)).otherwise(0.0)
     return table.select(*by, F.round(score, 4).alias("bleu"), *shown, F.round(bp, 6).alias("bp"), "sys_len", "ref_len")
 
 
-def chrf(rows: DataFrame, key: list[str], by: list[str], word_order: int = 0, beta: float = 3.0, orders: int = 6) -> DataFrame:
-    """chrF per group of rows (hyp, ref: texts); word_order 2 gives chrF++.
+def bleu_by_draft(rows: DataFrame, draft: str) -> DataFrame:
+    """BLEU of each draft and of all of them together, whose draft is null (E08): one pass, grouping sets over the sums.
+
+    A row without a draft text counts as an empty one.
+    """
+    sums = [F.sum(F.size("h")).alias("sys_len"), F.sum(F.size("r")).alias("ref_len")]
+    sums += [total(c, n).alias(f"{n}_{c}") for n in range(1, ORDERS + 1) for c in ("hit", "hyp_n")]
+    found = matches(rows.select(draft, F.coalesce("h", F.array().cast("array<string>")).alias("h"), "r"), "h", "r", ORDERS)
+    return bleu_of(found.cube(draft).agg(*sums), [draft], False)
+
+
+def chrf(rows: DataFrame, by: list[str], word_order: int = 0, beta: float = 3.0, orders: int = 6) -> DataFrame:
+    """chrF per group of rows (hyp, ref: texts); word_order 1 gives chrF+, 2 chrF++.
 
     Characters without white space, orders 1 to 6. Without words: F of the mean precision and recall over the
     orders both sides have. With words: the mean over all orders of each order's own F.
     """
-    squeeze = lambda c: F.filter(F.split(F.regexp_replace(c, X.BLANK, ""), ""), lambda x: x != "")
-    parts = matches(rows.select(*key, squeeze("hyp").alias("h"), squeeze("ref").alias("r")), key, list(range(1, orders + 1)), "")
+    squeeze = lambda c: F.regexp_replace(c, X.BLANK, "")
+    found = matches(rows.select(*by, "hyp", "ref", squeeze("hyp").alias("h"), squeeze("ref").alias("r")), "h", "r", orders, True)
     if word_order:
         apart = lambda c: X.tokens(F.regexp_replace(c, f"({X.PUNCT})", " $1 "))
-        words = matches(rows.select(*key, apart("hyp").alias("h"), apart("ref").alias("r")), key, list(range(1, word_order + 1)))
-        parts = parts.unionByName(words.withColumn("n", F.col("n") + orders))
-    sums = parts.groupBy(*by, "n").agg(F.sum("hit").alias("hit"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"))
-    p, r = F.try_divide(F.col("hit").cast("double"), F.col("hyp")), F.try_divide(F.col("hit").cast("double"), F.col("ref"))
+        first = found.select(*by, *(F.col(c).alias(f"_{c}") for c in ("hit", "hyp_n", "ref_n")), apart("hyp").alias("h"), apart("ref").alias("r"))
+        found = matches(first, "h", "r", word_order).select(*by, *(F.concat(f"_{c}", c).alias(c) for c in ("hit", "hyp_n", "ref_n")))
+    n = orders + word_order
+    sums = found.groupBy(*by).agg(*(total(c, k).alias(f"{c}{k}") for k in range(1, n + 1) for c in ("hit", "hyp_n", "ref_n")))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
     f = lambda p, r: F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))
+    zero, pairs = F.lit(0.0), [(ratio(f"hit{k}", f"hyp_n{k}"), ratio(f"hit{k}", f"ref_n{k}")) for k in range(1, n + 1)]
     if word_order:
-        score = F.sum(f(F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0)))) / (orders + word_order)
-        return sums.groupBy(*by).agg(F.round(100 * score, 4).alias("chrf"))
-    shared = sums.filter("hyp > 0 AND ref > 0").groupBy(*by).agg(F.avg(p).alias("p"), F.avg(r).alias("r"))
-    return shared.select(*by, F.round(100 * f(F.col("p"), F.col("r")), 4).alias("chrf"))
+        score = sum((f(F.coalesce(p, zero), F.coalesce(r, zero)) for p, r in pairs), zero) / n
+        return sums.select(*by, F.round(100 * score, 4).alias("chrf"))
+    both = [(F.when(p.isNotNull() & r.isNotNull(), p), F.when(p.isNotNull() & r.isNotNull(), r)) for p, r in pairs]
+    mean = lambda k: sum((F.coalesce(x[k], zero) for x in both), zero) / sum((x[k].isNotNull().cast("int") for x in both), F.lit(0))
+    any_ = sum((x[0].isNotNull().cast("int") for x in both), F.lit(0)) > 0
+    return sums.filter(any_).select(*by, F.round(100 * f(mean(0), mean(1)), 4).alias("chrf"))
+
+
+def overlaps(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean per group of sentence scores of word arrays h and r (E06): GLEU, F of ROUGE-1, -2 and -L, and precision and
+    recall of the sets of words. A score without anything to divide by is 0."""
+    found = matches(rows.select(*by, "h", "r"), "h", "r", ORDERS)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    rouge = lambda hit, a, b: share(2 * hit, a + b)  # noqa: E731  F of hit / a and hit / b
+    at = lambda c, k: F.get(c, k)
+    sets = F.size(F.array_intersect("h", "r"))
+    each = found.select(
+        *by,
+        share(add("hit"), F.greatest(add("hyp_n"), add("ref_n"))).alias("gleu"),
+        *(rouge(at("hit", k), at("hyp_n", k), at("ref_n", k)).alias(f"rouge{k + 1}") for k in (0, 1)),
+        rouge(U.common_subsequence("h", "r"), F.size("h"), F.size("r")).alias("rouge_l"),
+        share(sets, F.size(F.array_distinct("h"))).alias("set_precision"),
+        share(sets, F.size(F.array_distinct("r"))).alias("set_recall"),
+    )
+    return each.groupBy(*by).agg(*(F.round(F.avg(c), 6).alias(c) for c in each.columns if c not in by))
+
+
+def gram_counts(rows: DataFrame, key: list[str], words: str, orders: int, out: str) -> DataFrame:
+    """(key, n, g, out): how often each n-gram stands in each row."""
+
+    def of(n: int) -> Column:
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.slice(words, i, n).alias("g")))
+
+    each = rows.select(*key, F.explode(F.flatten(F.array(*map(of, range(1, orders + 1))))).alias("x")).select(*key, "x.n", "x.g")
+    return each.groupBy(*key, "n", "g").agg(F.count("*").alias(out))
+
+
+def nist(rows: DataFrame, key: list[str], orders: int = 5) -> DataFrame:
+    """(nist): the corpus score of word arrays h and r.
+
+    An n-gram's weight is log2 of how often its first n - 1 words stand in the references over how often it does
+    itself. Weights are of the whole corpus, so here n-grams are shuffled; counts are summed up before.
+    """
+    ref, hyp = gram_counts(rows, key, "r", orders, "b"), gram_counts(rows, key, "h", orders, "a")
+    seen = ref.groupBy("n", "g").agg(F.sum("b").alias("seen"))
+    words = rows.agg(F.sum(F.size("r")).alias("ref_len"), F.sum(F.size("h")).alias("sys_len"))
+    shorter = seen.select((F.col("n") + 1).alias("n"), F.col("g").alias("head"), F.col("seen").alias("before"))
+    weights = seen.withColumn("head", F.slice("g", 1, F.col("n") - 1)).join(shorter, ["n", "head"], "left").crossJoin(F.broadcast(words))  # one row
+    weights = weights.select("n", "g", F.log2(F.coalesce("before", "ref_len") / F.col("seen")).alias("w"))
+    hit = hyp.join(ref, [*key, "n", "g"]).groupBy("n", "g").agg(F.sum(F.least("a", "b")).alias("hit"))
+    gained = hit.join(weights, ["n", "g"]).groupBy("n").agg(F.sum(F.col("hit") * F.col("w")).alias("gain"))
+    shown = hyp.groupBy("n").agg(F.sum("a").alias("shown"))
+    score = shown.join(gained, "n", "left").agg(F.sum(F.coalesce(F.col("gain") / F.col("shown"), F.lit(0.0))).alias("score"))
+    ratio = F.least(F.col("sys_len") / F.col("ref_len"), F.lit(1.0))
+    penalty = F.exp(F.ln(F.lit(0.5)) / F.pow(F.ln(F.lit(1.5)), 2) * F.pow(F.ln(ratio), 2))  # 0.5 at two thirds of the length
+    return score.crossJoin(F.broadcast(words)).select(F.round(F.col("score") * penalty, 4).alias("nist"))

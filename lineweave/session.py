@@ -42,10 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's own tables: one for each run, so that all of them can go at once."""
+    return f"{shared_dir(spark)}/lineweave-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later passes neither recompute it nor depend on
-    the executors that made it."""
+    the executors that made it. The table stays until `release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lineweave-{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this run has written. Call it once the results that were made from them are consumed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

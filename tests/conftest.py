@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lineweave.session import get_session  # noqa: E402
+from lineweave.session import get_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = get_session("local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    release(session)
