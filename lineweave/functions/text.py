@@ -104,8 +104,10 @@ def seeded_order(seed: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
 
 
-#: Clinging of punctuation for the normaliser: to the word before, after, both, or neither.
-CLINGING = {".": "left", ",": "left", "?": "left", "!": "left", ";": "left", ":": "left", ")": "left", "]": "left", "”": "left", "(": "right", "[": "right", "“": "right", "—": "none", "–": "none", "/": "both"}
+#: Which way marks cling: to the word before, to the one after, to either one, or to none.
+CLINGING = {".": "before", ",": "before", "!": "before", "?": "before", "(": "after", ")": "before", "<": "after", ">": "before", "'": "either", '"': "either", "-": "none"}
+#: White space beyond ASCII too, inside a character class.
+SPACES = r"\s\p{Z}\x85\x1c-\x1f"
 
 
 def validate_rules(rules: dict[str, str] | list[tuple[str, str]]) -> dict[str, str]:
@@ -115,21 +117,45 @@ def validate_rules(rules: dict[str, str] | list[tuple[str, str]]) -> dict[str, s
     bad = [m for m in marks if len(m) != 1 or m.isspace()]
     if bad or len(set(marks)) < len(marks):
         raise ValueError(f"each rule needs one character of its own that is no white space: {bad or marks}")
-    if unknown := {k for _, k in pairs} - {"left", "right", "both", "none"}:
+    if unknown := {k for _, k in pairs} - {"before", "after", "either", "none"}:
         raise ValueError(f"unknown clinging: {unknown}")
     return dict(pairs)
 
 
+def char_class(marks: str) -> str:
+    return "".join("\\" + m for m in marks)
+
+
 def normalise_punctuation(c: Column | str, rules: dict[str, str] | None = None) -> Column:
-    """Spacing of isolated punctuation marks by their clinging, ends stripped, white space single.
+    """Spacing of single punctuation marks by their clinging, ends stripped, white space single.
 
-    A mark next to another mark is left as it is.
+    A mark with another one next to it, white space aside, stays as it is. A mark that may cling either way keeps the side
+    that its spacing shows; at an end of the text it loses all spacing.
     """
     rules = validate_rules(CLINGING if rules is None else rules)
-    quoted = "".join("\\" + m for m in rules)
-    out = strip(c)
-    for kind, new in (("left", "$1 "), ("right", " $1"), ("both", "$1"), ("none", " $1 ")):
-        marks = "".join("\\" + m for m, k in rules.items() if k == kind)
+    every = char_class("".join(rules))
+    single = lambda marks: rf"(?<![{every}{SPACES}])[{SPACES}]*([{marks}])[{SPACES}]*(?![{every}{SPACES}])"
+    edges = lambda x: F.regexp_replace(x, rf"^[{SPACES}]+|[{SPACES}]+$", "")
+    out = edges(F.regexp_replace(col(c), rf"[{SPACES}]+", " "))
+    for kind, new in (("before", "$1 "), ("after", " $1"), ("none", " $1 ")):
+        marks = char_class("".join(m for m, k in rules.items() if k == kind))
         if marks:
-            out = F.regexp_replace(out, rf"(?<![{quoted}]|[{quoted}]\s)\s*([{marks}])(?!\s*[{quoted}])\s*", new)
-    return strip(F.regexp_replace(out, r"\s+", " "))
+            out = edges(F.regexp_replace(out, single(marks), new))
+    marks = char_class("".join(m for m, k in rules.items() if k == "either"))
+    if marks:
+        out = F.regexp_replace(out, rf"^([{marks}]) +(?![{every}])", "$1")
+        out = F.regexp_replace(out, rf"(?<![{every} ]) +([{marks}])$", "$1")
+    return F.regexp_replace(out, r" +", " ")
+
+
+def strip_language_code(c: Column | str) -> Column:
+    """A sentence end and language code (`</s> eng_Latn`) off the end."""
+    return F.regexp_replace(col(c), r" ?</s> ?[a-zA-Z]{3}_[a-zA-Z]{4}$", "")
+
+
+def contains_letter(c: Column | str) -> Column:
+    return col(c).rlike(r"\p{L}")
+
+
+def starts_with_capital(c: Column | str) -> Column:
+    return col(c).rlike(r"^\p{Lu}")

@@ -31,8 +31,31 @@ def unicode_details(text: str) -> str:
     return "; ".join(f"U+{ord(c):04X} {unicodedata.name(c, '')}".rstrip() for c in text)
 
 
+def normaliser_warnings(text: str, rules: dict[str, str]) -> list[dict]:
+    """(code, pos, slice) of what the normaliser of these rules cannot or should not decide.
+
+    consecutive: marks next to each other, white space aside. undefined: a sign that is no letter, number, white space or
+    known mark. bordered: a mark between other characters without spacing. starting and ending: a mark that clings to
+    the word before begins the text, one that clings to the word after ends it. apart: a mark that may cling either
+    way has white space on both sides.
+    """
+    of = lambda *kinds: "".join(re.escape(m) for m, k in rules.items() if k in kinds)
+    every = of("before", "after", "either", "none")
+    patterns = [("consecutive", rf"[{every}][{every}\s]*[{every}]"), ("undefined", rf"[^\w\s{every}]|_"), ("bordered", rf"(?<=[^\s{every}])[{every}](?=[^\s{every}])")]
+    patterns += [(code, p) for code, kind, p in (("starting", "before", r"\A\s*([{}])"), ("ending", "after", r"([{}])(?=\s*\Z)"), ("apart", "either", r"(?<=\S\s)\s*([{}])(?=\s+\S)")) if of(kind) for p in [p.format(of(kind))]]
+    out = []
+    for code, pattern in patterns:
+        for m in re.finditer(pattern, text):
+            if code != "undefined" or unicodedata.category(m[0])[0] not in "LN":
+                at = 1 if m.re.groups else 0
+                out.append({"code": code, "pos": m.start(at), "slice": m[at]})
+    return out
+
+
 def edit_counts(a: list, b: list, swaps: bool = False) -> int:
-    """Edit distance of two token lists; with swaps, exchanging neighbours is one edit."""
+    """Edit distance of two token lists; with swaps, exchanging neighbours is one edit (M07). Without, see quick_edits."""
+    if not swaps:
+        return quick_edits(a, b)
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]
@@ -212,6 +235,12 @@ def rbo_ext(s: list, t: list, p: float = 0.9) -> float:
     return (1 - p) / p * total + p**long * tail
 
 
+def warnings_of(rules: dict[str, str]):
+    """The Arrow UDF of normaliser_warnings for these rules."""
+    found = T.StructType([T.StructField("code", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("slice", T.StringType())])
+    return mapped(lambda text: normaliser_warnings(text, rules), T.ArrayType(found))
+
+
 nfc = mapped(nfc_text, T.StringType())
 details = mapped(unicode_details, T.StringType())
 token_edits = mapped(lambda a, b: edit_counts(list(a), list(b), True), T.LongType())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A line that belongs to the one before, and one without a text.
 RANGE, PLACEHOLDER = "<range>", "..."
 
 
@@ -80,8 +81,10 @@ def score_filter(rows: DataFrame, threshold: float, score: str, key: list[str],
 
 def quantile_filter(rows: DataFrame, q: float, score: str, part: list[str]) -> DataFrame:
     """Rows over the q-quantile (linear between neighbours) of their part's scores."""
-    cut = rows.groupBy(*part).agg(F.percentile(score, F.lit(q)).alias("cut"))
-    return rows.join(cut, part).filter(F.col(score) > F.col("cut")).drop("cut")
+    from lineweave.operators.splits import quantiles
+
+    cut = quantiles(rows, part, score, [q]).select(*part, F.get("cuts", 0).alias("cut"))
+    return (rows.join(cut, part) if part else rows.crossJoin(F.broadcast(cut))).filter(F.col(score) > F.col("cut")).drop("cut")  # one row
 
 
 def mirror(pairs: DataFrame, src: str = "src", trg: str = "trg") -> DataFrame:

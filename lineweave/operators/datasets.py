@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
-from lineweave.functions.text import seeded_order
 from lineweave.operators import corpus as C
+from lineweave.operators.splits import numbered, split_bands
 
 
 @dataclass(frozen=True)
@@ -53,14 +53,8 @@ def build_dataset(pairs: DataFrame, plan: CorpusPair, part: list[str], order: st
 
 
 def split_by_plan(rows: DataFrame, key: list[str], plan: CorpusPair, seed: str) -> DataFrame:
-    """Test and validation rows are the first in seeded order: a top-k, so no task sees all rows."""
-    n = rows.count() if min(plan.test_size, plan.val_size) < 1 else 0
-    size = lambda x: math.floor(n * x) if x < 1 else int(x)
-    ranked = rows.withColumn("_o", seeded_order(seed, *map(F.col, key)))
-    held = ranked.select(*key, "_o").orderBy("_o", *key).limit(size(plan.test_size) + size(plan.val_size))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o", *key))  # only the held-out rows
-    held = held.select(*key, F.when(place <= size(plan.test_size), "test").otherwise("val").alias("split"))
-    return ranked.drop("_o").join(F.broadcast(held), key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """Test rows are the first in seeded order, validation rows follow, the rest is for training. Sizes below 1 are fractions."""
+    return split_bands(rows, key, [], [("test", plan.test_size), ("val", plan.val_size)], seed)
 
 
 def route_rows(rows: DataFrame, key: list[str], part: list[str], test: set[int], val: set[int], src: str = "src", trg: str = "trg") -> DataFrame:
@@ -73,8 +67,7 @@ def route_rows(rows: DataFrame, key: list[str], part: list[str], test: set[int],
 
 def batches(rows: DataFrame, part: list[str], order: list[str], size: int) -> DataFrame:
     """A batch number of `size` rows within each part."""
-    place = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("bigint"))
+    return numbered(rows, part, order).withColumn("batch", F.floor((F.col("_r") - 1) / size).cast("bigint")).drop("_r", "_n")
 
 
 def transpose_drafts(rows: DataFrame, key: list[str], drafts: str) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Cleaning rules and their cascade (F06-F20): a rule is a name and a Column that is true where a row fails."""
+"""Cleaning rules and their cascade (F06-F20): a rule is a name and a Column that is true where a row fails.
+
+What several rules ask of a text (word lengths, punctuation marks) is measured once, in a projection below the rules.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,28 @@ from lineweave.functions import text as X
 Rule = tuple[str, Column]
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Rules in their order, and the text columns whose measures they use."""
+
+    columns: tuple[str, ...]
+    rules: tuple[Rule, ...]
+
+
+def measured(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """rows with _sizes_<column>, the lengths of the column's words, and _marks_<column>, its punctuation marks."""
+    sizes = {f"_sizes_{c}": F.transform(X.tokens(c), F.char_length) for c in columns}
+    return rows.withColumns(sizes | {f"_marks_{c}": X.punct_count(c) for c in columns})
+
+
+def n_words(c: str) -> Column:
+    return F.size(f"_sizes_{c}")
+
+
+def marks(c: str) -> Column:
+    return F.col(f"_marks_{c}")
+
+
 def outside(n: Column, low: float, high: float) -> Column:
     return (n < low) | (n > high)
 
@@ -22,12 +49,15 @@ def specific_punct(c: str, limit: int = 5, share: float = 0.5) -> Column:
 
 def word_lengths(c: str, longest: int = 150, low: float = 3, high: float = 20) -> Column:
     """A word beyond `longest`, or a mean length outside [low, high]."""
-    return (X.longest_word(c) > longest) | outside(X.mean_word_length(c), low, high)
+    sizes = F.col(f"_sizes_{c}")
+    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
+    mean = total / (F.size(sizes).cast("double") + F.lit(1e-9))
+    return (F.coalesce(F.array_max(sizes), F.lit(0)) > longest) | outside(mean, low, high)
 
 
 def punct_load(c: str, share: float = 0.5, most: int = 10) -> Column:
     """Over `most` punctuation marks, or over that share of the text."""
-    return (X.punct_count(c) > most) | F.coalesce(X.ratio(X.punct_count(c), F.char_length(c)) > share, F.lit(False))
+    return (marks(c) > most) | F.coalesce(X.ratio(marks(c), F.char_length(c)) > share, F.lit(False))
 
 
 def html(c: str) -> Column:
@@ -38,17 +68,18 @@ def non_latin_share(c: str) -> Column:
     return X.ratio(X.count_of(c, "[^a-zA-Z]"), F.char_length(c))
 
 
-def line_rules(c: str = "line", low: int = 4, high: int = 200) -> list[Rule]:
+def line_rules(c: str = "line", low: int = 4, high: int = 200) -> Rules:
     """The single-language rules in their order."""
-    return [
-        ("blank", X.strip(c) == ""),
-        ("word_count", outside(F.size(X.tokens(c)), low, high)),
+    rules = (
+        ("blank", n_words(c) == 0),
+        ("word_count", outside(n_words(c), low, high)),
         ("specific_punct", specific_punct(c)),
         ("word_length", word_lengths(c)),
         ("punctuation", punct_load(c)),
         ("html", html(c)),
         ("special_char", F.col(c).contains("\\x")),
-    ]
+    )
+    return Rules((c,), rules)
 
 
 def either(rule, src: str, trg: str) -> Column:
@@ -63,29 +94,30 @@ def cross_ratio(a: Column, b: Column, most: float) -> Column:
 
 def pair_punct(src: str, trg: str, least: int = 3, most: int = 12, share: float = 0.5, cross: float = 3.0) -> Column:
     """Of pairs with `least` marks on both sides: over `most`, over that share, or cross-ratio over `cross`."""
-    s, t = X.punct_count(src), X.punct_count(trg)
+    s, t = marks(src), marks(trg)
     near = lambda a, b: a.cast("double") / (b.cast("double") + F.lit(1e-9))
     bad = (s > most) | (t > most) | (near(s, F.char_length(src)) > share) | (near(t, F.char_length(trg)) > share) | (near(s, t) > cross) | (near(t, s) > cross)
     return (s >= least) & (t >= least) & bad
 
 
-def pair_rules(src: str = "src", trg: str = "trg", low: int = 4, high: int = 200, word_ratio: float = 1.8, char_ratio: float = 3.0) -> list[Rule]:
+def pair_rules(src: str = "src", trg: str = "trg", low: int = 4, high: int = 200, word_ratio: float = 1.8, char_ratio: float = 3.0) -> Rules:
     """The two-language rules in their order; a blank or equal pair stops at the first."""
-    count = lambda c: F.size(X.tokens(c))
-    return [
-        ("blank_or_same", (X.strip(src) == "") | (X.strip(trg) == "") | (F.col(src) == F.col(trg))),
-        ("word_count", outside(count(src), low, high) | outside(count(trg), low, high)),
-        ("word_ratio", cross_ratio(count(src), count(trg), word_ratio)),
+    dense = lambda c: F.aggregate(f"_sizes_{c}", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    rules = (
+        ("blank_or_same", (n_words(src) == 0) | (n_words(trg) == 0) | (F.col(src) == F.col(trg))),
+        ("word_count", outside(n_words(src), low, high) | outside(n_words(trg), low, high)),
+        ("word_ratio", cross_ratio(n_words(src), n_words(trg), word_ratio)),
         ("specific_punct", either(specific_punct, src, trg)),
         ("word_length", either(word_lengths, src, trg)),
         ("punctuation", pair_punct(src, trg)),
         ("html", either(html, src, trg)),
         ("special_char", either(lambda c: F.col(c).contains("\\x"), src, trg)),
-        ("char_ratio", cross_ratio(X.dense_length(src), X.dense_length(trg), char_ratio)),
-    ]
+        ("char_ratio", cross_ratio(dense(src), dense(trg), char_ratio)),
+    )
+    return Rules((src, trg), rules)
 
 
-def first_failure(rules: list[Rule]) -> Column:
+def first_failure(rules: tuple[Rule, ...]) -> Column:
     """The name of the first rule that a row fails; null for none. One CASE, so later rules are not evaluated."""
     out = None
     for name, fails in rules:
@@ -93,8 +125,9 @@ def first_failure(rules: list[Rule]) -> Column:
     return out
 
 
-def cascade(rows: DataFrame, rules: list[Rule], out: str = "reason") -> DataFrame:
-    return rows.withColumn(out, first_failure(rules))
+def cascade(rows: DataFrame, rules: Rules, out: str = "reason") -> DataFrame:
+    judged = measured(rows, rules.columns).withColumn(out, first_failure(rules.rules))
+    return judged.drop(*(f"_{m}_{c}" for m in ("sizes", "marks") for c in rules.columns))
 
 
 def report(judged: DataFrame, by: list[str], reason: str = "reason") -> DataFrame:

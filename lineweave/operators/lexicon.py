@@ -225,8 +225,8 @@ def same_place(pairs: DataFrame, key: list[str]) -> DataFrame:
 
 def same_word(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Links of words that both sides have, the k-th one with the k-th one: names and numbers."""
-    nth = lambda c, at: pairs.select(*key, F.posexplode(c).alias(at, "w")).withColumn("k", F.row_number().over(Window.partitionBy(*key, "w").orderBy(at)))
-    return nth("s", "i").join(nth("t", "j"), [*key, "w", "k"]).select(*key, "i", "j", F.col("w").alias("src"), F.col("w").alias("trg"))
+    nth = lambda c, at: pairs.select(*key, F.posexplode(c).alias(at, "_w")).withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_w").orderBy(at)))
+    return nth("s", "i").join(nth("t", "j"), [*key, "_w", "_nth"]).select(*key, "i", "j", F.col("_w").alias("src"), F.col("_w").alias("trg"))
 
 
 def most_likely(pairs: DataFrame, key: list[str], rounds: int = 3) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lineweave.functions import text as X
 
 
+#: Characters of words in any script.
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
 def date_stamp(c: Column | str) -> Column:
     """The date of names that end in _YYYY_MM_DD; null without one."""
     return F.try_to_date(F.regexp_extract(X.col(c), r"_(\d{4}_\d{2}_\d{2})$", 1), "yyyy_MM_dd")
@@ -36,9 +40,10 @@ def quality_flags(rows: DataFrame, by: list[str], rules: dict[str, Column]) -> D
 
 
 def surface_pattern(rendering: Column) -> Column:
-    """A rendering as a regular expression: ** stands for some words, * for letters, all else for itself."""
+    """A rendering as a regular expression: ** stands for some words, * for the rest of a word in any script, all else for
+    itself (C12)."""
     quoted = F.regexp_replace(rendering, r"([.^$+?()\[\]{}|\\])", r"\\$1")
-    return F.replace(F.replace(quoted, F.lit(" ** "), F.lit("(?: [^ ]+)* ")), F.lit("*"), F.lit("[a-zA-Z]*"))
+    return F.replace(F.replace(quoted, F.lit(" ** "), F.lit(f"(?: {WORD}+){{0,}} ")), F.lit("*"), F.lit(f"{WORD}{{0,}}"))
 
 
 def surface_forms(renderings: DataFrame, verses: DataFrame) -> DataFrame:
@@ -72,10 +77,34 @@ def inverted(rows: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def content_hash(files: DataFrame, by: list[str]) -> DataFrame:
-    """SHA-256 over the paths and content hashes of each group's files, in path order."""
-    each = files.select(*by, "path", F.sha2("content", 256).alias("h"))
+    """SHA-256 of each group's files, by path and content.
+
+    The lines path:hash are hashed in path order within the 256 classes of the paths' own hashes, and the classes' digests
+    in their order, so no row holds more than a 256th of a group.
+    """
+    each = files.select(*by, "path", F.sha2("content", 256).alias("h")).withColumn("c", F.substring(F.sha2("path", 256), 1, 2))
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat(x["path"], F.lit(":"), x["h"])), "\n")
-    return each.groupBy(*by).agg(F.sha2(told.cast("binary"), 256).alias("hash"))
+    parts = each.groupBy(*by, "c").agg(F.sha2(told.cast("binary"), 256).alias("d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]), "")
+    return parts.groupBy(*by).agg(F.sha2(whole.cast("binary"), 256).alias("hash"))
+
+
+def durations(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """The interval from the first start to the last end of each group."""
+    return rows.groupBy(*by).agg((F.max(end) - F.min(start)).alias("duration"))
+
+
+def lookup_pairs(rows: DataFrame, table: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """rows with table's value for (a, b), else for (b, a), else null."""
+    straight = table.select(a, b, F.col(value).alias("_1"))
+    turned = table.select(F.col(b).alias(a), F.col(a).alias(b), F.col(value).alias("_2"))
+    return rows.join(straight, [a, b], "left").join(turned, [a, b], "left").withColumn(value, F.coalesce("_1", "_2")).drop("_1", "_2")
+
+
+def related(entities: DataFrame, name: str, groups: list[str]) -> DataFrame:
+    """(name, related): entities that share any of these groups with it."""
+    each = entities.select(name, F.explode(F.array(*(F.concat_ws(":", F.lit(g), F.col(g).cast("string")) for g in groups))).alias("g"))
+    return each.join(each.withColumnRenamed(name, "related"), "g").filter(F.col(name) != F.col("related")).select(name, "related").distinct()
 
 
 def verse_order(c: Column | str) -> list[Column]:

@@ -9,58 +9,162 @@ from pyspark.sql import functions as F
 from lineweave.functions import text as X
 
 CROSSING, SENTENCE, WINDOW = -20, 5, 5
-STOPS = r"[.!?;:,]$"
+PASSAGE = "struct<src: array<string>, trg: array<string>, links: array<struct<i: int, j: int>>, breaks: array<int>>"
 
 
-def verses_to_passages(verses: DataFrame, passages: DataFrame, order: str = "ref", text: str = "text") -> DataFrame:
-    """(passage, text) of the verses within each passage's first and last reference, joined in order.
+def verses_to_passages(verses: DataFrame, passages: DataFrame, order: str = "ref", text: str = "text", width: int = 64) -> DataFrame:
+    """(book, passage, text, n_verses): the verses within each passage's first and last reference, joined in order.
 
-    Passages carry the book, so the range is checked within a book only.
+    References are whole numbers and passages carry the book. Verses and passages meet in stretches of `width` references of a
+    book, so a verse meets the passages near it only, and a long book is spread over many keys.
     """
-    met = verses.join(passages, "book").filter(F.col(order).between(F.col("first"), F.col("last")))
+    stretch = lambda c: F.floor(F.col(c) / width)
+    near = passages.withColumn("_s", F.explode(F.sequence(stretch("first"), stretch("last"))))
+    met = verses.withColumn("_s", stretch(order)).join(near, ["book", "_s"]).filter(F.col(order).between(F.col("first"), F.col("last")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
     return met.groupBy("book", "passage").agg(F.array_join(ordered, " ").alias(text), F.count("*").alias("n_verses"))
 
 
-def break_scores(passages: DataFrame) -> DataFrame:
-    """(passage, at, to, score) of each candidate break: before source word `at` and target word `to`.
+def break_score(at: Column, to: Column) -> Column:
+    """The score of a break before source word `at` and target word `to` of a passage with src, trg (words) and links.
 
-    passages: passage, src and trg (words), links (i, j), breaks (source places of verse starts).
-    -20 for each link that crosses the break, links within five words on both sides counted by their
-    distance, and 5 each for punctuation before it, behind it, and a capital after it on both sides.
+    -20 for each link that crosses the break; of links whose words are within five of it on both sides the target
+    word's distance; and 5 each for words without letters before it, without letters one behind it, and capitals
+    one behind it, on both sides.
     """
-    grid = passages.select("*", F.explode("breaks").alias("at")).select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.size("trg") - 1, F.lit(1)))).alias("to")).filter(F.size("trg") > 1)
-    at, to = F.col("at"), F.col("to")
     crossed = F.size(F.filter("links", lambda x: (x["i"] < at) != (x["j"] < to)))
-    near = F.filter("links", lambda x: ((x["i"] < at) == (x["j"] < to)) & (F.abs(x["i"] - at) <= WINDOW) & (F.abs(x["j"] - to) <= WINDOW))
-    pull = F.aggregate(near, F.lit(0), lambda s, x: s + F.greatest(F.abs(x["i"] - at), F.abs(x["j"] - to)).cast("int"))
-    word = lambda side, i: F.coalesce(F.get(F.col(side), i), F.lit(""))
-    both = lambda rule, d: (rule(word("src", at + d)) & rule(word("trg", to + d))).cast("int")
-    stop: Column = lambda w: w.rlike(STOPS)
-    capital = lambda w: w.rlike(r"^\p{Lu}")
-    score = CROSSING * crossed + pull + SENTENCE * (both(stop, -1) + both(stop, 0) + both(capital, 0))
-    return grid.select("passage", "at", "to", score.cast("bigint").alias("score"))
-
-
-def place_breaks(scores: DataFrame) -> DataFrame:
-    """(passage, at, to): breaks placed best first, each between those already placed (V03). Sequential within a
-    passage by nature, so one passage is one group."""
+    near = F.filter("links", lambda x: (F.abs(x["i"] - at) <= WINDOW) & (F.abs(x["j"] - to) <= WINDOW))
+    pull = F.aggregate(near, F.lit(0), lambda s, x: s + F.abs(x["j"] - to).cast("int"))
+    word = lambda side, i: F.when(i >= 0, F.get(F.col(side), i))
+    both = lambda rule, d: F.coalesce(rule(word("src", at + d)) & rule(word("trg", to + d)), F.lit(False)).cast("int")
+    bare = lambda w: ~X.contains_letter(w)
+    score = CROSSING * crossed + pull + SENTENCE * (both(bare, -1) + both(bare, 1) + both(X.starts_with_capital, 1))
+    return score.cast("bigint")
 
-    def place(part: pd.DataFrame) -> pd.DataFrame:
-        chosen: dict[int, int] = {}
-        rows = part.sort_values(["score", "at", "to"], ascending=[False, True, True])
-        for at, to in zip(rows["at"], rows["to"], strict=True):
-            if at not in chosen and all((a < at) == (t < to) and t != to for a, t in chosen.items()):
-                chosen[int(at)] = int(to)
-        return pd.DataFrame({"passage": part["passage"].iat[0], "at": list(chosen), "to": list(chosen.values())})
-
-    return scores.groupBy("passage").applyInPandas(place, "passage string, at int, to int")
 
+def break_scores(passages: DataFrame) -> DataFrame:
+    """(passage, at, to, score) of each candidate break (V02): all pairs of a verse start and a place in the target.
 
-def split_points(scores: DataFrame, least: int = 15) -> DataFrame:
-    """Breaks good enough to split a passage in two (V04): the best of each passage if it scores over `least`."""
-    best = scores.groupBy("passage").agg(F.max_by(F.struct("at", "to", "score"), F.struct("score", (-F.col("at")).alias("a"), (-F.col("to")).alias("t"))).alias("b"))
-    return best.select("passage", "b.*").filter(F.col("score") > least)
+    passages: passage, src and trg (words), links (i, j), breaks (source places of verse starts).
+    """
+    grid = passages.select("*", F.explode("breaks").alias("at")).select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.size("trg") - 1, F.lit(1)))).alias("to")).filter(F.size("trg") > 1)
+    return grid.select("passage", "at", "to", break_score(F.col("at"), F.col("to")).alias("score"))
+
+
+def has_letter(word: str) -> bool:
+    return any(c.isalpha() for c in word)
+
+
+class Links:
+    """What links know of breaks in a passage, for searches that look at one break after another."""
+
+    def __init__(self, src: list[str], trg: list[str], links: list[tuple[int, int]]):
+        self.src, self.trg, self.links = src, trg, links
+        self.targets: dict[int, list[int]] = {}
+        for i, j in links:
+            self.targets.setdefault(i, []).append(j)
+        self.linked = {j for _, j in links}
+
+    def score(self, at: int, to: int) -> int:
+        """As `break_score`."""
+        total = sum(CROSSING for i, j in self.links if (i < at) != (j < to))
+        total += sum(abs(j - to) for i, j in self.links if abs(i - at) <= WINDOW and abs(j - to) <= WINDOW)
+        before = at > 0 and to > 0 and not has_letter(self.src[at - 1]) and not has_letter(self.trg[to - 1])
+        inside = at + 1 < len(self.src) and to + 1 < len(self.trg)
+        behind = inside and not has_letter(self.src[at + 1]) and not has_letter(self.trg[to + 1])
+        capital = inside and self.src[at + 1][:1].isupper() and self.trg[to + 1][:1].isupper()
+        return total + SENTENCE * (before + behind + capital)
+
+    def mark_behind(self, i: int) -> int | None:
+        """The only target word of source word i, if neither has letters."""
+        if not 0 <= i < len(self.src) or has_letter(self.src[i]) or len(own := self.targets.get(i, [])) != 1:
+            return None
+        return None if has_letter(self.trg[own[0]]) else own[0]
+
+    def settle(self, ties: list[tuple[int, int]]) -> tuple[int, int]:
+        """The place of a break among those of the best score: with the punctuation that its own side has, quotation marks
+        that follow and are not linked included; else behind any punctuation; else the first."""
+        at, first = ties[0]
+        if (to := self.mark_behind(at - 1)) is not None and (at, to) in ties:
+            while to + 1 < len(self.trg) and self.trg[to + 1] == '"' and to + 1 not in self.linked:
+                to += 1
+            return at, to + 1
+        if (to := self.mark_behind(at)) is not None and (at, to + 1) in ties:
+            return at, to + 1
+        return next(((a, t) for a, t in ties if not has_letter(self.trg[t - 1])), (at, first))
+
+
+def placed_breaks(links: Links, breaks: list[int]) -> list[tuple[int, int]]:
+    """(at, to): breaks placed best first, each strictly between those that are placed already."""
+    done = {0: 0, len(links.src): len(links.trg)}
+    left = [b for b in breaks if b not in done]
+    out: list[tuple[int, int]] = []
+    while left:
+        best, ties = None, []
+        for at in left:
+            low, high = done[max(p for p in done if p < at)], done[min(p for p in done if p > at)]
+            for to in range(low + 1, high - 1):
+                score = links.score(at, to)
+                if best is None or score > best:
+                    best, ties = score, []
+                if score == best:
+                    ties.append((at, to))
+        if not ties:
+            break
+        at, to = links.settle(ties)
+        done[at] = to
+        left.remove(at)
+        out.append((at, to))
+    return sorted(out)
+
+
+def splits(links: Links, breaks: list[int], least: int = 15) -> list[tuple[int, int]]:
+    """(at, to): where a passage is cut into smaller ones (V04): between two verse starts at the best place, if that scores over
+    `least`. Target places are looked for from three quarters to five quarters of where the lengths put them."""
+    ratio = len(links.src) / max(len(links.trg), 1)
+    out, low = [], 0
+    for k, end in enumerate(breaks):
+        start = breaks[k - 1] + 1 if k else 1
+        targets = range(max(int(0.75 * ratio * start), low), min(len(links.trg) + 1, int(1.25 * ratio * end)))
+        found = [(links.score(at, to), -at, -to) for at in range(start + 1, end - 1) for to in targets]
+        if found and max(found)[0] > least:
+            _, at, to = max(found)
+            out.append((-at, -to))
+            low = -to
+    return out
+
+
+def searched(search) -> Column:
+    """A pandas UDF that runs a search over the breaks of each passage: sequential by nature, so a passage is one row."""
+
+    @F.pandas_udf("array<struct<at: int, to: int>>")
+    def run(passages: pd.DataFrame) -> pd.Series:
+        out = []
+        for src, trg, links, breaks in zip(passages["src"], passages["trg"], passages["links"], passages["breaks"], strict=True):
+            known = Links(list(src), list(trg), [(x["i"], x["j"]) for x in links])
+            out.append([{"at": int(a), "to": int(t)} for a, t in search(known, sorted(int(b) for b in breaks))])
+        return pd.Series(out)
+
+    return run(F.struct("src", "trg", F.col("links").cast("array<struct<i: int, j: int>>").alias("links"), "breaks"))
+
+
+def place_breaks(passages: DataFrame) -> DataFrame:
+    """(passage, at, to) of the verse starts' places in the target (V03). passages: as in `break_scores`."""
+    return passages.select("passage", F.explode(searched(placed_breaks)).alias("b")).select("passage", "b.*")
+
+
+def split_passages(passages: DataFrame) -> DataFrame:
+    """(passage, part, src, trg, breaks): passages cut into parts where a break is good enough (V04); breaks count from the
+    part's begin."""
+    cut = passages.withColumn("_cuts", searched(splits))
+    edge = lambda side, size: F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda x: x[side]), F.array(F.size(size)))
+    cut = cut.withColumn("_at", edge("at", "src")).withColumn("_to", edge("to", "trg"))
+    each = cut.select("*", F.explode(F.sequence(F.lit(1), F.size("_cuts") + 1)).alias("part"))
+    lo, hi = F.get("_at", F.col("part") - 1), F.get("_at", F.col("part"))
+    low, high = F.get("_to", F.col("part") - 1), F.get("_to", F.col("part"))
+    last = F.col("part") == F.size("_cuts") + 1
+    own = F.transform(F.filter("breaks", lambda b: (b >= lo) & ((b < hi) | last)), lambda b: b - lo)
+    return each.select("passage", "part", F.slice("src", lo + 1, hi - lo).alias("src"), F.slice("trg", low + 1, high - low).alias("trg"), own.alias("breaks"))
 
 
 def segments(trg: Column, cuts: Column) -> Column:
@@ -75,12 +179,13 @@ def repair_edges(parts: Column) -> Column:
     return F.transform(parts, lambda s, i: F.concat(F.when(i > 0, F.substring(s, F.char_length(lead(s)) + 1, F.char_length(s))).otherwise(s), lead(F.coalesce(F.get(parts, i + 1), F.lit("")))))
 
 
-def segmentation_report(gold: DataFrame, found: DataFrame) -> DataFrame:
+def segmentation_report(gold: DataFrame, found: DataFrame, by_passage: bool = False) -> DataFrame:
     """Share of exact breaks and mean distance in characters without white space, over all but each last verse."""
     by = Window.partitionBy("passage").orderBy("verse")
     off = lambda df, out: df.select("passage", "verse", F.sum(X.dense_length("text")).over(by).alias(out), F.lead("verse").over(by).isNull().alias("last"))
     both = off(gold, "a").join(off(found, "b").drop("last"), ["passage", "verse"]).filter("NOT last")
-    return both.agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("accuracy"), F.avg(F.abs(F.col("a") - F.col("b")).cast("double")).alias("distance"))
+    rows = both.groupBy("passage") if by_passage else both
+    return rows.agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("accuracy"), F.avg(F.abs(F.col("a") - F.col("b")).cast("double")).alias("distance"))
 
 
 def passage_json(passages: DataFrame) -> DataFrame:

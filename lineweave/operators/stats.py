@@ -39,6 +39,11 @@ def progression(rows: DataFrame, part: str, order: str, metric: str) -> DataFram
     return rows.withColumn("vs_previous", F.col(metric) - F.lag(metric).over(by)).withColumn("vs_first", F.col(metric) - F.first(metric).over(by))
 
 
+def metric_table(rows: DataFrame, index: str, column: str, metric: str, columns: list[str]) -> DataFrame:
+    """A row per index, a column for each of these columns' mean metric."""
+    return rows.groupBy(index).pivot(column, columns).agg(F.avg(metric))
+
+
 def demeaned(rows: DataFrame, score: str, column: str, group: str) -> DataFrame:
     """Mean of each group after each column's own mean is taken off; -1 is no score."""
     real = rows.filter(F.col(score) != -1)
@@ -57,7 +62,7 @@ def weighted_regression(rows: DataFrame, x: str, y: str, by: list[str], buckets:
     place = F.least(F.floor(F.col(y) * buckets / high), F.lit(buckets - 1))
     binned = rows.withColumn("_b", place)
     counts = binned.groupBy(*by, "_b").agg(F.count("*").alias("_c"))  # density * n is the bucket's count * buckets / high
-    joined = binned.join(F.broadcast(counts), [*by, "_b"]).withColumn("_w", 1 / (F.col("_c") * F.lit(buckets / high) + F.lit(1e-6)))  # buckets x groups
+    joined = binned.join(counts, [*by, "_b"]).withColumn("_w", 1 / (F.col("_c") * F.lit(buckets / high) + F.lit(1e-6)))
     w = F.col("_w")
     s = joined.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * F.col(x)).alias("x"), F.sum(w * F.col(y)).alias("y"), F.sum(w * F.col(x) * F.col(x)).alias("xx"), F.sum(w * F.col(x) * F.col(y)).alias("xy"))
     slope = F.try_divide(F.col("w") * F.col("xy") - F.col("x") * F.col("y"), F.col("w") * F.col("xx") - F.col("x") * F.col("x"))

@@ -21,6 +21,11 @@ def subtract_counts(these: DataFrame, known: DataFrame) -> DataFrame:
     return left.select("word", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")).filter("n > 0")
 
 
+def except_words(these: DataFrame, known: DataFrame) -> DataFrame:
+    """(word) of these that known lacks."""
+    return these.select("word").join(known, "word", "left_anti")
+
+
 def coverage_report(these: DataFrame, known: DataFrame) -> DataFrame:
     """Tokens and types, how many are unknown, and their share of the tokens in percent."""
     marked = these.join(known.select("word", F.lit(True).alias("known")), "word", "left")
@@ -59,20 +64,20 @@ def charset_similarity(sets: DataFrame, by: str) -> DataFrame:
     """(a, b, similarity) of all unordered pairs of projects: 100 (1 - |A-B|/|A|) (1 - |B-A|/|B|)."""
     a, b = sets.select(F.col(by).alias("a"), F.col("chars").alias("x")), sets.select(F.col(by).alias("b"), F.col("chars").alias("y"))
     lost = lambda p, q: 1 - F.size(F.array_except(p, q)) / F.size(p)
-    both = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # a row per project
+    both = a.join(b, F.col("a") < F.col("b"))  # a row per project
     return both.select("a", "b", F.round(lost("x", "y") * lost("y", "x") * 100, 6).alias("similarity"))
 
 
 def token_occurrences(lines: DataFrame, tokens: list[str], key: str, line_no: str, column: str, most: int = 10) -> DataFrame:
     """(token, key, n, lines, truncated): how often each token occurs in each file, and its first line numbers.
 
-    A leading piece mark asks for a word begin. Counts are summed before the shuffle; line numbers of one file
-    and token stay with the file (A14).
+    A leading piece mark asks for a word begin. Of a token's lines in a file only the first `most` are gathered (A14).
     """
     patterns = F.array(*(F.struct(F.lit(t).alias("token"), F.lit(pattern(t)).alias("p")) for t in tokens))
     each = lines.select(key, line_no, column, F.explode(patterns).alias("t")).select(key, line_no, "t.token", F.regexp_count(column, F.col("t.p")).cast("bigint").alias("n")).filter("n > 0")
-    found = each.groupBy("token", key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(line_no)).alias("all"))
-    return found.select("token", key, "n", F.array_join(F.slice("all", 1, most), ",").alias("lines"), (F.size("all") > most).alias("truncated"))
+    placed = each.withColumn("place", F.row_number().over(Window.partitionBy("token", key).orderBy(line_no)))
+    found = placed.groupBy("token", key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col(line_no)))).alias("first"), F.count("*").alias("all"))
+    return found.select("token", key, "n", F.array_join("first", ",").alias("lines"), (F.col("all") > most).alias("truncated"))
 
 
 def pattern(token: str) -> str:
@@ -87,9 +92,16 @@ def verse_counts(lines: DataFrame, project: str, book: str, column: str) -> Data
 
 
 def verse_matrix(counts: DataFrame, project: str, book: str, books: list[str]) -> DataFrame:
-    """A row per project, a column per book and the total of all books, listed or not; a missing book counts 0."""
+    """A row per project, a column per book, all books not listed together, and the total; a missing book counts 0."""
     each = [F.coalesce(F.sum(F.when(F.col(book) == b, F.col("verses"))), F.lit(0)).alias(b) for b in books]
-    return counts.groupBy(project).agg(*each, F.sum("verses").alias("total"))
+    other = F.coalesce(F.sum(F.when(~F.col(book).isin(books), F.col("verses"))), F.lit(0)).alias("other")
+    return counts.groupBy(project).agg(*each, other, F.sum("verses").alias("total"))
+
+
+def verse_totals(counts: DataFrame, project: str, testament: Column) -> DataFrame:
+    """(project, testament, books, verses): per testament, and over all of them where testament is null."""
+    rows = counts.withColumn("testament", testament)
+    return rows.groupingSets([[F.col(project), F.col("testament")], [F.col(project)]], project, "testament").agg(F.count("*").alias("books"), F.sum("verses").alias("verses"))
 
 
 def verse_percentages(counts: DataFrame, project: str, book: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
 from lineweave.operators import corpus as C
+from lineweave.operators import datasets as E
 from lineweave.operators import dedup as D
 from lineweave.operators import filters as R
+from lineweave.operators import segmentation as G
 from lineweave.operators import splits as S
 from lineweave.plans import sqltext as Q
 from lineweave.sources.tables import load
@@ -210,14 +211,14 @@ def mirror_union(spark, d):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id // 10 AS k, max(text) FILTER (lang = 'de') AS de, max(text) FILTER (lang = 'en') AS en, max(text) FILTER (lang = 'fr') AS fr FROM documents GROUP BY 1),
-a AS (SELECT k, list_filter([de, en, fr], lambda x: x IS NOT NULL AND x <> '') AS t FROM w)
+    f"""WITH w AS (SELECT doc_id // 10 AS k, max(text) FILTER (lang = 'de') AS de, max(text) FILTER (lang = 'en') AS en, max(text) FILTER (lang = 'es') AS es, max(text) FILTER (lang = 'fr') AS fr FROM documents GROUP BY 1),
+a AS (SELECT k, list_filter([de, en, es, fr], lambda x: x IS NOT NULL AND x <> '') AS t FROM w)
 SELECT k, md5(t[floor({Q.uniform("'mix'", "k")} * len(t))::INT + 1]) AS picked FROM a"""
 )
 def mixed_source_coalesce(spark, d):
     docs = load(spark, d, "documents").withColumn("k", F.expr("doc_id div 10"))
-    wide = docs.groupBy("k").pivot("lang", ["de", "en", "fr"]).agg(F.max("text"))
-    return C.pick_source(wide, ["de", "en", "fr"], F.col("k"), "mix").select("k", F.md5(F.col("picked").cast("binary")).alias("picked"))
+    wide = docs.groupBy("k").pivot("lang", ["de", "en", "es", "fr"]).agg(F.max("text"))
+    return C.pick_source(wide, ["de", "en", "es", "fr"], F.col("k"), "mix").select("k", F.md5(F.col("picked").cast("binary")).alias("picked"))
 
 
 @query(
@@ -337,11 +338,12 @@ def digits_analysis(spark, d):
 
 
 @query(
-    """SELECT conv_id, to_json(list({role: role, content: text} ORDER BY turn))::VARCHAR AS messages FROM conversations GROUP BY conv_id"""
+    f"""SELECT conv_id, turn, to_json([{{role: 'system', content: 'Translate.'}}, {{role: 'user', content: src}}, {{role: 'assistant', content: trg}}])::VARCHAR AS messages,
+to_json([{{role: 'user', content: 'Translate.' || chr(10) || chr(10) || src}}, {{role: 'assistant', content: trg}}])::VARCHAR AS folded FROM ({Q.PAIRS})"""
 )
 def chat_messages(spark, d):
-    rows = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return rows.select("conv_id", F.to_json(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"))
+    told = lambda fold: F.to_json(E.chat_prompt(F.col("src"), F.col("trg"), "Translate.", fold))
+    return pairs(spark, d).select("conv_id", "turn", told(False).alias("messages"), told(True).alias("folded"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
@@ -362,7 +364,6 @@ def multi_key_sort_topk(spark, d):
 SELECT doc_id, avg((off = off2)::INT::DOUBLE) AS accuracy, avg(abs(off - off2)::DOUBLE) AS distance FROM s WHERE NOT last GROUP BY doc_id"""
 )
 def segmentation_accuracy(spark, d):
-    by = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines(spark, d).select("doc_id", "line_no", X.dense_length("line").alias("a"), X.dense_length(F.regexp_replace("line", "[0-9]", "")).alias("b"))
-    placed = rows.select("doc_id", F.lead("line_no").over(by).isNull().alias("last"), F.sum("a").over(by).alias("a"), F.sum("b").over(by).alias("b"))
-    return placed.filter("NOT last").groupBy("doc_id").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("accuracy"), F.avg(F.abs(F.col("a") - F.col("b")).cast("double")).alias("distance"))
+    gold = lines(spark, d).select(F.col("doc_id").alias("passage"), F.col("line_no").alias("verse"), F.col("line").alias("text"))
+    found = gold.withColumn("text", F.regexp_replace("text", "[0-9]", ""))
+    return G.segmentation_report(gold, found, by_passage=True).withColumnRenamed("passage", "doc_id")

@@ -56,7 +56,7 @@ def stem_and_stamp(spark, d):
 
 @query(
     f"""WITH l AS ({Q.LINES}), r AS (SELECT item_id AS id, regexp_extract(text, '[a-z]{{3,}}') AS w FROM benchmark)
-SELECT DISTINCT id, unnest(regexp_extract_all(line, w || '[a-zA-Z]*')) AS form FROM r JOIN l ON doc_id = id WHERE w <> ''"""
+SELECT DISTINCT id, unnest(regexp_extract_all(line, w || '[\\p{{L}}\\p{{M}}\\p{{N}}_]*')) AS form FROM r JOIN l ON doc_id = id WHERE w <> ''"""
 )
 def surface_forms(spark, d):
     word = F.regexp_extract("text", "([a-z]{3,})", 1)
@@ -70,7 +70,10 @@ def map_inversion(spark, d):
     return M.inverted(rows, "p_partkey", "words").select("value", F.array_join("keys", ",").alias("keys"))
 
 
-@query("SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id::VARCHAR)) AS hash FROM documents GROUP BY source")
+@query(
+    """WITH p AS (SELECT source, substr(sha256(doc_id::VARCHAR), 1, 2) AS c, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id::VARCHAR)) AS d FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(d, '' ORDER BY c)) AS hash FROM p GROUP BY source"""
+)
 def content_hashes(spark, d):
     files = load(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
     return M.content_hash(files, ["source"])
@@ -121,5 +124,5 @@ def source_echo(spark, d):
 
 @query(f"SELECT DISTINCT w AS word FROM (SELECT unnest({Q.toks('lower(text)')}) AS w FROM benchmark) WHERE w NOT IN (SELECT unnest({Q.toks('lower(text)')}) FROM documents)")
 def vocabulary_except(spark, d):
-    words = lambda t: load(spark, d, t).select(F.explode(X.tokens(F.lower("text"))).alias("word"))
-    return words("benchmark").distinct().join(words("documents").distinct(), "word", "left_anti")
+    words = lambda t: load(spark, d, t).select(F.explode(X.tokens(F.lower("text"))).alias("word")).distinct()
+    return V.except_words(words("benchmark"), words("documents"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
 from lineweave.operators import corpus as C
+from lineweave.operators import misc as M
+from lineweave.operators import segmentation as G
 from lineweave.operators import stats as T
 from lineweave.operators import vocabulary as V
 from lineweave.plans import sqltext as Q
@@ -89,7 +91,7 @@ _BOOKS = [f"src{i}" for i in range(20)]
 _COUNTS = f"SELECT lang, source, count(*)::BIGINT AS verses FROM ({Q.LINES}) WHERE {Q.strip('line')} <> '' GROUP BY ALL"
 
 
-@query("SELECT lang, " + ", ".join(f"coalesce(sum(verses) FILTER (source = '{b}'), 0)::BIGINT AS {b}" for b in _BOOKS) + f", sum(verses)::BIGINT AS total FROM ({_COUNTS}) GROUP BY lang")
+@query("SELECT lang, " + ", ".join(f"coalesce(sum(verses) FILTER (source = '{b}'), 0)::BIGINT AS {b}" for b in _BOOKS) + f", coalesce(sum(verses) FILTER (source NOT IN ({', '.join(repr(b) for b in _BOOKS)})), 0)::BIGINT AS other, sum(verses)::BIGINT AS total FROM ({_COUNTS}) GROUP BY lang")
 def verse_counts_pivot(spark, d):
     return V.verse_matrix(V.verse_counts(lines(spark, d), "lang", "source", "line"), "lang", "source", _BOOKS)
 
@@ -114,9 +116,10 @@ def set_containment(spark, d):
     return V.containing(sets, "types", ["ECONOMY", "SMALL"]).withColumn("types", F.array_join("types", ","))
 
 
-@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount) + 1e-9::DOUBLE, 6) AS mean, count(*)::BIGINT AS n, grouping(l_returnflag, l_linestatus)::BIGINT AS grain FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
+@query("SELECT l_returnflag, l_linestatus, sum(round(l_discount * 100)::BIGINT)::DOUBLE / count(*) AS mean, count(*)::BIGINT AS n, grouping(l_returnflag, l_linestatus)::BIGINT AS grain FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
 def score_rollup_book_chapter(spark, d):
-    return T.rollup_means(load(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_discount").withColumn("mean", F.round(F.col("mean") + F.lit(1e-9), 6))
+    rows = load(spark, d, "lineitem").withColumn("percent", F.round(F.col("l_discount") * 100).cast("bigint"))  # whole numbers: their sum has one value
+    return T.rollup_means(rows, ["l_returnflag", "l_linestatus"], "percent")
 
 
 _RANKED = "SELECT o_orderpriority AS book, o_orderstatus AS status, round(avg(o_totalprice), 4) AS score, count(*)::BIGINT AS n FROM orders GROUP BY ALL"
@@ -128,13 +131,13 @@ def book_rank_cumulative(spark, d):
     return V.running_rank(rows, ["status"], "score", "n", "book")
 
 
-_DAYS = "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, round(avg(value) + 1e-9::DOUBLE, 4) AS m FROM events GROUP BY ALL"
+_DAYS = "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, sum(round(value * 100)::BIGINT)::DOUBLE / count(*) AS m FROM events GROUP BY ALL"
 
 
-@query(f"SELECT event_type, day, m, round(m - lag(m) OVER w, 4) AS vs_previous, round(m - first_value(m) OVER w, 4) AS vs_first FROM ({_DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY day)")
+@query(f"SELECT event_type, day, m, m - lag(m) OVER w AS vs_previous, m - first_value(m) OVER w AS vs_first FROM ({_DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY day)")
 def progress_diff_prev_start(spark, d):
-    days = load(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value") + F.lit(1e-9), 4).alias("m"))
-    return T.progression(days, "event_type", "day", "m").withColumns({c: F.round(c, 4) for c in ("vs_previous", "vs_first")})
+    days = load(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg(F.round(F.col("value") * 100).cast("bigint")).alias("m"))  # in hundredths
+    return T.progression(days, "event_type", "day", "m")
 
 
 def _summary(c: str, n: str) -> str:
@@ -177,14 +180,14 @@ def qe_regression(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT event_type, floor(epoch(ts))::BIGINT % 86400 / 86400.0::DOUBLE AS x, least(value, 100.0) AS y FROM events), b AS (SELECT *, least(floor(y), 99) AS b FROM r),
+    """WITH r AS (SELECT event_type, floor(epoch(ts))::BIGINT % 86400 / 86400.0::DOUBLE AS x, value / 5 AS y FROM events), b AS (SELECT *, least(floor(y), 99) AS b FROM r),
 w AS (SELECT *, 1 / (count(*) OVER (PARTITION BY event_type, b) + 1e-6::DOUBLE) AS w FROM b),
 s AS (SELECT event_type, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM w GROUP BY 1), f AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS slope FROM s)
 SELECT event_type, round(slope, 4) AS slope, round((y - slope * x) / w, 4) AS intercept FROM f"""
 )
 def qe_weighted(spark, d):
     seconds = F.unix_seconds(F.col("ts").cast("timestamp")) % 86400
-    rows = load(spark, d, "events").select("event_type", (seconds / F.lit(86400.0)).alias("x"), F.least("value", F.lit(100.0)).alias("y"))
+    rows = load(spark, d, "events").select("event_type", (seconds / F.lit(86400.0)).alias("x"), (F.col("value") / 5).alias("y"))
     return T.weighted_regression(rows, "x", "y", ["event_type"])
 
 
@@ -242,18 +245,15 @@ def similarity_matrix(spark, d):
 SELECT l.doc_id, p.passage::BIGINT AS passage, count(*)::BIGINT AS n, md5(string_agg(line, ' ' ORDER BY line_no)) AS text_md5 FROM l JOIN p ON l.doc_id = p.doc_id AND l.line_no BETWEEN p.a AND p.b GROUP BY ALL"""
 )
 def passage_range_join(spark, d):
-    rows = lines(spark, d)
-    passages = rows.groupBy("doc_id", F.expr("(line_no - 1) div 5").alias("passage")).agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"))
-    met = rows.join(passages, "doc_id").filter(F.col("line_no").between(F.col("a"), F.col("b")))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
-    return met.groupBy("doc_id", "passage").agg(F.count("*").alias("n"), F.md5(ordered.cast("binary")).alias("text_md5"))
+    rows = lines(spark, d).select(F.col("doc_id").alias("book"), "line_no", "line")
+    passages = rows.groupBy("book", F.expr("(line_no - 1) div 5").alias("passage")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    met = G.verses_to_passages(rows, passages, "line_no", "line")
+    return met.select(F.col("book").alias("doc_id"), "passage", F.col("n_verses").alias("n"), F.md5(F.col("line").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT a.n_name AS name, b.n_name AS related FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 def related_languages(spark, d):
-    nations = load(spark, d, "nation")
-    other = nations.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("related"), "n_regionkey")
-    return nations.join(other, "n_regionkey").filter("n_nationkey <> k").select(F.col("n_name").alias("name"), "related")
+    return M.related(load(spark, d, "nation").withColumnRenamed("n_name", "name"), "name", ["n_regionkey"])
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::VARCHAR::BIGINT AS k FROM events")

@@ -10,6 +10,7 @@ from lineweave.operators import corpus as C
 from lineweave.operators import datasets as D
 from lineweave.operators import filters as R
 from lineweave.operators import lexicon as L
+from lineweave.operators import misc as M
 from lineweave.operators import segmentation as G
 from lineweave.operators import splits as S
 from lineweave.operators import vocabulary as V
@@ -86,14 +87,15 @@ def test_noise(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("  a ,b  . c ", "a, b. c"), ("( a )", "(a)"), ("one—two", "one — two"), ("and / or", "and/or"), ("wait ... what", "wait ... what"), ("tab\tand  blank", "tab and blank"), ("", ""), ("a?", "a?")],
+    [("  a ,b  . c ", "a, b. c"), ("( a )", "(a)"), ("one-two", "one - two"), ("and / or", "and / or"), ("(a)", "(a)"), ("x(a )y", "x (a) y"), ("<b> c", "<b> c"), ("a , . b", "a , . b"), ("a , . b  c", "a , . b c"), ("he said  'hi", "he said 'hi"),
+     ("hi'  he", "hi' he"), ("it's", "it's"), ("a  '  b", "a ' b"), ("' hi", "'hi"), ("hi '", "hi'"), ("- x -", "- x -"), ("a\u00a0. b", "a. b"), ("...", "..."), (".", "."), ("wait ... what", "wait ... what"), ("tab\tand  blank", "tab and blank"), ("", ""), ("a?", "a?")],
 )
 def test_punctuation(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(X.normalise_punctuation("t")).first()[0] == want
 
 
 def test_rule_validation():
-    for bad in ({"ab": "left"}, {" ": "left"}, {".": "sideways"}, [(".", "left"), (".", "right")]):
+    for bad in ({"ab": "before"}, {" ": "before"}, {".": "sideways"}, [(".", "before"), (".", "after")]):
         with pytest.raises(ValueError):
             X.validate_rules(bad)
 
@@ -180,7 +182,9 @@ def test_edit_functions():
     assert math.isclose(U.jaro_similarity("MARTHA", "MARHTA"), 0.944444, abs_tol=1e-5) and U.jaro_similarity([], []) == 1.0
     assert U.ter_edits("b c a".split(), "a b c".split()) == 1 and U.ter_edits([], ["a"]) == 1
     assert U.word_diff("a b c", "a x c")[1] == "replace\tb\tx"
-    assert U.gloss_list("tree (big), bush 1-2; [plant]/tree") == ["tree", "bush", "plant"]
+    assert U.gloss_list("tree (big), bush; [plant]/tree 1.2") == ["tree", "bush"] and U.gloss_list("[tree, wood?] x") == ["tree", "wood"]
+    assert U.without_parens("tree (of life, big") == "tree (of life, big" and U.without_parens("a (b (c) d") == "a (b  d" and U.without_parens("a (b) c) d") == "a (b) c) d"
+    assert U.common_length(list("abcbdab"), list("bdcaba")) == 4 and U.common_length([], ["a"]) == 0
     assert U.unicode_details("é") == "U+00E9 LATIN SMALL LETTER E WITH ACUTE"
     assert U.grow_diag_final({(0, 0), (1, 1)}, {(0, 0), (1, 2)}) == [(0, 0), (1, 1), (1, 2)]
 
@@ -189,9 +193,12 @@ def test_segmentation(spark):
     links = [(i, i) for i in range(8)]
     row = ("p", "In the beginning. And he saw it.".split(), "Au commencement donc. Et il a vu.".split(), links, [3])
     df = spark.createDataFrame([row], "passage string, src array<string>, trg array<string>, links array<struct<i: int, j: int>>, breaks array<int>")
-    scores = G.break_scores(df)
-    assert values(G.place_breaks(scores), "at") == [("p", 3, 3)]
-    assert G.split_points(scores, -100).first().to == 3
+    scores = {(r["at"], r.to): r.score for r in G.break_scores(df).collect()}
+    known = G.Links(row[1], row[2], links)
+    assert scores == {(3, t): known.score(3, t) for t in range(1, 7)} and max(scores, key=scores.get) == (3, 3)
+    assert values(G.place_breaks(df), "at") == [("p", 3, 3)]
+    parts = G.split_passages(df.withColumn("breaks", F.array(F.lit(8)))).orderBy("part").collect()
+    assert [w for r in parts for w in r.src] == row[1] and [w for r in parts for w in r.trg] == row[2]
     cut = df.select(G.segments(F.col("trg"), F.array(F.lit(3)))).first()[0]
     assert cut == ["Au commencement donc.", "Et il a vu."]
     assert spark.range(1).select(G.repair_edges(F.array(F.lit("one"), F.lit(", two")))).first()[0] == ["one,", " two"]
@@ -240,4 +247,129 @@ def test_drafts_prompts_and_planning(spark):
 
 def test_verse_matrix_totals_books_outside_the_list(spark):
     counts = spark.createDataFrame([("en", "a", 2), ("en", "z", 5), ("de", "z", 1)], "lang string, book string, verses long")
-    assert values(V.verse_matrix(counts, "lang", "book", ["a", "b"]), "lang") == [("de", 0, 0, 1), ("en", 2, 0, 7)]
+    assert values(V.verse_matrix(counts, "lang", "book", ["a", "b"]), "lang") == [("de", 0, 0, 1, 1), ("en", 2, 0, 5, 7)]
+
+
+def brute_breaks(src, trg, links, at, to):
+    score = -20 * sum((i < at) != (j < to) for i, j in links)
+    for i, j in links:
+        if at - 5 <= i <= at + 5 and to - 5 <= j <= to + 5:
+            score += abs(j - to)
+    bare = lambda w: not any(c.isalpha() for c in w)
+    score += 5 * (at > 0 and to > 0 and bare(src[at - 1]) and bare(trg[to - 1]))
+    if at < len(src) - 1 and to < len(trg) - 1:
+        score += 5 * (bare(src[at + 1]) and bare(trg[to + 1])) + 5 * (src[at + 1][0].isupper() and trg[to + 1][0].isupper())
+    return score
+
+
+def test_break_scores_equal_brute_force(spark):
+    draw = random.Random(4)
+    word = lambda: draw.choice(["a", "Bc", ".", "d", '"', "E"])
+    rows = []
+    for k in range(20):
+        src, trg = [word() for _ in range(draw.randint(2, 12))], [word() for _ in range(draw.randint(2, 12))]
+        links = sorted({(draw.randrange(len(src)), draw.randrange(len(trg))) for _ in range(8)})
+        rows.append((str(k), src, trg, links, sorted({draw.randrange(1, len(src)) for _ in range(3)})))
+    df = spark.createDataFrame(rows, "passage string, src array<string>, trg array<string>, links array<struct<i: int, j: int>>, breaks array<int>")
+    got = {(r.passage, r["at"], r.to): r.score for r in G.break_scores(df).collect()}
+    assert got == {(p, at, to): brute_breaks(s, t, ls, at, to) for p, s, t, ls, bs in rows for at in bs for to in range(1, len(t))}
+    placed = {}
+    for r in G.place_breaks(df).collect():
+        placed.setdefault(r.passage, []).append((r["at"], r.to))
+    for p, s, t, ls, bs in rows:
+        own = sorted(placed.get(p, []))
+        assert [to for _, to in own] == sorted(to for _, to in own) and {at for at, _ in own} <= set(bs)
+        assert own == G.placed_breaks(G.Links(s, t, ls), bs)
+
+
+def test_placement_keeps_punctuation_on_its_side():
+    src, trg = "He came . Then left".split(), "Il vint . Puis partit".split()
+    assert G.placed_breaks(G.Links(src, trg, [(i, i) for i in range(5)]), [3]) == [(3, 3)]
+
+
+def test_normaliser_warnings():
+    told = lambda t: sorted((w["code"], w["pos"], w["slice"]) for w in U.normaliser_warnings(t, X.CLINGING))
+    assert told("Hi there, . How are you?") == [("consecutive", 8, ", .")]
+    assert told("Sam-the one") == [("bordered", 3, "-")] and told("a % b_c") == [("undefined", 2, "%"), ("undefined", 5, "_")]
+    assert told("  ) hi") == [("starting", 2, ")")] and told("hi (  ") == [("ending", 3, "(")] and told("she said ' hi") == [("apart", 9, "'")]
+    assert told("") == [] and told("plain words, here.") == []
+
+
+def test_row_matches_equal_brute_force():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from lineweave.operators import mtmetrics as MT
+
+    draw = random.Random(2)
+    rows = [([draw.choice("abc") for _ in range(draw.randint(0, 9))], [draw.choice("abc") for _ in range(draw.randint(0, 9))]) for _ in range(60)]
+    grams = lambda x, n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    lists = MT.row_matches(pa.array([h for h, _ in rows], pa.list_(pa.string())), pa.array([r for _, r in rows], pa.list_(pa.string())), 4, False)
+    texts = MT.row_matches(pa.array(["".join(h) for h, _ in rows]), pa.array(["".join(r) for _, r in rows]), 4, True)
+    assert (lists == texts).all()
+    for k, (h, r) in enumerate(rows):
+        for n in range(1, 5):
+            a, b = grams(h, n), grams(r, n)
+            assert lists[:, k, n - 1].tolist() == [sum((a & b).values()), sum(a.values()), sum(b.values())]
+
+
+def test_rouge_l_nist_and_longest_common_subsequence(spark):
+    from lineweave.operators import mtmetrics as MT
+
+    def brute(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    draw = random.Random(3)
+    for _ in range(200):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 12))] for _ in range(2))
+        assert U.common_length(a, b) == brute(a, b)
+    rows = spark.createDataFrame([(1, "a b c".split(), "a b d".split()), (2, "a".split(), "a".split())], "k int, h array<string>, r array<string>")
+    assert MT.overlaps(rows, ["k"]).orderBy("k").first().rouge_l == round(2 / 3, 6)
+    assert MT.nist(rows, ["k"]).first().nist == round((2 * 1 + 2 + 0) / 4 + 1 / 2 * 1, 4)
+
+
+def test_numbered_and_quantiles(spark):
+    import numpy as np
+
+    draw = random.Random(5)
+    rows = [(draw.choice("aab"), draw.choice([None, 1.0, 2.5, draw.random()]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "p string, v double, i int").repartition(5)
+    got = S.numbered(df, ["p"], ["v", "i"]).collect()
+    for p in "ab":
+        own = sorted(((r.v is not None, r.v or 0.0, r.i), r._r, r._n) for r in got if r.p == p)
+        assert [r for _, r, _ in own] == list(range(1, len(own) + 1)) and {n for *_, n in own} == {len(own)}
+    for r in S.quantiles(df, ["p"], "v", [0.0, 0.3, 0.9, 1.0]).collect():
+        own = [v for p, v, _ in rows if p == r.p and v is not None]
+        assert np.allclose(r.cuts, np.quantile(own, [0.0, 0.3, 0.9, 1.0]))
+    bins = S.quantile_bins(df.filter("v IS NOT NULL"), "v", 60)
+    assert 1 < bins.select("bin").distinct().count() <= 6
+    same = spark.createDataFrame([(1.0,)] * 5, "v double")
+    assert S.quantile_bins(same, "v", 60).select("bin").distinct().count() == 1 and S.numbered(df.limit(0), ["p"], ["v"]).count() == 0
+
+
+def test_surface_patterns_of_other_scripts(spark):
+    verses = spark.createDataFrame([(1, "мирный день мирной, мир"), (2, "do good and true work")], "ref int, text string")
+    terms = spark.createDataFrame([("a", "мир*", [1]), ("b", "do ** work", [2])], "id string, rendering string, refs array<int>")
+    assert values(M.surface_forms(terms, verses), "id", "form") == [("a", "мир"), ("a", "мирной"), ("a", "мирный"), ("b", "do good and true work")]
+
+
+def test_aligners_and_scores(spark):
+    assert set(L.ALIGNERS) == {"place", "word", "ibm1"}
+    with pytest.raises(ValueError, match="no aligner"):
+        L.get_aligner("other")
+    pairs = spark.createDataFrame([(1, ["a", "b", "a"], ["a", "x", "a"]), (2, ["c"], [])], "k int, s array<string>, t array<string>")
+    assert values(L.get_aligner("word")(pairs, ["k"]).select("k", "i", "j"), "i") == [(1, 0, 0), (1, 2, 2)]
+    likely = L.get_aligner("ibm1")(pairs, ["k"]).select("k", "j", "src")
+    assert likely.count() == 3
+    links, empty = L.same_place(pairs, ["k"]), spark.createDataFrame([], "src string, trg string, prob double")
+    scores = {r.k: r.score for r in L.corpus_scores(pairs, links, empty, empty, ["k"]).collect()}
+    assert scores == {1: 0.0, 2: -1.0}
+    none = L.corpus_scores(pairs.filter("k = 2"), links.limit(0), empty, empty, ["k"])
+    assert none.first().score == 0.0
+    stated = L.sentence_scores(links.withColumn("p", F.lit(0.5)), spark.createDataFrame([], "k int, side string, at int, word string"), empty, empty, ["k"])
+    assert stated.first().score == 0.5
