@@ -132,7 +132,7 @@ def lemma_line(surface: Column, lemma: Column) -> Column:
     def one(pair: Column) -> Column:
         word = F.regexp_replace(F.regexp_extract(pair["l"], r"^([^|]*)", 1), "<[^>]*>", "")
         edge = lambda p: F.regexp_extract(pair["s"], p, 1)
-        return F.concat(edge(rf"^({X.PUNCT}*)"), word, edge(rf"({X.PUNCT}*)$"))
+        return F.concat(edge(r"^([\p{P}\p{S}]*)"), word, edge(r"([\p{P}\p{S}]*)$"))
 
     both = F.zip_with(X.tokens(surface), X.tokens(lemma), lambda s, x: F.struct(F.coalesce(s, F.lit("")).alias("s"), F.coalesce(x, F.lit("")).alias("l")))
     return F.array_join(F.transform(both, one), " ")
@@ -152,7 +152,11 @@ def interlinear(items: DataFrame) -> DataFrame:
 def gold_alignments(spark: SparkSession, path: str) -> DataFrame:
     """(vref, src, trg, links): links of many tokens are taken apart, only the first pair of each is sure."""
     schema = "vref string, source array<string>, target array<string>, links array<struct<source: array<int>, target: array<int>, sure: boolean>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return gold_links(spark.read.schema(schema).json(path, multiLine=True))
+
+
+def gold_links(rows: DataFrame) -> DataFrame:
+    """(vref, src, trg, links) of rows with source, target (words) and links (source, target: places, sure)."""
     safe = lambda c: F.transform(c, lambda t: F.replace(t, F.lit(" "), F.lit("~"))).alias(c)
     pairs = F.flatten(
         F.transform(
@@ -187,8 +191,9 @@ def verse_log(lines: DataFrame) -> DataFrame:
     return marked.filter("verses IS NOT NULL AND stem IS NOT NULL").groupBy("file", "stem").agg(F.max_by("verses", "line_no").alias("verses"))
 
 
-def languages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("isoCode string, language string, langCountry string, languageFamily string").json(path, multiLine=True)
+def languages(spark: SparkSession, path: str, one_list: bool = True) -> DataFrame:
+    """Language metadata from a JSON list, or from an object a line."""
+    return spark.read.schema("isoCode string, language string, langCountry string, languageFamily string").json(path, multiLine=one_list)
 
 
 def related(data: DataFrame, isos: list[str]) -> DataFrame:
@@ -223,6 +228,16 @@ def load_config(folder: str, root: str, defaults: dict, name: str = "config.yml"
     return merged_config(defaults, *found)
 
 
+def translation(src: Column, trg: Column, src_lang: str, trg_lang: str) -> Column:
+    """Both sides as one struct named translation, as training sets have it."""
+    return F.struct(src.alias(src_lang), trg.alias(trg_lang)).alias("translation")
+
+
 def translation_rows(pairs: DataFrame, src: str, trg: str) -> DataFrame:
-    """(translation: struct of both languages), as training sets have it."""
-    return pairs.select(F.struct(F.col("src").alias(src), F.col("trg").alias(trg)).alias("translation"))
+    """(translation: struct of both languages)."""
+    return pairs.select(translation(F.col("src"), F.col("trg"), src, trg))
+
+
+def last_verse(verses: DataFrame, book: str, chapter: int) -> DataFrame:
+    """(file, last): the last verse of a chapter in each file of `usfm_verses`."""
+    return verses.filter((F.col("book") == book) & (F.col("chapter") == chapter)).groupBy("file").agg(F.max("verse").alias("last"))

@@ -66,7 +66,7 @@ def test_usfm(spark, tmp_path):
 
 def test_lemma_line(spark):
     df = spark.createDataFrame([("“Go, now.", "go|V<past> now<adv>|A")], "s string, l string")
-    assert df.select(S.lemma_line(F.col("s"), F.col("l"))).first()[0] in ("go, now.", "“go, now.")
+    assert df.select(S.lemma_line(F.col("s"), F.col("l"))).first()[0] == "“go, now."
 
 
 def test_xml_interlinear(spark, tmp_path):
