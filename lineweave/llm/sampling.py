@@ -21,26 +21,32 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import table
 from lineweave.llm.line_dedup import NO_ID
-from lineweave.llm.tokens import hashed, mixed
+from lineweave.llm.tokens import cut, hashed, mixed
 
 SAMPLES = 128
-#: Positions drawn at a time, and code points of text and documents handled together.
-WIDTH, BATCH, ROWS = 16, 4 << 20, 1 << 15
+#: Code points of text and documents handled together; draws kept at a time; terms drawn and (document, term) pairs compared
+#: at a time, few enough to stay in a processor's cache.
+BATCH, ROWS, DRAWS, CHUNK, GROUP = 4 << 20, 1 << 15, 1 << 23, 512, 4096
 
 
-def draws(terms: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, b) of each term for the positions first .. first + WIDTH - 1."""
-    position = np.arange(first + 1, first + WIDTH + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    x = mixed(terms[:, None] ^ position)
-    y = mixed(x + np.uint64(0x9E3779B97F4A7C15))
+def draws(terms: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, c, b) of each term for the positions first .. first + width - 1; c is the logarithm."""
+    position = np.arange(first + 1, first + width + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    out = tuple(np.empty((len(terms), width), np.float32) for _ in range(3))
     low, scale = np.uint64(0xFFFFFF), np.float32(2**-24)
 
     def uniform(z: np.ndarray, shift: int) -> np.ndarray:
         return ((z >> np.uint64(shift) & low).astype(np.float32) + np.float32(0.5)) * scale
 
-    r = -np.log(uniform(x, 0) * uniform(x, 24))
-    c = np.log(-np.log(uniform(y, 0) * uniform(y, 24)))
-    return r, c, (x >> np.uint64(48)).astype(np.float32) * np.float32(2**-16)
+    for at in range(0, len(terms), CHUNK):
+        r, c, b = (x[at : at + CHUNK] for x in out)
+        x = mixed(terms[at : at + CHUNK, None] ^ position)
+        y = mixed(x + np.uint64(0x9E3779B97F4A7C15))
+        np.negative(np.log(uniform(x, 0) * uniform(x, 24), out=r), out=r)
+        np.negative(np.log(uniform(y, 0) * uniform(y, 24), out=c), out=c)
+        np.log(c, out=c)
+        np.multiply((x >> np.uint64(48)).astype(np.float32), np.float32(2**-16), out=b)
+    return out
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
@@ -51,23 +57,26 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     pairs, weight = np.unique(doc * max(len(terms), 1) + term, return_counts=True)
     doc, term = np.divmod(pairs, max(len(terms), 1))
     out = np.zeros((len(texts), SAMPLES), np.uint16)
-    if not len(pairs):
-        return out
     first = np.flatnonzero(np.diff(doc, prepend=-1))
-    nth = np.cumsum(np.diff(doc, prepend=-1) > 0) - 1
-    heavy = np.flatnonzero(weight > 1)
-    logs = np.log(weight.astype(np.float32))[:, None]
-    for k in range(0, SAMPLES, WIDTH):
-        r, c, b = draws(terms, k)
-        keys = (c + r * b - r)[term]  # t is 0 at weight 1
-        hr, hb = r[term[heavy]], b[term[heavy]]
-        keys[heavy] = c[term[heavy]] - hr * (np.floor(logs[heavy] / hr + hb) - hb) - hr
-        least = np.minimum.reduceat(keys, first, axis=0)
-        row, column = np.nonzero(keys == least[nth])
-        won = term[row]
-        t = np.floor(logs[row, 0] / r[won, column] + b[won, column]).astype(np.int64)
-        sample = mixed(terms[won] + t.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)
-        out[doc[row], k + column] = np.maximum(sample, 1)
+    count = np.diff(np.append(first, len(pairs)))
+    groups = list(cut(count.tolist(), GROUP))
+    heavy, logs = weight > 1, np.log(weight.astype(np.float32))
+    width = max(8, min(SAMPLES, DRAWS // max(len(terms), 1)))
+    for k in range(0, SAMPLES if len(pairs) else 0, width):
+        r, c, b = draws(terms, k, min(width, SAMPLES - k))
+        c += r * b - r  # the key where t is 0, as it is at weight 1
+        for lo, hi in groups:
+            start, end = first[lo], first[hi - 1] + count[hi - 1]
+            own = term[start:end]
+            keys, more = c[own], np.flatnonzero(heavy[start:end])
+            steps = np.floor(logs[start:end][more, None] / r[own[more]] + b[own[more]])
+            keys[more] -= r[own[more]] * steps
+            least = np.minimum.reduceat(keys, first[lo:hi] - start, axis=0)
+            row, column = np.divmod(np.flatnonzero(keys == np.repeat(least, count[lo:hi], axis=0)), keys.shape[1])
+            won = own[row]
+            t = np.floor(logs[start + row] / r[won, column] + b[won, column]).astype(np.int64)
+            sample = mixed(terms[won] + t.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)
+            out[doc[start + row], k + column] = np.maximum(sample, 1)
     return out
 
 

@@ -361,7 +361,15 @@ def test_fingerprint_does_not_depend_on_company():
     texts = [f"some words of text {i} and more words".encode() for i in range(50)]
     alone = np.concatenate([sampling.signatures([t]) for t in texts])
     assert np.array_equal(alone, sampling.signatures(texts))
-    assert not sampling.signatures([b"", b" \n"]).any()
+    assert not sampling.signatures([b"", b" \n"]).any() and sampling.signatures([]).shape == (0, sampling.SAMPLES)
+
+
+def test_fingerprint_does_not_depend_on_how_work_is_cut(monkeypatch):
+    texts = [f"{'word ' * (i % 5)} some words of text {i} and more words".encode() for i in range(60)] + [b""]
+    whole = sampling.signatures(texts)
+    for name, value in (("GROUP", 7), ("CHUNK", 3), ("DRAWS", 1)):
+        monkeypatch.setattr(sampling, name, value)
+    assert np.array_equal(whole, sampling.signatures(texts))
 
 
 def plain_ioffe(text):
@@ -372,7 +380,7 @@ def plain_ioffe(text):
         best = None
         for word, weight in counts.items():
             term = tokens_.hashed([word], False)[0]
-            r, c, b = (x[0, k % sampling.WIDTH] for x in sampling.draws(term, k - k % sampling.WIDTH))
+            r, c, b = (x[0, 0] for x in sampling.draws(term, k, 1))
             t = np.floor(np.log(np.float32(weight)) / r + b)
             key = c - r * (t - b) - r
             if best is None or key < best[0]:
