@@ -81,16 +81,19 @@ def words_and_marks(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{L}\p{M}\p{N}']+|[^\s\p{L}\p{M}\p{N}])"), F.lit(1))
 
 
+#: The replacements of the mteval-13a tokenizer, in their order.
+STEPS_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+)
+
+
 def tokenize_13a(c: Column | str) -> Column:
     """The tokens that BLEU counts (Papineni et al., 2002; the mteval-13a rules), lower-cased."""
-    steps = [
-        (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
-        (r"([^0-9])([\.,])", "$1 $2 "),
-        (r"([\.,])([^0-9])", " $1 $2"),
-        (r"([0-9])(-)", "$1 $2 "),
-    ]
     text = F.concat(F.lit(" "), F.lower(F.regexp_replace(col(c), "\n", " ")), F.lit(" "))
-    return tokens(reduce(lambda x, s: F.regexp_replace(x, *s), steps, text))
+    return tokens(reduce(lambda x, s: F.regexp_replace(x, *s), STEPS_13A, text))
 
 
 def uniform(*parts: Column) -> Column:

@@ -256,3 +256,23 @@ rbo = mapped(lambda s, t: rbo_ext([list(x) for x in s], [list(x) for x in t]), T
 def grow_diag(forward: pd.Series, backward: pd.Series) -> pd.Series:
     links = lambda x: {(r["i"], r["j"]) for r in x}
     return pd.Series([[{"i": i, "j": j} for i, j in grow_diag_final(links(f), links(b))] for f, b in zip(forward, backward, strict=True)])
+
+
+#: Names under which `register` makes the functions known to SQL; others may be added.
+SQL_NAMES = {
+    "lw_nfc": nfc,
+    "lw_unicode_details": details,
+    "lw_token_edits": token_edits,
+    "lw_jaro": jaro,
+    "lw_ter_edits": ter_edit_count,
+    "lw_word_diff": diff,
+    "lw_common_subsequence": common_subsequence,
+    "lw_glosses": glosses,
+    "lw_rank_biased_overlap": rbo,
+}
+
+
+def register(spark) -> None:
+    """Make the functions known to spark.sql."""
+    for name, function in SQL_NAMES.items():
+        spark.udf.register(name, function)

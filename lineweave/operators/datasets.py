@@ -167,3 +167,13 @@ def beam_search(books: list[str], width: int, score: Callable[[list[tuple[str, .
         ranked = sorted(((p, told[p][0] / ((5 + told[p][1]) / 6) ** alpha) for p in wider), key=lambda x: (-x[1], x[0]))[:width]
         beam = [p for p, _ in ranked]
     return ranked
+
+
+def onboarding(verses: DataFrame, scored: DataFrame, project: str, book: str, column: str, by: list[str], threshold: float) -> dict[str, DataFrame]:
+    """The tables of a project's first report (X09), lazily: verses per book and their share of the fullest project's, and
+    the coverage of each project pair (scored: by, src, trg, score)."""
+    from lineweave.operators import lexicon as L
+    from lineweave.operators import vocabulary as V
+
+    counts = V.verse_counts(verses, project, book, column)
+    return {"verse_counts": counts, "verse_percentages": V.verse_percentages(counts, project, book), "corpus_stats": L.pair_coverage(scored, by, threshold)}

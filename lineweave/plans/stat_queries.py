@@ -311,3 +311,10 @@ def events_session(spark, d):
     from lineweave.streaming.events import sessions
 
     return sessions(load(spark, d, "events"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS start, event_type, count(*)::BIGINT AS n FROM events, range(2) t(k) GROUP BY ALL")
+def events_sliding(spark, d):
+    from lineweave.streaming.events import sliding
+
+    return sliding(load(spark, d, "events"))

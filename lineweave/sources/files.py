@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
+from lineweave.session import written
 
 #: The books in canonical order, three letters each.
 BOOKS = (
@@ -21,12 +22,24 @@ BOOKS = (
 
 def line_scan(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, text): stripped lines with their numbers from 1 (S01). A file is one row while it is
-    split, which keeps its order; corpora of this kind are far smaller than a partition."""
+    split, which keeps its order; for files that are no such size see `large_line_scan`."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("v"))
     lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("v", "\r?\n\\z", ""), "\r?\n", -1)).alias("pos", "text"))
     return lines.select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), X.strip("text").alias("text"))
 
 
+def large_line_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The same for files of any size: splits of a file are read by many tasks, and the counts of the splits before (a row
+    each) turn a line's place in its split into its number. Written once, so that numbers and counts belong together."""
+    at = F.col("_metadata")
+    rows = spark.read.text(path, lineSep="\n").select(at.getField("file_name").alias("file"), at.getField("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = written(rows, "lines")
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    numbered = rows.join(splits.select("file", "block", (before - F.col("low") + 1).alias("shift")), ["file", "block"])
+    return numbered.select("file", (F.col("at") + F.col("shift")).alias("line_no"), X.strip(F.regexp_replace("value", "^\ufeff", "")).alias("text"))
+
+
 def parallel_scan(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(line_no, one column a path): lines by number, as many as the shortest file has."""
     out = None

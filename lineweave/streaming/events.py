@@ -18,6 +18,20 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return sums.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(start, event_type, n) of windows that overlap: one begins each `step`."""
+    rows = timed(events)
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
+    sums = rows.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"))
+    return sums.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def append_to(rows: DataFrame, path: str, state: str):
+    """Starts the query that appends a stream's closed rows to Parquet files, whatever is there now, and then ends. `state` is
+    a folder that all executors share; with it, the next run goes on where this one ended, and no row is written twice."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+
+
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, n) of each run of a user's events without a pause of `gap`."""
     rows = timed(events)

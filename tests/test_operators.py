@@ -373,3 +373,10 @@ def test_aligners_and_scores(spark):
     assert none.first().score == 0.0
     stated = L.sentence_scores(links.withColumn("p", F.lit(0.5)), spark.createDataFrame([], "k int, side string, at int, word string"), empty, empty, ["k"])
     assert stated.first().score == 0.5
+
+
+def test_functions_in_sql(spark):
+    U.register(spark)
+    got = spark.sql("SELECT lw_nfc('e\u0301') AS a, lw_glosses('tree (big), oak') AS b, lw_common_subsequence(array('a', 'b'), array('b')) AS c").first()
+    assert (got.a, got.b, got.c) == ("\u00e9", ["tree", "oak"], 1)
+    assert len(U.SQL_NAMES) == 9

@@ -20,6 +20,18 @@ def test_line_scan_numbers_and_strips(spark, tmp_path):
     assert got == [(1, "one"), (2, ""), (3, "three"), (4, "four")]
 
 
+def test_large_files_get_the_same_numbers(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        put(tmp_path, f"big/{name}", "".join(f" line {i} of {name}\t\n" if i % 7 else "\n" for i in range(4000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        big = sorted(tuple(r) for r in S.large_line_scan(spark, str(tmp_path / "big")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert big == sorted(tuple(r) for r in S.line_scan(spark, str(tmp_path / "big")).collect()) and len(big) == 8000
+
+
 def test_parallel_scan_takes_the_shortest(spark, tmp_path):
     a, b = put(tmp_path, "a.txt", "1\n2\n3\n"), put(tmp_path, "b.txt", "x\ny\n")
     got = S.parallel_scan(spark, {"src": a, "trg": b}).orderBy("line_no").collect()

@@ -30,3 +30,17 @@ def test_stream_drops_repeats(spark, tmp_path):
 def test_sessions(spark):
     assert sorted(r.n for r in E.sessions(rows(spark), "5 hours").collect()) == [50] * 4
     assert E.sessions(rows(spark), "10 minutes").count() == 200
+
+
+def test_sliding_stream_equals_table(spark, tmp_path):
+    got = streamed(spark, tmp_path, E.sliding, "slid", "complete")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.sliding(rows(spark)).collect()))
+
+
+def test_append_goes_on_where_it_ended(spark, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for part in (0, 1):
+        rows(spark).filter(f"event_id % 2 = {part}").write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(rows(spark).schema).parquet(str(tmp_path / "in"))
+        E.append_to(source.select("event_id"), out, state).awaitTermination()
+        assert spark.read.parquet(out).count() == 100 * (part + 1)
