@@ -56,8 +56,8 @@ def char_class(ranges: str) -> str:
 SMALL = {c: small + c - first for first, last, small in CAPITALS for c in range(first, last + 1)}
 SMALL[ord("Σ")] = ord("σ")  # by character: no rule for a final sigma
 LATE_SIGN, LATE_MARK = re.compile(f"[{char_class(SIGNS)}]"), re.compile(f"([{char_class(INERT)}])")
-CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
-RUNS = regex.compile(f"[{SPACE}]+")
+#: What most texts have nothing of.
+LATE = re.compile(f"[{char_class(SIGNS)}{char_class(INERT)}{''.join(map(chr, SMALL))}]")
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+", regex.V0)
 _LATE = char_class(SIGNS)
 #: The same for texts with late signs.
@@ -155,23 +155,18 @@ def vocabulary(path: str) -> Vocabulary:
 
 def composed(text: str) -> str:
     """NFC, with inert marks as borders."""
-    nfc = unicodedata.normalize
-    return "".join(p if i % 2 else nfc("NFC", p) for i, p in enumerate(LATE_MARK.split(text))) if LATE_MARK.search(text) else nfc("NFC", text)
-
-
-def normalised(text: str) -> str:
-    """NFC, white space to single blanks, lower case by character."""
-    if not text.isascii():
-        text = composed(text)
-        if CAPITAL.search(text):
-            text = text.translate(SMALL)
-    return RUNS.sub(" ", text).lower()
+    return "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(LATE_MARK.split(text)))
 
 
 def words_of(text: str) -> list[str]:
-    """The words and signs of a text without special strings."""
-    text = normalised(text)
-    return (WORD if text.isascii() or not LATE_SIGN.search(text) else WORD_LATE).findall(text)
+    """The words and signs of a text without special strings, in NFC and in lower case by character. White space only parts
+    them, so runs of it need not become single blanks first."""
+    if text.isascii():
+        return WORD.findall(text.lower())
+    if not LATE.search(text):
+        return WORD.findall(unicodedata.normalize("NFC", text).lower())
+    text = composed(text).translate(SMALL).lower()
+    return (WORD_LATE if LATE_SIGN.search(text) else WORD).findall(text)
 
 
 class Encoder:
