@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import saved
@@ -266,8 +266,8 @@ def linked(texts: DataFrame, words: int, t: Fraction) -> DataFrame:
     """(node, root) of the texts (node, text) that have a link: root is the smallest node that links reach."""
     sets_of = saved(prefixes(texts, words, t).dropDuplicates(["node"]), "prefixes")
     dealt = sets_of.select("node", "n", F.posexplode("prefix").alias("at", "s"))
-    dealt = dealt.withColumn("k", F.count("*").over(Window.partitionBy("s"))).filter("k > 1")
-    shared = saved(dealt.join(sets_of.select("node", "sketch"), "node"), "shared")
+    often = sets_of.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("k")).filter("k > 1")  # summed up before they meet
+    shared = saved(dealt.join(often, "s").join(sets_of.select("node", "sketch"), "node"), "shared")
     prints = sets_of.groupBy("fp").agg(F.min("node").alias("node"))
     level = sets_of.join(prints.withColumnRenamed("node", "first"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b")
     near = near_links(saved(prints.select("node", "fp"), "prints"), NEAR_BITS).select("a", "b").union(level)
