@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import added, saved, table
-from lineweave.llm.tokens import hashed, mixed, pieces
+from lineweave.llm.tokens import hashed, mixed, parts
 
 BUCKET_BITS = 18
 #: The bounds of the sample that the driver holds: labelled rows, in order of a hash, and features of them all together.
@@ -82,10 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in pieces(raw):
-                b, v, at = features(raw[lo:hi])
-                part = batch.slice(lo, hi - lo)
+            for part, raw in parts(batch, 1):
+                b, v, at = features(raw)
                 buckets, values = pa.array(b.astype(np.int32)), pa.array(v.astype(np.float32))
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), x) for x in (buckets, values)]
                 yield pa.record_batch([part.column(0), part.column(2), *lists], ["i", "y", "b", "v"])
@@ -115,13 +113,11 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(float)
         for batch in batches:
-            raw = [t or b"" for t in batch.column(at_text).cast(pa.binary()).to_pylist()]
-            out = np.zeros(len(raw))
-            for lo, hi in pieces(raw):
-                b, v, offsets = features(raw[lo:hi])
+            for part, raw in parts(batch, at_text):
+                b, v, offsets = features(raw)
                 sums = np.add.reduceat(np.append(w[b] * v, 0.0), offsets[:-1])
-                out[lo:hi] = np.where(np.diff(offsets) > 0, sums, 0.0) + w[-1]
-            yield pa.record_batch([*batch.columns, pa.array(1 / (1 + np.exp(-out)))], [*batch.schema.names, "__score"])
+                out = np.where(np.diff(offsets) > 0, sums, 0.0) + w[-1]
+                yield pa.record_batch([*part.columns, pa.array(1 / (1 + np.exp(-out)))], [*part.schema.names, "__score"])
 
     return docs.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import added, saved, table
-from lineweave.llm.tokens import cut, joined, mixed, pieces, span_hashes
+from lineweave.llm.tokens import cut, joined, mixed, parts, span_hashes
 
 #: The base patterns, and the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -343,9 +343,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in pieces(raw):
-                columns = list(zip(*labelled_lines(raw[lo:hi], kinds), strict=True)) or [()] * 4
+            for _, raw in parts(batch, 1):
+                columns = list(zip(*labelled_lines([t.decode() for t in raw], kinds), strict=True)) or [()] * 4
                 types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["k", "h", "f", "y"])
 
@@ -413,15 +412,13 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         model.weights, model.moves = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            raw = batch.column(at_text).to_pylist()
-            spans = []
-            for lo, hi in pieces([t or "" for t in raw]):
-                spans += find([t or "" for t in raw[lo:hi]], model)
-            columns = list(batch.columns)
-            if redact is not None:
-                columns[at_text] = pa.array([redacted(t, s, redact) if s else t for t, s in zip(raw, spans, strict=True)], columns[at_text].type)
-            told = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in one] for one in spans]
-            yield pa.record_batch([*columns, pa.array(told, kind)], [*batch.schema.names, "__spans"])
+            for part, raws in parts(batch, at_text):
+                spans = find([t.decode() for t in raws], model)
+                columns = list(part.columns)
+                if redact is not None:
+                    columns[at_text] = pa.array([redacted(t, s, redact) if s else t for t, s in zip(columns[at_text].to_pylist(), spans, strict=True)], columns[at_text].type)
+                told = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in one] for one in spans]
+                yield pa.record_batch([*columns, pa.array(told, kind)], [*part.schema.names, "__spans"])
 
     return docs.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lineweave.llm.common import saved
 from lineweave.llm.components import star_components
 from lineweave.llm.simhash import near_links
-from lineweave.llm.tokens import joined, mixed, pieces, span_hashes, spans
+from lineweave.llm.tokens import PIECE, cut, joined, mixed, parts, span_hashes, spans
 
 #: Texts to learn frequent shingles from, how often they must be there, and how many are kept.
 SAMPLE, OFTEN, MAX_FREQUENT = 4096, 4, 65536
@@ -204,7 +204,7 @@ def links(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
-            for lo, hi in pieces([u + v for u, v in zip(x, y, strict=True)]):
+            for lo, hi in cut([len(u) + len(v) for u, v in zip(x, y, strict=True)], PIECE):
                 text, hashes = sets(x[lo:hi] + y[lo:hi], words, none, none)
                 sizes = np.bincount(text, minlength=2 * (hi - lo))
                 pair = text % (hi - lo)
@@ -226,9 +226,8 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(0).cast(pa.binary()).to_pylist()
-            for lo, hi in pieces(raw):
-                yield pa.record_batch([pa.array(sets(raw[lo:hi], words, none, none)[1].view(np.int64))], ["s"])
+            for _, raw in parts(batch, 0):
+                yield pa.record_batch([pa.array(sets(raw, words, none, none)[1].view(np.int64))], ["s"])
 
     picked = texts.filter(F.col("node") <= last).dropDuplicates(["node"]).select("text")
     counts = picked.mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= OFTEN)
@@ -245,19 +244,18 @@ def prefixes(texts: DataFrame, words: int, t: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, often = shared.value
         for batch in batches:
-            raw = batch.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in pieces(raw):
-                text, hashes = sets(raw[lo:hi], words, frequent, often)
-                n = np.bincount(text, minlength=hi - lo)
+            for part, raw in parts(batch, 1):
+                text, hashes = sets(raw, words, frequent, often)
+                n = np.bincount(text, minlength=len(raw))
                 take = n + 1 - -(-t.numerator * n // t.denominator)
                 start = np.cumsum(n) - n
                 inside = np.arange(len(text)) - start[text] < take[text]
                 offsets = pa.array(np.r_[0, np.cumsum(take)].astype(np.int32))
                 prefix = pa.ListArray.from_arrays(offsets, pa.array(hashes[inside].view(np.int64)))
-                sketch = pa.array([s.tobytes() for s in sketches(text, hashes, hi - lo)], pa.binary())
+                sketch = pa.array([s.tobytes() for s in sketches(text, hashes, len(raw))], pa.binary())
                 whole = pa.array(long_sketches(text, hashes, n), pa.binary())
-                fp = pa.array(fingerprints_of(text, hashes, hi - lo).view(np.int64))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), fp, prefix, sketch, whole], ["node", "n", "fp", "prefix", "sketch", "long_sketch"])
+                fp = pa.array(fingerprints_of(text, hashes, len(raw)).view(np.int64))
+                yield pa.record_batch([part.column(0), pa.array(n.astype(np.int32)), fp, prefix, sketch, whole], ["node", "n", "fp", "prefix", "sketch", "long_sketch"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, n int, fp long, prefix array<long>, sketch binary, long_sketch binary")
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text that a task works on at a time.
+PIECE = 1 << 20
 #: Bytes hashed at a time; a longer token is still hashed whole.
 CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -86,6 +90,15 @@ def cut(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield lo, i + 1
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about `limit` bytes; a longer text is a run of its own."""
     return cut(map(len, texts), limit)
+
+
+def parts(batch: pa.RecordBatch, column: int, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with about `limit` bytes in a text column, and the texts of each; a null is empty. So of a batch only a
+    slice is held as Python objects and in the arrays made of them."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in cut(sizes.tolist(), limit):
+        part = batch.slice(lo, hi - lo)
+        yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
