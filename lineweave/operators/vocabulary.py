@@ -9,10 +9,14 @@ from lineweave.functions import text as X
 
 
 def word_counts(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """(by, word, n): lower-cased words without marks at their ends; blank and numeric ones go."""
+    """(by, word, n): lower-cased words without marks at their ends; blank and numeric ones go.
+
+    Words are counted as they stand first, so that marks are taken off each of them once.
+    """
     by = by or []
-    words = rows.select(*by, F.explode(X.tokens(F.lower(column))).alias("w")).select(*by, X.strip_punct("w").alias("word"))
-    return words.filter((F.col("word") != "") & ~F.col("word").rlike("^[0-9]+$")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    raw = rows.select(*by, F.explode(F.split(F.lower(column), X.BLANK)).alias("w")).filter("w <> ''").groupBy(*by, "w").agg(F.count("*").alias("n"))
+    words = raw.select(*by, X.strip_punct("w").alias("word"), "n")
+    return words.filter((F.col("word") != "") & ~F.col("word").rlike("^[0-9]+$")).groupBy(*by, "word").agg(F.sum("n").alias("n"))
 
 
 def subtract_counts(these: DataFrame, known: DataFrame) -> DataFrame:
@@ -73,8 +77,9 @@ def token_occurrences(lines: DataFrame, tokens: list[str], key: str, line_no: st
 
     A leading piece mark asks for a word begin. Of a token's lines in a file only the first `most` are gathered (A14).
     """
-    patterns = F.array(*(F.struct(F.lit(t).alias("token"), F.lit(pattern(t)).alias("p")) for t in tokens))
-    each = lines.select(key, line_no, column, F.explode(patterns).alias("t")).select(key, line_no, "t.token", F.regexp_count(column, F.col("t.p")).cast("bigint").alias("n")).filter("n > 0")
+    count = lambda t: F.when(F.col(column).contains(t.lstrip("▁")), F.regexp_count(column, F.lit(pattern(t)))).otherwise(0).cast("bigint")
+    found = F.filter(F.array(*(F.struct(F.lit(t).alias("token"), count(t).alias("n")) for t in tokens)), lambda x: x["n"] > 0)
+    each = lines.select(key, line_no, F.explode(found).alias("t")).select(key, line_no, "t.*")
     placed = each.withColumn("place", F.row_number().over(Window.partitionBy("token", key).orderBy(line_no)))
     found = placed.groupBy("token", key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col(line_no)))).alias("first"), F.count("*").alias("all"))
     return found.select("token", key, "n", F.array_join("first", ",").alias("lines"), (F.col("all") > most).alias("truncated"))
