@@ -91,7 +91,7 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     are padded to bucket_len; a document longer than the budget is a batch of its own. Every document is in
     one batch, the empty and the null text (length 0) included. slot counts from 0 within the batch; order is
     by the hash of id and content, so rows that share an id, or have none, are dealt out too, and repeated rows sit
-    side by side. content: what tells rows of an id apart (all columns unless given).
+    side by side. content: what tells rows of an id apart (all columns unless given). Other columns are not returned.
     """
     told = F.xxhash64(F.col(id_col).cast("long"), content if content is not None else F.to_json(F.struct(*docs.columns)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"), told.alias("h"))

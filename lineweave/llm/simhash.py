@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
 
     Documents link if their fingerprints differ in at most `bits` bits.
     Null and empty texts, and those of white space, have fingerprint 0 and link like any other. Repeated rows
-    stay repeated. A null id is no candidate for component_id, which is null if a component has no other.
+    stay repeated. A null id is no candidate for component_id, which is null if a component has no other. Other
+    columns of docs are not returned.
     """
     return grouped(fingerprints(docs, lambda t: fingerprint(t, words), ["fp"], id_col, text_col), bits)
 

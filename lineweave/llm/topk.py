@@ -184,7 +184,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
 
     Queries are the ids divisible by query_every. Vectors that are null, or hold null or non-finite components,
     and rows without an id take no part; a shorter vector counts as ending in zeros. Scores are those of the
-    integers floor(scale * x), ties go to the smaller id. Fewer than k other vectors: all of them.
+    integers floor(scale * x), ties go to the smaller id. Fewer than k other vectors: all of them. Of rows that share an id the
+    largest vector counts. Other columns are not returned.
 
     Integers beyond a long become the nearest long. Ranks go by the exact inner products of these integers
     whatever their size; a score that a long does not hold is reported as the nearest long.
