@@ -94,13 +94,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by = np.argsort(mixed(ids.view(np.uint64)), kind="stable")
     ids = ids[by][: int(np.searchsorted(np.cumsum(n[by]), max_features, "right")) + 1].tolist()
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "i long")
-    rows = found.join(F.broadcast(chosen), "i", "left_semi").toArrow()  # max_train ids
-    best: dict[int, tuple] = {}
-    for i, y, b, v in zip(rows.column("i").to_pylist(), rows.column("y").to_pylist(), rows.column("b"), rows.column("v"), strict=True):
-        b, v = np.asarray(b.values), np.asarray(v.values)
-        row = (len(b), b.tobytes(), v.tobytes(), b, v, y)
-        best[i] = max(best.get(i, row), row, key=lambda r: r[:3])
-    return train([(best[i][3].astype(np.int64), best[i][4].astype(float), best[i][5]) for i in ids])
+    rows = found.join(F.broadcast(chosen), "i", "left_semi").toArrow()  # max_train ids, max_features features
+    of: dict[int, list[int]] = {}
+    for k, i in enumerate(rows.column("i").to_pylist()):
+        of.setdefault(i, []).append(k)
+    lists = [rows.column(c) for c in "bv"]
+    row = lambda k: [np.asarray(x[k].values) for x in lists]  # noqa: E731  views of the table
+    largest = lambda k: (len(row(k)[0]), *(x.tobytes() for x in row(k)))
+    labels_ = rows.column("y")
+    picked = [ks[0] if len(ks) == 1 else max(ks, key=largest) for ks in (of[i] for i in ids)]
+    weights = train([(*row(k), labels_[k].as_py()) for k in picked])
+    del rows, lists, labels_
+    pa.default_memory_pool().release_unused()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:

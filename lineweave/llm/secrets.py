@@ -149,7 +149,7 @@ class Field:
         order = sorted(range(len(chains)), key=lambda i: (sizes[i], chains[i][0].tobytes(), chains[i][1].tobytes()))
         for lo, hi in cut([sizes[i] for i in order], MINIBATCH):
             part = [chains[i] for i in order[lo:hi]]
-            f = np.zeros((len(part), len(part[-1][1]), FEATURES), np.int64)
+            f = np.zeros((len(part), len(part[-1][1]), FEATURES), np.int32)
             y, mask = np.full(f.shape[:2], OUTSIDE), np.zeros(f.shape[:2], bool)
             for k, (one, tags) in enumerate(part):
                 f[k, : len(tags)], y[k, : len(tags)], mask[k, : len(tags)] = one, tags, True
@@ -319,7 +319,7 @@ def labelled_lines(texts: list[str], kinds: tuple[str, ...]) -> Iterator[tuple[i
 
 def chains_of(features: bytes, tags: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     """A line as chains: one, or if it is long, parts that do not begin inside a secret."""
-    f, y = np.frombuffer(features, np.int32).reshape(-1, FEATURES).astype(np.int64), np.frombuffer(tags, np.int8).astype(np.int64)
+    f, y = np.frombuffer(features, np.int32).reshape(-1, FEATURES), np.frombuffer(tags, np.int8)
     out, lo = [], 0
     while len(y) - lo > LONGEST:
         free = np.flatnonzero(y[lo + LONGEST :] != INSIDE)
@@ -362,7 +362,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     on = (F.col("h") <= last[0]) & (F.col("k") == 0) | (F.col("h") <= last[1]) & (F.col("k") == 1) | (F.col("h") <= last[2]) & (F.col("k") == 2)
     rows = found.filter(on).groupBy("k", "h").agg(F.max(F.struct("f", "y")).alias("r")).select("r.f", "r.y").toArrow()
     chains = [c for f, y in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) for c in chains_of(f, y)]
-    return Field().fit(chains)
+    field = Field().fit(chains)
+    del rows, chains
+    pa.default_memory_pool().release_unused()
+    return field
 
 
 def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
