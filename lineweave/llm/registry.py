@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lineweave.llm import bpe, chat, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
+from lineweave.llm import bpe, chat, decontaminate, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
     "op10_fingerprint": sampling.op10_fingerprint,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_url_rules": url_rules.ORACLE,
     "op5_chat": chat.ORACLE,
     "op7_topk": topk.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE,
 }
