@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lineweave.llm import bpe, chat, decontaminate, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
+from lineweave.llm import bpe, chat, collocations, decontaminate, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_fingerprint": sampling.op10_fingerprint,
     "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_collocations": collocations.op12_collocations,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_chat": chat.ORACLE,
     "op7_topk": topk.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
