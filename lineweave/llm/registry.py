@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lineweave.llm import bpe, chat, collocations, decontaminate, line_dedup, packing, quality, sampling, secrets, simhash, topk, url_rules
+from lineweave.llm import bpe, chat, collocations, decontaminate, line_dedup, packing, quality, repair, sampling, secrets, simhash, topk, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_fingerprint": sampling.op10_fingerprint,
     "op11_decontaminate": decontaminate.op11_decontaminate,
     "op12_collocations": collocations.op12_collocations,
+    "op13_repair": repair.op13_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op7_topk": topk.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
     "op12_collocations": collocations.ORACLE,
+    "op13_repair": repair.ORACLE,
 }
