@@ -34,7 +34,9 @@ LONGEST, MIN_COUNT, COVER_PCT, TOP = 5, 100, 100, 2000
 #: Buckets of leading words; counts are kept in a byte each and stay at its largest value.
 BUCKET_BITS, CHUNK_BITS = 24, 14
 #: Suffixes in a range, on average; shares of a language that are ranked apart before they meet.
-RANGE_ROWS, SHARES = 1 << 20, 32
+RANGE_ROWS, SHARES = 1 << 18, 32
+#: Bytes of text whose words are held at a time.
+TEXT_BYTES = 1 << 20
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -78,7 +80,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         names = ["lang", "word", "n", "chunk", "counts"]
         full = [np.zeros(1 << BUCKET_BITS, np.uint8) for _ in range(2)]
         seen = False
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", TEXT_BYTES):
             block, seen = Block(batch.column(0), batch.column(1)), True
             each, n = np.unique(block.lang * len(block.vocabulary) + block.code, return_counts=True)
             lang, word = np.divmod(each, max(len(block.vocabulary), 1))
@@ -125,7 +127,7 @@ def suffixes(docs: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, task = sent.value, TaskContext.get().partitionId()
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", TEXT_BYTES):
             block = Block(batch.column(0), batch.column(1))
             n = len(block.code)
             pair, triple = (inside & ((b[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool) for b, bucket, inside in zip(bits, block.buckets, block.together, strict=True))
