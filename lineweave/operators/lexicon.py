@@ -238,8 +238,24 @@ def most_likely(pairs: DataFrame, key: list[str], rounds: int = 3) -> DataFrame:
     return met.groupBy(*key, "j", "trg").agg(best).select(*key, "b.i", "j", "b.src", "trg")
 
 
+def _positional(name: str) -> Callable[[DataFrame, list[str]], DataFrame]:
+    def run(pairs: DataFrame, key: list[str]) -> DataFrame:
+        from lineweave.operators import aligners  # which builds on this module
+
+        return getattr(aligners, name)(pairs, key)
+
+    return run
+
+
 #: Aligners by id (L11): a name, and what makes links (key, i, j, src, trg) of pairs (key, s, t). Others may be added.
-ALIGNERS: dict[str, tuple[str, Callable[[DataFrame, list[str]], DataFrame]]] = {"place": ("Same place", same_place), "word": ("Same word", same_word), "ibm1": ("IBM Model 1", most_likely)}
+ALIGNERS: dict[str, tuple[str, Callable[[DataFrame, list[str]], DataFrame]]] = {
+    "place": ("Same place", same_place),
+    "word": ("Same word", same_word),
+    "ibm1": ("IBM Model 1", most_likely),
+    "hmm": ("HMM", _positional("hmm")),
+    "fast_align": ("Diagonal prior", _positional("fast_align")),
+    "eflomal": ("Gibbs sampling with fertility", _positional("eflomal")),
+}
 
 
 def get_aligner(name: str) -> Callable[[DataFrame, list[str]], DataFrame]:

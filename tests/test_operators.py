@@ -359,7 +359,7 @@ def test_surface_patterns_of_other_scripts(spark):
 
 
 def test_aligners_and_scores(spark):
-    assert set(L.ALIGNERS) == {"place", "word", "ibm1"}
+    assert set(L.ALIGNERS) == {"place", "word", "ibm1", "hmm", "fast_align", "eflomal"}
     with pytest.raises(ValueError, match="no aligner"):
         L.get_aligner("other")
     pairs = spark.createDataFrame([(1, ["a", "b", "a"], ["a", "x", "a"]), (2, ["c"], [])], "k int, s array<string>, t array<string>")
