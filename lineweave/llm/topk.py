@@ -112,12 +112,13 @@ def shift_of(query: list[int], low: int, bits: int) -> int:
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v): floor(scale * x) of each usable vector, one row per id (of repeated ids the largest vector)."""
+    """(id, v, row): floor(scale * x) of each usable vector. row tells rows of an id apart: a hash of the vector and, of
+    equal rows, their number."""
     x = F.col(vector_col)
     usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = vectors.filter(F.coalesce(usable, F.lit(False)))
     ints = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
-    return rows.select(F.col(id_col).cast("long").alias("id"), ints.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), ints.alias("v")).groupBy("id", "v").agg(F.count("*").alias("n")).select("id", "v", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth")).select("id", "v", F.xxhash64("v", "nth").alias("row"))
 
 
 def matrix(lists: pd.Series, dims: int) -> np.ndarray:
@@ -128,40 +129,41 @@ def matrix(lists: pd.Series, dims: int) -> np.ndarray:
 
 
 def blocks_of(rows: DataFrame, n: int, dims: int, sliced: bool) -> DataFrame:
-    """(block, ids, low, bits, least, most, data): rows dealt to n blocks by their id's hash, ids ascending. data: the bit
+    """(block, ids, keys, low, bits, least, most, data): rows dealt to n blocks by hash, ids ascending. data: the bit
     slices of value - low, or the integers themselves; least and most of each component."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
+        part = part.sort_values(["id", "row"])
         v = matrix(part["v"], dims)
         low, high = int(v.min()), int(v.max())
         bits = max((high - low).bit_length(), 1)
         data = slices(v, low, bits) if sliced else v
-        told = [part["id"].to_numpy(np.int64), v.min(0), v.max(0), data]
-        ids, least, most, data = (np.ascontiguousarray(x).tobytes() for x in told)
-        return pd.DataFrame({"block": [int(part["b"].iat[0])], "ids": [ids], "low": [low], "bits": [bits], "least": [least], "most": [most], "data": [data]})
+        told = [part["id"].to_numpy(np.int64), part["row"].to_numpy(np.int64), v.min(0), v.max(0), data]
+        ids, keys, least, most, data = (np.ascontiguousarray(x).tobytes() for x in told)
+        return pd.DataFrame({"block": [int(part["b"].iat[0])], "ids": [ids], "keys": [keys], "low": [low], "bits": [bits], "least": [least], "most": [most], "data": [data]})
 
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    return dealt.groupBy("b").applyInPandas(pack, "block long, ids binary, low long, bits int, least binary, most binary, data binary")
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id", "row"), F.lit(n)))
+    return dealt.groupBy("b").applyInPandas(pack, "block long, ids binary, keys binary, low long, bits int, least binary, most binary, data binary")
 
 
 class Search:
     """The best k rows so far of some queries, over the blocks that pass."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
-        self.ids, self.values, self.k = ids.tolist(), values, k
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, values: np.ndarray, k: int):
+        self.ids, self.keys, self.values, self.k = ids.tolist(), keys.tolist(), values, k
         self.exact = values.tolist()
         self.best: list[list[tuple[int, int]]] = [[] for _ in self.ids]  # (-score, id), ascending
 
-    def meet(self, ids: np.ndarray, low: int, bits: int, least: np.ndarray, most: np.ndarray, maps: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, keys: np.ndarray, low: int, bits: int, least: np.ndarray, most: np.ndarray, maps: np.ndarray) -> None:
         valid = np.packbits(np.arange(maps.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
         bounds = (least.tolist(), most.tolist())
         for i, (q, x) in enumerate(zip(self.ids, self.values, strict=True)):
             best = self.best[i]
             if len(best) == self.k and sum(w * bounds[w > 0][d] for d, w in enumerate(self.exact[i])) < -best[-1][0]:
                 continue
-            others, own = valid.copy(), int(np.searchsorted(ids, q))
-            if own < len(ids) and ids[own] == q:
+            others, lo, hi = valid.copy(), *np.searchsorted(ids, [q, q + 1]).tolist()
+            own = lo + int(np.searchsorted(keys[lo:hi], self.keys[i]))
+            if own < hi and keys[own] == self.keys[i]:  # the query's own row; others of its id are candidates
                 others[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
             sums = weighted_sum(maps, x)
             at = select_top(sums, others, self.k)
@@ -171,12 +173,12 @@ class Search:
             del best[self.k :]
 
     def told(self) -> pa.RecordBatch:
-        """query_id, vec_id, score, beyond: scores that a long does not hold are its least or largest, and their order is
+        """query_id, key, vec_id, score, beyond: scores that a long does not hold are its least or largest, and their order is
         that of beyond."""
-        rows = [(q, v, -s) for q, best in zip(self.ids, self.best, strict=True) for s, v in best]
+        rows = [(q, key, v, -s) for q, key, best in zip(self.ids, self.keys, self.best, strict=True) for s, v in best]
         beyond = [None if LEAST < s < MOST else (s + (1 << 300)).to_bytes(40, "big") for *_, s in rows]
-        columns = [pa.array(c, pa.int64()) for c in ([q for q, *_ in rows], [v for _, v, _ in rows], [min(max(s, LEAST), MOST) for *_, s in rows])]
-        return pa.record_batch([*columns, pa.array(beyond, pa.binary())], ["query_id", "vec_id", "score", "beyond"])
+        columns = [pa.array(c, pa.int64()) for c in ([q for q, *_ in rows], [key for _, key, *_ in rows], [v for *_, v, _ in rows], [min(max(s, LEAST), MOST) for *_, s in rows])]
+        return pa.record_batch([*columns, pa.array(beyond, pa.binary())], ["query_id", "key", "vec_id", "score", "beyond"])
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -184,8 +186,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
 
     Queries are the ids divisible by query_every. Vectors that are null, or hold null or non-finite components,
     and rows without an id take no part; a shorter vector counts as ending in zeros. Scores are those of the
-    integers floor(scale * x), ties go to the smaller id. Fewer than k other vectors: all of them. Of rows that share an id the
-    largest vector counts. Other columns are not returned.
+    integers floor(scale * x), ties go to the smaller id. Fewer than k other vectors: all of them. Rows that share an id
+    are each a query and a candidate of their own, for each other too. Other columns are not returned.
 
     Integers beyond a long become the nearest long. Ranks go by the exact inner products of these integers
     whatever their size; a score that a long does not hold is reported as the nearest long.
@@ -212,19 +214,19 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
                     if now:
                         yield now.told()
                     now, task = None, own
-                ids, least, most, data = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("ids", np.int64), ("least", np.int64), ("most", np.int64), ("data", np.uint64)))
+                ids, keys, least, most, data = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("ids", np.int64), ("keys", np.int64), ("least", np.int64), ("most", np.int64), ("data", np.uint64)))
                 if batch.column("kind")[row].as_py() == 0:
-                    now = Search(ids, data.view(np.int64).reshape(len(ids), dims), k)
+                    now = Search(ids, keys, data.view(np.int64).reshape(len(ids), dims), k)
                 elif now:  # a group without queries has no head
                     bits = batch.column("bits")[row].as_py()
-                    now.meet(ids, batch.column("low")[row].as_py(), bits, least, most, data.reshape(dims, bits, -1))
+                    now.meet(ids, keys, batch.column("low")[row].as_py(), bits, least, most, data.reshape(dims, bits, -1))
         if now:
             yield now.told()
 
     # a task holds the queries of one group, and one batch of blocks; hashing may give it several groups, one after another
     tasks = heads.unionByName(streams).repartition(min(n_groups * shares, max(4 * TASKS_A_CORE * cores, n_groups)), "group", "share").sortWithinPartitions("group", "share", "kind", "block")
-    found = tasks.mapInArrow(search, "query_id long, vec_id long, score long, beyond binary")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    found = tasks.mapInArrow(search, "query_id long, key long, vec_id long, score long, beyond binary")
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
