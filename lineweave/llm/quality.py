@@ -88,22 +88,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), x) for x in (buckets, values)]
                 yield pa.record_batch([part.column(0), part.column(2), *lists], ["i", "y", "b", "v"])
 
-    found = saved(texts.mapInArrow(sparse, "i long, y int, b array<int>, v array<float>"), "labelled")
-    sizes = found.groupBy("i").agg(F.max(F.size("b")).alias("n")).toArrow()
-    ids, n = (c.to_numpy() for c in sizes.columns)
+    told = texts.mapInArrow(sparse, "i long, y int, b array<int>, v array<float>")
+    once = told.groupBy("i").agg(F.max(F.struct(F.size("b").alias("n"), "b", "v", "y")).alias("r"))  # one row an id, however often it comes
+    found = saved(once.select("i", "r.n", "r.b", "r.v", "r.y"), "labelled")
+    ids, n = (c.to_numpy() for c in found.select("i", "n").toArrow().columns)  # max_train rows
     by = np.argsort(mixed(ids.view(np.uint64)), kind="stable")
     ids = ids[by][: int(np.searchsorted(np.cumsum(n[by]), max_features, "right")) + 1].tolist()
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "i long")
-    rows = found.join(F.broadcast(chosen), "i", "left_semi").toArrow()  # max_train ids, max_features features
-    of: dict[int, list[int]] = {}
-    for k, i in enumerate(rows.column("i").to_pylist()):
-        of.setdefault(i, []).append(k)
+    rows = found.join(F.broadcast(chosen), "i", "left_semi").toArrow()  # max_train rows, max_features features (and one more row)
+    of = {i: k for k, i in enumerate(rows.column("i").to_pylist())}
     lists = [rows.column(c) for c in "bv"]
     row = lambda k: [np.asarray(x[k].values) for x in lists]  # noqa: E731  views of the table
-    largest = lambda k: (len(row(k)[0]), *(x.tobytes() for x in row(k)))
     labels_ = rows.column("y")
-    picked = [ks[0] if len(ks) == 1 else max(ks, key=largest) for ks in (of[i] for i in ids)]
-    weights = train([(*row(k), labels_[k].as_py()) for k in picked])
+    weights = train([(*row(of[i]), labels_[of[i]].as_py()) for i in ids])
     del rows, lists, labels_
     pa.default_memory_pool().release_unused()
     return weights

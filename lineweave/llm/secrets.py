@@ -228,11 +228,14 @@ def secrets_in(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+MAX_HASH = (1 << 63) - 1
+
+
 def respelt(text: str, spans: list[tuple[int, int, int, int]], draw: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
     """text with each secret in other letters of another length, half of them behind an ordinary word and another
     separator in place of what an assignment has, and where the secrets are now."""
     heads = {secret: start for start, _, kind, secret in reversed(spans) if kind == 0}
-    words = re.findall(r"[^\W\d_]{3,}", text[:4096]) or ["key"]
+    words = re.findall(r"[^\W\d_]{3,}", text) or ["key"]
     parts, places, at, size = [], [], 0, 0
     for start, end in secrets_in(spans):
         letters = ALPHABETS[draw.integers(len(ALPHABETS))]
@@ -331,6 +334,25 @@ def chains_of(features: bytes, tags: bytes) -> list[tuple[np.ndarray, np.ndarray
     return [*out, (f[lo:], y[lo:])] if lo < len(y) else out
 
 
+def last_hash(sizes: DataFrame, limit: int) -> int:
+    """The largest hash up to which the lines (h, n) have at most `limit` tokens together, the first line's at least; -1 for
+    no lines. Sums by 16 bits of the hash at a time tell where to look closer, so 65536 numbers at most are collected."""
+    used, prefix = 0, 0
+    for shift in (47, 31, 15, 0):
+        inside = sizes.filter(F.shiftright("h", shift + 16) == prefix) if shift else sizes.filter(F.shiftright("h", 15) == prefix)
+        sums = sorted(tuple(r) for r in inside.groupBy(F.shiftright("h", shift).alias("p")).agg(F.sum("n")).collect())
+        if not sums:
+            return -1
+        for p, n in sums:
+            if used + n > limit:
+                prefix = p
+                break
+            used += n
+        else:
+            return MAX_HASH
+    return prefix - 1 if used else prefix
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_tokens: int = MAX_TOKENS, kinds: tuple[str, ...] = KINDS[:3]) -> Field:
     """A field learned from the base patterns of these kinds in a bounded sample: lines of at most max_docs documents,
     the first in order of their id's hash, with at most max_tokens tokens (and one line) together.
@@ -349,14 +371,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["k", "h", "f", "y"])
 
     found = saved(texts.mapInArrow(run, "k int, h long, f binary, y binary"), "labelled-lines")
-    sizes = found.groupBy("k", "h").agg(F.max(F.octet_length("y")).alias("n")).orderBy("k", "h")
-    last = {0: -1, 1: -1, 2: -1}
-    kind, h, n = (c.to_numpy() for c in sizes.toArrow().columns)
-    for k in last:
-        own = np.flatnonzero(kind == k)
-        fits = int(np.searchsorted(np.cumsum(n[own]), max_tokens // 3, "right"))
-        if len(own):
-            last[k] = int(h[own[max(fits - 1, 0)]])
+    sizes = saved(found.groupBy("k", "h").agg(F.max(F.octet_length("y")).alias("n")), "line-sizes")
+    last = {k: last_hash(sizes.filter(F.col("k") == k), max_tokens // 3) for k in range(3)}
     if last[0] < 0:
         return Field()
     on = (F.col("h") <= last[0]) & (F.col("k") == 0) | (F.col("h") <= last[1]) & (F.col("k") == 1) | (F.col("h") <= last[2]) & (F.col("k") == 2)
