@@ -6,7 +6,17 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from lineweave.session import shared_dir, written as saved
 from lineweave.sources.tables import load as table
 
-__all__ = ["added", "saved", "shared_dir", "table"]
+__all__ = ["added", "saved", "shared_dir", "table", "unused"]
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until no column of docs has it: for columns that an operator needs on the way."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def added(docs: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import saved
+from lineweave.llm.common import saved, unused
 from lineweave.llm.components import star_components
 from lineweave.llm.simhash import near_links
 from lineweave.llm.tokens import PIECE, cut, joined, mixed, parts, span_hashes, spans
@@ -307,7 +307,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
 def first_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs reduced to one row of each component of `similar_documents`: that of the smallest id (null ids last), of texts
-    that share it the one of the smallest hash, of repeated rows any one. All columns stay; none named __node may be there.
+    that share it the one of the smallest hash, of repeated rows any one. All columns stay, whatever their names.
     """
     made = keyed(docs, id_col, text_col)
     each = made.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
@@ -315,11 +315,12 @@ def first_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     firsts = saved(each.groupBy("node").agg(best.alias("f")), "distinct")
     stars = linked(made, words, Fraction(str(similarity)))
     of_group = firsts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("f").alias("f"))
-    kept = saved(of_group.select(F.col("f.doc_id").alias("__id"), F.col("f.node").alias("__n"), F.col("f.rows").alias("__rows")), "kept")
-    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = (F.col("__node") == F.col("__n")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    once = rows.join(kept.filter("__rows = 1").hint("shuffle_hash"), same, "left_semi")
-    if not kept.filter("__rows > 1").isEmpty():
-        often = rows.join(kept.filter("__rows > 1"), same, "left_semi")
-        once = once.unionByName(often.dropDuplicates([id_col, "__node"]))
+    node, id_, n, times = unused(docs, "__node", "__id", "__n", "__rows")
+    kept = saved(of_group.select(F.col("f.doc_id").alias(id_), F.col("f.node").alias(n), F.col("f.rows").alias(times)), "kept")
+    rows = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = (F.col(node) == F.col(n)) & F.col(id_col).cast("long").eqNullSafe(F.col(id_))
+    once = rows.join(kept.filter(F.col(times) == 1).hint("shuffle_hash"), same, "left_semi")
+    often = kept.filter(F.col(times) > 1)
+    if not often.isEmpty():
+        once = once.unionByName(rows.join(often, same, "left_semi").dropDuplicates([id_col, node]))
     return once.select(*docs.columns)

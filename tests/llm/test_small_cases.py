@@ -314,12 +314,12 @@ def test_pack_fills_batches_within_budget(spark, monkeypatch):
 def brute_topk(vectors, k):
     fit = lambda x: max(-(2**63), min(2**63 - 1, x))
     whole = lambda x: fit(math.floor(x * 64)) if math.isfinite(x * 64) else fit(int(math.copysign(2**70, x)))
-    usable = {i: list(map(whole, v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, list(map(whole, v))) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     dot = lambda a, b: int(sum(x * y for x, y in zip(a, b)))  # noqa: E731, B905
     out = set()
-    for q, x in usable.items():
+    for a, (q, x) in enumerate(usable):
         if q % 20 == 0:
-            best = sorted((-dot(x, y), i) for i, y in usable.items() if i != q)[:k]
+            best = sorted((-dot(x, y), i) for b, (i, y) in enumerate(usable) if b != a)[:k]
             out |= {(q, r + 1, i, fit(-s)) for r, (s, i) in enumerate(best)}
     return out
 
@@ -334,7 +334,7 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
     rows += [(500, [1e30, 1.0]), (520, [-1e30, 1e15]), (540, [1e308] * 6), (560, [-1e308] * 6), (580, [1e17, -1e17, 3.0]), (501, [1e18]), (502, [-1e18, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(df.union(df.filter("vec_id = 20")), 5)
-    assert {tuple(r) for r in got.collect()} == brute_topk(rows, 5)
+    assert {tuple(r) for r in got.collect()} == brute_topk(rows + [r for r in rows if r[0] == 20], 5)
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id = 20")).count() == 0
 
 
@@ -470,3 +470,49 @@ def test_pipeline_stages(spark):
     assert ids(safe) == ids(docs) and safe.filter(F.col("text").rlike("[0-9a-f]{16}")).count() == 0
     assert ids(P.packing(spark, docs, sf)) == ids(docs)
     assert P.run(spark, sf).count() > 0
+
+
+# rows that share an id, and columns with the names of the operators' own
+def test_topk_rows_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 2.0]), (2, [1.0, 1.0]), (3, None)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, query_every=1).collect())
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v]
+    want = []
+    for a, (q, x) in enumerate(ints):
+        others = sorted((-sum(p * r for p, r in zip(x, y)), i) for b, (i, y) in enumerate(ints) if b != a)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(others[:2])]
+    assert got == sorted(want)
+
+
+def test_quality_learns_from_an_id_once(spark):
+    docs = [(1, "good words here")] * 400 + [(1, "good words")] + [(2, "bad words here")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(list(dict.fromkeys(docs)), "doc_id long, text string"), labels)
+    assert np.array_equal(quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels), once)
+
+
+def test_last_hash_equals_a_running_sum(spark):
+    from lineweave.llm import secrets
+
+    draw = random.Random(8)
+    for most in (1 << 62, 1 << 20, 40):
+        lines = sorted({draw.randrange(most): draw.randrange(1, 9) for _ in range(60)}.items())
+        df = spark.createDataFrame(lines, "h long, n int")
+        for limit in (0, 5, 100, 10_000):
+            fits = [h for k, (h, _) in enumerate(lines) if sum(n for _, n in lines[: k + 1]) <= limit] or [lines[0][0]]
+            last = secrets.last_hash(df, limit)
+            assert [h for h, _ in lines if h <= last] == [h for h, _ in lines if h <= fits[-1]]
+    assert secrets.last_hash(df.limit(0), 5) == -1
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    import corpus_pipeline as pipe
+
+    names = ["__d", "__t", "__runs", "__mask", "__n_lines", "__n_dropped", "__id", "__n", "__rows", "__node", "__score", "__spans"]
+    docs = spark.createDataFrame([(1, "A text of some words, long enough.\n" * 2), (2, "Another one"), (2, "Another one")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    for stage in (pipe.lines, pipe.near_duplicates, pipe.secrets):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(f"own {c}" for c in names)}
+    assert pipe.near_duplicates(spark, docs, "").count() == 2
