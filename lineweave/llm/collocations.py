@@ -37,6 +37,8 @@ BUCKET_BITS, CHUNK_BITS = 24, 14
 RANGE_ROWS, SHARES = 1 << 18, 32
 #: Bytes of text whose words are held at a time.
 TEXT_BYTES = 1 << 20
+#: Suffixes of a task that are held to be summed up before they are sent.
+MERGE_ROWS = 1 << 16
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -73,27 +75,51 @@ def hashes(words: pa.Array) -> np.ndarray:
     return span_hashes(data, at[:-1], at[1:])
 
 
+def summed_up(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows (keys, n), equal ones added up as long as all fit into MERGE_ROWS."""
+    held, n = [], 0
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+    for part in parts:
+        held.append(pa.Table.from_batches([part]))
+        n += part.num_rows
+        if n < MERGE_ROWS:
+            continue
+        held = [merged()]
+        n = held[0].num_rows
+        if n >= MERGE_ROWS // 2:
+            yield from held[0].to_batches(max_chunksize=1 << 16)
+            held, n = [], 0
+    if held:
+        yield from merged().to_batches(max_chunksize=1 << 16)
+
+
 def first_pass(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) and (chunk, counts): words counted by block, buckets of leading words by task."""
+    """(lang, word, n) and (chunk, counts): words and buckets of leading words counted by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "word", "n", "chunk", "counts"]
         full = [np.zeros(1 << BUCKET_BITS, np.uint8) for _ in range(2)]
-        seen = False
-        for batch in blocks(batches, "text", TEXT_BYTES):
-            block, seen = Block(batch.column(0), batch.column(1)), True
-            each, n = np.unique(block.lang * len(block.vocabulary) + block.code, return_counts=True)
-            lang, word = np.divmod(each, max(len(block.vocabulary), 1))
-            k = len(each)
-            yield pa.record_batch([block.langs.take(pa.array(lang)), block.vocabulary.take(pa.array(word)), pa.array(n), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-            for counts, bucket, inside in zip(full, block.buckets, block.together, strict=True):
-                met, n = np.unique(bucket[inside], return_counts=True)
-                counts[met] = np.minimum(counts[met] + n, 255)
-        if seen:
-            per, size = 1 << (BUCKET_BITS - CHUNK_BITS), 1 << CHUNK_BITS
-            for order, counts in enumerate(full):
-                parts = [(order * per + c, counts[c * size : (c + 1) * size]) for c in range(per)]
-                parts = [(c, p.tobytes()) for c, p in parts if p.any()]
+
+        def words() -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches, "text", TEXT_BYTES):
+                block = Block(batch.column(0), batch.column(1))
+                each, n = np.unique(block.lang * len(block.vocabulary) + block.code, return_counts=True)
+                lang, word = np.divmod(each, max(len(block.vocabulary), 1))
+                yield pa.record_batch([block.langs.take(pa.array(lang)), block.vocabulary.take(pa.array(word)), pa.array(n)], names[:3])
+                for counts, bucket, inside in zip(full, block.buckets, block.together, strict=True):
+                    met, n = np.unique(bucket[inside], return_counts=True)
+                    counts[met] = np.minimum(counts[met] + n, 255)
+
+        for part in summed_up(words(), ["lang", "word"]):
+            yield pa.record_batch([*part.columns, pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())], names)
+        per, size = 1 << (BUCKET_BITS - CHUNK_BITS), 1 << CHUNK_BITS
+        for order, counts in enumerate(full):
+            parts = [(order * per + c, counts[c * size : (c + 1) * size]) for c in range(per)]
+            parts = [(c, p.tobytes()) for c, p in parts if p.any()]
+            if parts:
                 k = len(parts)
                 yield pa.record_batch([pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names)
 
@@ -121,12 +147,17 @@ def frequent_buckets(counts: DataFrame, min_count: int) -> list[np.ndarray]:
 
 
 def suffixes(docs: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame:
-    """(lang, phrase, n, task): the suffixes of each block that may hold a frequent phrase, each word followed by a
-    space, equal ones once with their number."""
+    """(lang, phrase, n, task): the suffixes that may hold a frequent phrase, each word followed by a space, equal ones of
+    a task once with their number, as long as they fit into MERGE_ROWS."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, task = sent.value, TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
+        for part in summed_up(each_block(batches), ["lang", "phrase"]):
+            yield pa.record_batch([*part.columns, pa.array(np.full(part.num_rows, task, np.int32))], ["lang", "phrase", "n", "task"])
+
+    def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in blocks(batches, "text", TEXT_BYTES):
             block = Block(batch.column(0), batch.column(1))
             n = len(block.code)
@@ -156,7 +187,7 @@ def suffixes(docs: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame
             words, lang = words[:, first], lang[first]
             parts = [block.vocabulary.take(pa.array(w, mask=w < 0)) for w in words]
             phrase = pc.binary_join_element_wise(*parts, "", " ", null_handling="skip")
-            yield pa.record_batch([block.langs.take(pa.array(lang)), phrase, pa.array(total), pa.array(np.full(len(first), task, np.int32))], ["lang", "phrase", "n", "task"])
+            yield pa.record_batch([block.langs.take(pa.array(lang)), phrase, pa.array(total)], ["lang", "phrase", "n"])
 
     return docs.mapInArrow(run, "lang string, phrase string, n long, task int")
 
