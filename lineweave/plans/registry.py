@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lineweave.plans import data_queries, line_queries, metric_queries, misc_queries, source_queries, stat_queries
+from lineweave.plans import aligner_queries, data_queries, line_queries, metric_queries, misc_queries, source_queries, stat_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (line_queries, stat_queries, metric_queries, misc_queries, data_queries, source_queries):
+for module in (line_queries, stat_queries, metric_queries, misc_queries, data_queries, source_queries, aligner_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
