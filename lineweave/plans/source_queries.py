@@ -203,3 +203,39 @@ def marked_up_books(spark, d):
     path = fresh(spark, "books")
     books.repartition(5, "k").select("value").write.text(path)
     return S.usfm_verses(spark, f"{path}/part-*").select("book", "chapter", "verse", "text")
+
+
+_PLAIN = Q.toks("regexp_replace(src, '[\\\\|~/]', '', 'g')")
+
+
+def styled(spark, d) -> DataFrame:
+    """(k, value): a marked-up book a conversation, its turns as verses: words in character styles and with attributes, lines
+    of poetry and prose, headings, notes, figures and numbers beside the text."""
+    word = lambda w, i: F.concat(
+        F.when(i % 7 == 6, F.lit("\n\\q3 ")).when(i % 11 == 10, F.lit("\n\\s2 A heading\n\\pmo ")).otherwise(F.lit(" ")),
+        F.when(i % 3 == 1, F.concat(F.lit("\\w "), w, F.lit('|lemma="x"\\w*'))).when(i % 5 == 2, F.concat(F.lit("\\add \\+nd "), w, F.lit("\\+nd*\\add*"))).otherwise(w),
+        F.when(i % 4 == 3, F.lit("\\f + \\fr 1.1 \\ft note \\it x\\it*\\f*")).when(i % 9 == 8, F.lit("\\fig |src=\"a.jpg\"\\fig*")).otherwise(F.lit("")),
+    )
+    plain = X.tokens(F.regexp_replace("src", r"[\\|~/]", ""))
+    verse = F.concat(F.lit("\\v "), F.col("turn") + 1, F.lit(" \\vp 9\\vp*"), F.array_join(F.transform(plain, word), ""), F.lit("\n"))
+    books = pairs(spark, d).select("conv_id", F.struct("turn", verse.alias("v")).alias("v")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("v"))["v"], "").alias("v"))
+    head = F.concat(F.lit("\\id CNV\n\\mt1 Title\n\\c "), F.col("conv_id") + 1, F.lit("\n\\cl Chapter\n\\s Head\n\\p\n"))
+    return books.select(F.col("conv_id").alias("k"), F.concat(head, "v").alias("value"))
+
+
+@query(f"SELECT 'CNV' AS book, conv_id::INTEGER + 1 AS chapter, turn::INTEGER + 1 AS verse, array_to_string({_PLAIN}, ' ') AS text FROM ({Q.PAIRS})")
+def styled_books(spark, d):
+    """Books full of styles, written and read: no word may be lost, and nothing else may be taken for text."""
+    path = fresh(spark, "styled")
+    styled(spark, d).repartition(8, "k").select("value").write.text(path)
+    return S.usfm_verses(spark, f"{path}/part-*").select("book", "chapter", "verse", "text")
+
+
+@query(
+    f"""SELECT conv_id::INTEGER + 1 AS chapter, turn::INTEGER + 1 AS verse, CASE WHEN turn % 4 = 0 THEN 'New text of ' || conv_id ELSE array_to_string({_PLAIN}, ' ') END AS text FROM ({Q.PAIRS})"""
+)
+def books_written_back(spark, d):
+    """Every second turn's text replaced in the books: the others come back as they were."""
+    books = styled(spark, d).select(F.col("k").cast("string").alias("file"), F.col("value").alias("content"))
+    new = pairs(spark, d).filter("turn % 4 = 0").select(F.col("conv_id").cast("string").alias("file"), (F.col("conv_id") + 1).cast("int").alias("chapter"), (F.col("turn") + 1).cast("int").alias("verse"), F.concat(F.lit("New text of "), "conv_id").alias("text"))
+    return S.book_verses(S.usfm_updated(books, new)).select("chapter", "verse", "text")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
 from lineweave.session import written
+from lineweave.sources import usfm
 
 #: The books in canonical order, three letters each.
 BOOKS = (
@@ -37,7 +38,8 @@ def large_line_scan(spark: SparkSession, path: str) -> DataFrame:
     splits = rows.groupBy("file", "block").agg(F.min("at").alias("low"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     numbered = rows.join(splits.select("file", "block", (before - F.col("low") + 1).alias("shift")), ["file", "block"])
-    return numbered.select("file", (F.col("at") + F.col("shift")).alias("line_no"), X.strip(F.regexp_replace("value", "^\ufeff", "")).alias("text"))
+    line_no, bare = F.col("at") + F.col("shift"), F.regexp_replace("value", "^\ufeff", "")
+    return numbered.select("file", line_no.alias("line_no"), X.strip(F.when(line_no == 1, bare).otherwise(F.col("value"))).alias("text"))
 
 
 def parallel_scan(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -94,42 +96,44 @@ def csv_scores(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select("*", F.regexp_extract(at, r"([^/]+)/[^/]+/[^/]+$", 1).alias("series"), F.regexp_extract(at, r"([^/]+)/[^/]+$", 1).alias("experiment"), F.regexp_extract(at, r"scores-(\d+)\.csv$", 1).alias("steps"))
 
 
-def usfm_verses(spark: SparkSession, path: str) -> DataFrame:
-    """(file, book, chapter, verse, text) from marked-up books: one row a verse; a range of verses becomes its
-    text at the first and <range> at the others (S08)."""
+def usfm_books(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of marked-up books, read by Spark from any store."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_name").alias("file"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("content"))
+
+
+def book_verses(books: DataFrame) -> DataFrame:
+    """(file, book, chapter, verse, text) of marked-up books (file, content): one row a verse; a range of verses becomes its
+    text at the first and <range> at the others (S08). Text in any style counts, but for notes, figures, headings, remarks,
+    numbers beside the text and attributes."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([(f, *row) for f, raw in zip(part["file"], part["content"], strict=True) for row in usfm_rows(bytes(raw).decode("utf-8-sig"))], columns=["file", "book", "chapter", "verse", "text"])
+            yield pd.DataFrame([(f, *row) for f, content in zip(part["file"], part["content"], strict=True) for row in usfm_rows(content)], columns=["file", "book", "chapter", "verse", "text"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content")
-    return files.mapInPandas(parse, "file string, book string, chapter int, verse int, text string")
+    return books.select("file", "content").mapInPandas(parse, "file string, book string, chapter int, verse int, text string")
+
+
+def usfm_verses(spark: SparkSession, path: str) -> DataFrame:
+    """`book_verses` of the marked-up books in files."""
+    return book_verses(usfm_books(spark, path))
 
 
 def usfm_rows(content: str) -> list[tuple[str, int, int, str]]:
-    import re
-
-    content = re.sub(r"\\(f|x|fe) .*?\\\1\*", "", content, flags=re.DOTALL)
-    book, chapter, verses, out = "", 0, [], []
-    for marker, rest in re.findall(r"\\(\+?[a-z]+\d*\*?)([^\\]*)", content):
-        body = " ".join(rest.split())
-        if marker == "id":
-            book = body.split(" ")[0][:3].upper() if body else ""
-        elif marker == "c":
-            chapter, verses = int(re.match(r"\d*", body)[0] or 0), []
-        elif marker == "v":
-            found = re.match(r"(\d+)(?:-(\d+))?\s*(.*)", body)
-            if found:
-                first, last = int(found[1]), int(found[2] or found[1])
-                verses = list(range(first, last + 1))
-                out += [[book, chapter, v, "" if v == first else "<range>"] for v in verses]
-                body = found[3]
-        if verses and marker in ("v", "p", "q", "q1", "q2", "m", "pi", "li", "nb") or verses and marker.endswith("*") or verses and marker in ("wj", "add", "nd", "qs"):
-            row = out[-len(verses)]
-            row[3] = f"{row[3]} {body}".strip()
-        elif marker in ("s", "s1", "s2", "r", "mt", "mt1", "rem", "h", "toc1"):
-            continue
-    return [tuple(r) for r in out]
+    return usfm.verse_rows(content)
+
+
+def usfm_updated(books: DataFrame, verses: DataFrame, keep_styles: bool = True) -> DataFrame:
+    """(file, content): marked-up books (file, content: string) with the text of some verses (file, chapter, verse, text)
+    replaced (K07). What is not replaced comes back character by character. A book is one row, as its verses are."""
+    new = verses.groupBy("file").agg(F.collect_list(F.struct("chapter", "verse", "text")).alias("new"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            changes = [{(v["chapter"], v["verse"]): v["text"] for v in (new if new is not None else ())} for new in part["new"]]
+            yield pd.DataFrame({"file": part["file"], "content": [usfm.updated(c, x, keep_styles) for c, x in zip(part["content"], changes, strict=True)]})
+
+    return books.select("file", "content").join(new, "file", "left").mapInPandas(run, "file string, content string")
 
 
 def to_vref_lines(verses: DataFrame, refs: DataFrame) -> DataFrame:

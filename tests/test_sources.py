@@ -140,3 +140,49 @@ def test_sinks(spark, tmp_path):
     assert abs(K.confidence_tables(conf)["books"].first().confidence - 0.36787944) < 1e-6
     K.write_json(lex, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+BOOK = (
+    '\\id GEN test\n\\h Genesis\n\\mt1 Title\n\\ip Intro \\bk x\\bk*\n\\c 1\n\\s1 Head\n\\p\n\\v 1 He said \\it hello\\it* there \\w Lord|lemma="lord"\\w*\'s end,\\f + \\ft note \\it x\\it* y\\f* so.\n'
+    '\\q3 third level\n\\s2 Between \\nd X\\nd*\n\\r (ref)\n\\pmo more\n\\v 2-3 two \\va 4\\va* three \\qt-s |sid="1"\\*word\\qt-e\\*\n\\tr \\th1 a\\tc2 b\n\\v 4a x // y\n\\v 4b again\n'
+    "\\c 2\n\\cp B\n\\p\n\\v 1 \\add \\+nd Lord\\+nd* God\\add*\n\\b\n\\rem no text\n\\p\n\\v 2\n\\p late\n\\v 3\n"
+)
+
+
+def test_no_text_of_a_marked_up_book_is_lost():
+    from lineweave.sources import usfm
+
+    assert usfm.verse_rows(BOOK) == [
+        ("GEN", 1, 1, "He said hello there Lord's end, so. third level more"), ("GEN", 1, 2, "two three word a b"), ("GEN", 1, 3, "<range>"), ("GEN", 1, 4, "x y again"),
+        ("GEN", 2, 1, "Lord God"), ("GEN", 2, 2, "late"), ("GEN", 2, 3, ""),
+    ]
+    assert "".join(t.raw for t in usfm.tokens(BOOK)) == BOOK
+
+
+def test_books_are_written_back():
+    from lineweave.sources import usfm
+
+    for content in (BOOK, BOOK.replace("\n", "\r\n"), "", "no marker", "\\", "\\v", "\\c x\\v y \\* \\f open"):
+        assert usfm.updated(content, {}) == content and "".join(t.raw for t in usfm.tokens(content)) == content
+    new = {(1, 1): "First.", (1, 2): "Both.", (2, 2): "Filled.", (2, 3): "Last."}
+    for styles in (True, False):
+        out = usfm.updated(BOOK, new, styles)
+        rows = {(c, v): t for _, c, v, t in usfm.verse_rows(out)}
+        want = {(c, v): t for _, c, v, t in usfm.verse_rows(BOOK)}
+        assert rows == want | new
+        for kept in ("\\f + \\ft note \\it x\\it* y\\f*", "\\s2 Between \\nd X\\nd*\n\\r (ref)\n", "\\va 4\\va*", "\\v 4a x // y\n\\v 4b again\n", "\\rem no text\n"):
+            assert kept in out
+        assert ("\\w Lord" in out, "\\it hello" in out) == (False, False)
+
+
+def test_books_updated_by_spark(spark):
+    books = spark.createDataFrame([("a", BOOK), ("b", BOOK), ("c", "")], "file string, content string")
+    new = spark.createDataFrame([("b", 1, 1, "New."), ("x", 1, 1, "Lost.")], "file string, chapter int, verse int, text string")
+    got = {r.file: r.content for r in S.usfm_updated(books, new).collect()}
+    assert got["a"] == BOOK and got["c"] == "" and "\\v 1 New." in got["b"]
+
+
+def test_byte_order_mark_of_the_first_line_only(spark, tmp_path):
+    path = put(tmp_path, "bom.txt", "\ufefffirst\n\ufeffsecond\n")
+    for scan in (S.line_scan, S.large_line_scan):
+        assert [r.text for r in scan(spark, path).orderBy("line_no").collect()] == ["first", "\ufeffsecond"]
