@@ -168,9 +168,9 @@ def majority_links(runs: DataFrame, key: list[str], n_runs: int) -> DataFrame:
 def crossing_counts(links: DataFrame, key: list[str]) -> DataFrame:
     """How many links of its sentence each link crosses (L10). A sentence's links are one row while compared."""
     rows = links.groupBy(*key).agg(F.collect_list(F.struct("i", "j")).alias("all"))
-    each = rows.select(*key, F.explode("all").alias("l"), "all").select(*key, "l.i", "l.j", "all")
-    crossed = F.filter("all", lambda o: (o["i"] - F.col("i")) * (o["j"] - F.col("j")) < 0)
-    return each.select(*key, "i", "j", F.size(crossed).cast("bigint").alias("crossings"))
+    crossed = lambda l: F.size(F.filter("all", lambda o: (o["i"] - l["i"]) * (o["j"] - l["j"]) < 0)).cast("bigint")  # noqa: E731, E741
+    counted = F.transform("all", lambda l: F.struct(l["i"].alias("i"), l["j"].alias("j"), crossed(l).alias("crossings")))  # noqa: E741
+    return rows.select(*key, F.explode(counted).alias("l")).select(*key, "l.i", "l.j", "l.crossings")
 
 
 def crossing_breaks(links: DataFrame, breaks: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,10 +46,12 @@ def break_score(at: Column, to: Column) -> Column:
 def break_scores(passages: DataFrame) -> DataFrame:
     """(passage, at, to, score) of each candidate break (V02): all pairs of a verse start and a place in the target.
 
-    passages: passage, src and trg (words), links (i, j), breaks (source places of verse starts).
+    passages: passage, src and trg (words), links (i, j), breaks (source places of verse starts). A passage is scored within
+    its row; only the scores are rows of their own.
     """
-    grid = passages.select("*", F.explode("breaks").alias("at")).select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.size("trg") - 1, F.lit(1)))).alias("to")).filter(F.size("trg") > 1)
-    return grid.select("passage", "at", "to", break_score(F.col("at"), F.col("to")).alias("score"))
+    cell = lambda at: lambda to: F.struct(at.alias("at"), to.alias("to"), break_score(at, to).alias("score"))
+    grid = F.flatten(F.transform("breaks", lambda at: F.transform(F.sequence(F.lit(1), F.size("trg") - 1), cell(at))))
+    return passages.filter(F.size("trg") > 1).select("passage", F.explode(grid).alias("b")).select("passage", "b.*")
 
 
 def has_letter(word: str) -> bool:
@@ -56,81 +59,108 @@ def has_letter(word: str) -> bool:
 
 
 class Links:
-    """What links know of breaks in a passage, for searches that look at one break after another."""
+    """The scores of all breaks of a passage, for searches that place one break after another.
+
+    grid[at, to] is `break_score`: links that cross a break are those before `at` and those before `to`, less twice those before
+    both (a two-dimensional prefix sum); what pulls at it are sums over the diagonals beside it.
+    """
 
     def __init__(self, src: list[str], trg: list[str], links: list[tuple[int, int]]):
-        self.src, self.trg, self.links = src, trg, links
-        self.targets: dict[int, list[int]] = {}
+        self.src, self.trg = src, trg
+        n, m = len(src) + 1, len(trg) + 1
+        met = np.zeros((max([n, *(i + 1 for i, _ in links)]), max([m, *(j + 1 for _, j in links)])), np.int64)  # links may lie beyond the words
         for i, j in links:
-            self.targets.setdefault(i, []).append(j)
-        self.linked = {j for _, j in links}
+            met[i, j] += 1
+        self.met = met
+        both = np.zeros((met.shape[0] + 1, met.shape[1] + 1), np.int64)
+        both[1:, 1:] = met.cumsum(axis=0).cumsum(axis=1)
+        grid = CROSSING * (both[:n, -1:] + both[-1:, :m] - 2 * both[:n, :m])
+        near = np.zeros((n, met.shape[1] + 2 * WINDOW), np.int64)  # links of each target word whose source word is near `at`
+        near[:, WINDOW:-WINDOW] = [met[max(at - WINDOW, 0) : at + WINDOW + 1].sum(axis=0) for at in range(n)]
+        for d in range(-WINDOW, WINDOW + 1):
+            grid += abs(d) * near[:, WINDOW + d : WINDOW + d + m]
+        letters = [np.array([has_letter(w) for w in side], bool) for side in (src, trg)]
+        capitals = [np.array([w[:1].isupper() for w in side], bool) for side in (src, trg)]
+        self.marks = [~x for x in letters]
+        grid[1:, 1:] += SENTENCE * np.outer(*self.marks)
+        for kind in (self.marks, capitals):
+            grid[: max(len(src) - 1, 0), : max(len(trg) - 1, 0)] += SENTENCE * np.outer(kind[0][1:], kind[1][1:])
+        self.grid = grid
 
     def score(self, at: int, to: int) -> int:
         """As `break_score`."""
-        total = sum(CROSSING for i, j in self.links if (i < at) != (j < to))
-        total += sum(abs(j - to) for i, j in self.links if abs(i - at) <= WINDOW and abs(j - to) <= WINDOW)
-        before = at > 0 and to > 0 and not has_letter(self.src[at - 1]) and not has_letter(self.trg[to - 1])
-        inside = at + 1 < len(self.src) and to + 1 < len(self.trg)
-        behind = inside and not has_letter(self.src[at + 1]) and not has_letter(self.trg[to + 1])
-        capital = inside and self.src[at + 1][:1].isupper() and self.trg[to + 1][:1].isupper()
-        return total + SENTENCE * (before + behind + capital)
-
-    def mark_behind(self, i: int) -> int | None:
-        """The only target word of source word i, if neither has letters."""
-        if not 0 <= i < len(self.src) or has_letter(self.src[i]) or len(own := self.targets.get(i, [])) != 1:
+        return int(self.grid[at, to])
+
+    def best(self, at: range, to: range) -> tuple[int | None, list[tuple[int, int]]]:
+        """The best score of the breaks in a window, and the breaks that have it, in order."""
+        part = self.grid[at.start : at.stop, to.start : to.stop]
+        if not part.size:
+            return None, []
+        top = int(part.max())
+        return top, [(at.start + a, to.start + t) for a, t in np.argwhere(part == top).tolist()]
+
+    def partner(self, i: int) -> int | None:
+        """The target mark that source mark i is linked with, if that is its only link."""
+        if not 0 <= i < len(self.src) or not self.marks[0][i] or self.met[i].sum() != 1:
             return None
-        return None if has_letter(self.trg[own[0]]) else own[0]
-
-    def settle(self, ties: list[tuple[int, int]]) -> tuple[int, int]:
-        """The place of a break among those of the best score: with the punctuation that its own side has, quotation marks
-        that follow and are not linked included; else behind any punctuation; else the first."""
-        at, first = ties[0]
-        if (to := self.mark_behind(at - 1)) is not None and (at, to) in ties:
-            while to + 1 < len(self.trg) and self.trg[to + 1] == '"' and to + 1 not in self.linked:
+        j = int(self.met[i].argmax())
+        return j if j < len(self.trg) and self.marks[1][j] else None
+
+    def preferred(self, ties: list[tuple[int, int]]) -> tuple[int, int]:
+        """Of breaks that score alike the one of least rank, of these the first: 0 if it stands before the partner of the mark
+        that ends the source verse, 1 if it stands behind the partner of the mark that begins the next, 2 behind any mark,
+        3 elsewhere. Ranks 0 and 1 are of the first verse start only. A break of rank 0 goes behind the partner and all
+        quotation marks next to it that have no link."""
+        first = ties[0][0]
+        ends, begins = self.partner(first - 1), self.partner(first)
+
+        def rank(tie: tuple[int, int]) -> int:
+            at, to = tie
+            return 0 if (at, to) == (first, ends) else 1 if begins is not None and (at, to) == (first, begins + 1) else 2 if self.marks[1][to - 1] else 3
+
+        at, to = min(ties, key=rank)
+        if rank((at, to)) == 0:
+            to += 1
+            while to < len(self.trg) and self.trg[to] == '"' and not self.met[:, to].any():
                 to += 1
-            return at, to + 1
-        if (to := self.mark_behind(at)) is not None and (at, to + 1) in ties:
-            return at, to + 1
-        return next(((a, t) for a, t in ties if not has_letter(self.trg[t - 1])), (at, first))
+        return at, to
 
 
 def placed_breaks(links: Links, breaks: list[int]) -> list[tuple[int, int]]:
     """(at, to): breaks placed best first, each strictly between those that are placed already."""
-    done = {0: 0, len(links.src): len(links.trg)}
-    left = [b for b in breaks if b not in done]
-    out: list[tuple[int, int]] = []
+    ends = {0: 0, len(links.src): len(links.trg)}
+    out = dict(ends)
+    left = sorted({b for b in breaks if 0 < b < len(links.src)})
     while left:
-        best, ties = None, []
+        top, ties = None, []
         for at in left:
-            low, high = done[max(p for p in done if p < at)], done[min(p for p in done if p > at)]
-            for to in range(low + 1, high - 1):
-                score = links.score(at, to)
-                if best is None or score > best:
-                    best, ties = score, []
-                if score == best:
-                    ties.append((at, to))
+            below, above = max(p for p in out if p < at), min(p for p in out if p > at)
+            score, found = links.best(range(at, at + 1), range(out[below] + 1, out[above] - 1))
+            if found and (top is None or score >= top):
+                top, ties = score, (ties if score == top else []) + found
         if not ties:
             break
-        at, to = links.settle(ties)
-        done[at] = to
+        at, to = links.preferred(ties)
+        out[at] = to
         left.remove(at)
-        out.append((at, to))
-    return sorted(out)
+    return sorted(x for x in out.items() if x[0] not in ends)
 
 
 def splits(links: Links, breaks: list[int], least: int = 15) -> list[tuple[int, int]]:
-    """(at, to): where a passage is cut into smaller ones (V04): between two verse starts at the best place, if that scores over
-    `least`. Target places are looked for from three quarters to five quarters of where the lengths put them."""
-    ratio = len(links.src) / max(len(links.trg), 1)
-    out, low = [], 0
-    for k, end in enumerate(breaks):
-        start = breaks[k - 1] + 1 if k else 1
-        targets = range(max(int(0.75 * ratio * start), low), min(len(links.trg) + 1, int(1.25 * ratio * end)))
-        found = [(links.score(at, to), -at, -to) for at in range(start + 1, end - 1) for to in targets]
-        if found and max(found)[0] > least:
-            _, at, to = max(found)
-            out.append((-at, -to))
-            low = -to
+    """(at, to): where a passage is cut into smaller ones (V04): strictly between two verse starts (the first one follows the
+    passage's begin) at the best place, the first of equal ones, if that scores over `least`.
+
+    Target words are to source words as the texts' lengths, so a verse from source place p to q is looked for from three
+    quarters of its begin's place in the target to five quarters of its end's, behind the cut before.
+    """
+    pace = len(links.trg) / max(len(links.src), 1)
+    out: list[tuple[int, int]] = []
+    for begin, end in zip([0, *breaks], breaks):
+        low = max(int(0.75 * pace * begin), out[-1][1] + 1 if out else 1)
+        high = min(int(1.25 * pace * end), len(links.trg) - 1)
+        score, found = links.best(range(begin + 1, end), range(low, high + 1))
+        if found and score > least:
+            out.append(found[0])
     return out
 
 

@@ -380,3 +380,20 @@ def test_functions_in_sql(spark):
     got = spark.sql("SELECT lw_nfc('e\u0301') AS a, lw_glosses('tree (big), oak') AS b, lw_common_subsequence(array('a', 'b'), array('b')) AS c").first()
     assert (got.a, got.b, got.c) == ("\u00e9", ["tree", "oak"], 1)
     assert len(U.SQL_NAMES) == 9
+
+
+def test_passages_of_unequal_length_are_cut_where_the_verses_end():
+    """Each source word has two target words; the windows lie where the target's length puts them."""
+    src = [f"w{i}" if i % 10 < 8 else "." if i % 10 == 8 else f"W{i}" for i in range(40)]
+    trg = [x for w in src for x in ([w, w] if w != "." else ["x", "."])]
+    links = [(i, 2 * i) for i in range(40)]
+    known = G.Links(src, trg, links)
+    assert known.grid.tolist() == [[brute_breaks(src, trg, links, at, to) for to in range(81)] for at in range(41)]
+    cuts = G.splits(known, [10, 20, 30, 40], least=-100)
+    assert len(cuts) == 4
+    for (at, to), begin, end in zip(cuts, [0, 10, 20, 30], [10, 20, 30, 40]):
+        assert begin < at < end and 1.5 * begin <= to <= 2.5 * end
+        low = max(int(1.5 * begin), 1 + max((t for a, t in cuts if a < at), default=0))
+        want = max(((known.score(a, t), -a, -t) for a in range(begin + 1, end) for t in range(low, min(int(2.5 * end), 79) + 1)))
+        assert (want[0], -want[1], -want[2]) == (known.score(at, to), at, to)
+    assert all(abs(to - 2 * at) <= 10 for at, to in cuts)
