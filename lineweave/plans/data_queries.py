@@ -12,6 +12,7 @@ from lineweave.operators import datasets as D
 from lineweave.operators import filters as R
 from lineweave.operators import misc as M
 from lineweave.operators import segmentation as G
+from lineweave.operators import sentences as N
 from lineweave.operators import splits as S
 from lineweave.operators import stats as T
 from lineweave.operators import terms as E
@@ -253,3 +254,39 @@ def edge_repair(spark, d):
 def passage_container(spark, d):
     rows = pairs(spark, d).select(F.concat_ws(":", *KEY).alias("passage"), "src", "trg")
     return G.passages_from_json(G.passage_json(rows), "src string, trg string")
+
+
+# sentences
+_BODY = r"""regexp_replace(regexp_replace(raw, '^[\p{Ps}\p{Pi}"''`¿¡-]+', ''), '[\p{Pe}\p{Pf}"''`]+$', '')"""
+_KINDS = f"""w AS (SELECT unnest({Q.toks('text')}) AS raw FROM documents), b AS (SELECT {_BODY} AS body FROM w), s AS (SELECT body, regexp_extract(body, '([.!?])$', 1) AS stop FROM b),
+p AS (SELECT stop, lower(CASE WHEN stop = '.' THEN substr(body, 1, length(body) - 1) ELSE regexp_replace(body, '[.!?,;:]+$', '') END) AS plain FROM s),
+k AS (SELECT stop, CASE WHEN regexp_matches(plain, '^[-+]?[0-9][0-9.,]*$') THEN '{N.NUMBER}' ELSE plain END AS kind FROM p)"""
+
+
+@query(
+    f"""WITH {_KINDS}, c AS (SELECT kind, count(*) FILTER (stop = '.') AS with_period, count(*) FILTER (stop <> '.') AS without FROM k GROUP BY 1),
+a AS (SELECT sum(with_period)::DOUBLE / sum(with_period + without) AS p FROM c), n AS (SELECT kind, with_period, without, p, length(replace(kind, '.', ''))::DOUBLE AS size FROM c, a WHERE with_period > 0 AND regexp_matches(kind, '\\p{{L}}')),
+r AS (SELECT *, -2 * (with_period * ln(p) + without * ln(1 - p) - with_period * ln({N.CERTAIN}) - without * ln(1 - {N.CERTAIN}::DOUBLE)) AS ratio FROM n)
+SELECT kind, with_period, without, round(ratio * exp(-size) * (length(kind) - size + 1) * pow(greatest(size, 1), -without), 3) AS score FROM r
+WHERE ratio * exp(-size) * (length(kind) - size + 1) * pow(greatest(size, 1), -without) >= {N.ABBREVIATION}"""
+)
+def abbreviations(spark, d):
+    """Types whose period is their own, over whole documents."""
+    found = N.abbreviation_scores(N.tokens(load(spark, d, "documents"), ["doc_id"]))
+    return found.filter(F.col("score") >= N.ABBREVIATION).withColumn("score", F.round("score", 3))
+
+
+@query()
+def sentence_split(spark, d):
+    """The sentences of the conversations, whose texts keep their stops; learned from the same texts."""
+    said = load(spark, d, "conversations").select(*KEY, "text")
+    return N.sentences(said, KEY)
+
+
+@query(
+    f"""SELECT conv_id, turn, len({Q.toks('text')})::BIGINT AS words FROM conversations WHERE len({Q.toks('text')}) > 0"""
+)
+def sentence_words(spark, d):
+    """No word is lost or doubled by the split."""
+    each = N.sentences(load(spark, d, "conversations").select(*KEY, "text"), KEY)
+    return each.groupBy(*KEY).agg(F.sum(F.size(X.tokens("sentence"))).alias("words"))
