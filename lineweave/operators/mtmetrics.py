@@ -27,16 +27,20 @@ def _lists(column: pa.Array, chars: bool) -> tuple[pa.Array | np.ndarray, np.nda
     return pc.list_flatten(column), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def row_matches(hyp: pa.Array, ref: pa.Array, orders: int, chars: bool) -> np.ndarray:
+def row_matches(hyp: pa.Array, ref: pa.Array, orders: int, chars: bool, parents: np.ndarray | None = None) -> np.ndarray:
     """(3, rows, orders): clipped matches, and the n-grams of each side, for n from 1 to orders. n-grams are numbered
-    exactly, each by that of its first n - 1 items and its last one."""
+    exactly, each by that of its first n - 1 items and its last one. parents: of several references to a row the row of
+    each; an n-gram is then clipped by the largest count that one of them has, and the second side's n-grams are those of all.
+    """
+    refs = len(ref)
+    parents = np.arange(refs) if parents is None else parents
     (a, at), (b, bt) = _lists(hyp, chars), _lists(ref, chars)
     if chars:
         codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int64)
     else:
         codes = pa.concat_arrays([a.cast(pa.string()), b.cast(pa.string())]).dictionary_encode().indices.to_numpy().astype(np.int64)
     rows = len(hyp)
-    row = np.concatenate([np.repeat(np.arange(rows), np.diff(at)), np.repeat(np.arange(rows, 2 * rows), np.diff(bt))])
+    row = np.concatenate([np.repeat(np.arange(rows), np.diff(at)), np.repeat(np.arange(rows, rows + refs), np.diff(bt))])
     out, ids, here, kinds = np.zeros((3, rows, orders), np.int64), codes, np.arange(len(codes)), int(codes.max(initial=0)) + 1
     for n in range(orders):
         if n:
@@ -44,19 +48,23 @@ def row_matches(hyp: pa.Array, ref: pa.Array, orders: int, chars: bool) -> np.nd
             here, ids = here[on], np.unique(ids[on] * kinds + codes[here[on] + n], return_inverse=True)[1].astype(np.int64)
         span = int(ids.max(initial=0)) + 1
         side = row[here] >= rows
-        sizes = np.bincount(row[here], minlength=2 * rows)
-        out[1, :, n], out[2, :, n] = sizes[:rows], sizes[rows:]
+        sizes = np.bincount(row[here], minlength=rows + refs)
+        out[1, :, n], out[2, :, n] = sizes[:rows], np.bincount(parents, sizes[rows:], rows)
         mine, count = np.unique(row[here][~side] * span + ids[~side], return_counts=True)
         theirs, other = np.unique((row[here][side] - rows) * span + ids[side], return_counts=True)
+        theirs = parents[theirs // span] * span + theirs % span
+        order = np.argsort(theirs, kind="stable")
+        begins = np.flatnonzero(np.diff(theirs[order], prepend=-1))
+        theirs, other = theirs[order][begins], np.maximum.reduceat(other[order], begins) if len(order) else other
         _, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
         np.add.at(out[0, :, n], mine[i] // span, np.minimum(count[i], other[j]))
     return out
 
 
-def matches(rows: DataFrame, hyp: str, ref: str, orders: int, chars: bool = False) -> DataFrame:
+def matches(rows: DataFrame, hyp: str, ref: str, orders: int, chars: bool = False, many: bool = False) -> DataFrame:
     """rows and hit, hyp_n, ref_n (arrays by order): clipped matches and n-grams of both sides of each row.
 
-    hyp and ref are columns of word lists, or with chars of texts. Both sides of a row are at hand, so nothing is
+    hyp and ref are columns of word lists, or with chars of texts; with many, ref is a list of such references. Both sides of a row are at hand, so nothing is
     shuffled; what is summed up afterwards is three numbers a row and order.
     """
     names = ("hit", "hyp_n", "ref_n")
@@ -65,7 +73,9 @@ def matches(rows: DataFrame, hyp: str, ref: str, orders: int, chars: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = row_matches(batch.column(at), batch.column(to), orders, chars)
+            ref_ = batch.column(to)
+            parents = pc.list_parent_indices(ref_).to_numpy() if many else None
+            found = row_matches(batch.column(at), pc.list_flatten(ref_) if many else ref_, orders, chars, parents)
             offsets = pa.array(np.arange(0, (batch.num_rows + 1) * orders, orders, dtype=np.int32))
             yield pa.record_batch([*batch.columns, *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in found)], [*batch.schema.names, *names])
 
@@ -76,16 +86,41 @@ def total(column: str, n: int) -> Column:
     return F.coalesce(F.sum(F.get(column, n - 1)), F.lit(0))
 
 
-def bleu(rows: DataFrame, by: list[str], effective: bool = False) -> DataFrame:
+def closest(h: str, refs: str) -> Column:
+    """The length of the reference that is nearest to h in length, of two as near the shorter; 0 without any."""
+    near = F.array_min(F.transform(refs, lambda r: F.struct(F.abs(F.size(r) - F.size(h)).alias("off"), F.size(r).alias("n"))))
+    return F.coalesce(near["n"], F.lit(0))
+
+
+def bleu_sums(rows: DataFrame, many: bool) -> tuple[DataFrame, list[Column]]:
+    """The rows' matches, and the sums that `bleu_of` wants of them."""
+    if many:
+        rows = rows.withColumn("r", F.filter(F.coalesce("r", F.array().cast("array<array<string>>")), lambda r: r.isNotNull()))
+    length = closest("h", "r") if many else F.size("r")
+    sums = [F.sum(F.size("h")).alias("sys_len"), F.sum(length).alias("ref_len")]
+    sums += [total(c, n).alias(f"{n}_{c}") for n in range(1, ORDERS + 1) for c in ("hit", "hyp_n")]
+    return matches(rows, "h", "r", ORDERS, many=many), sums
+
+
+def bleu_report(rows: DataFrame, columns: list[str], sets: list[list[str]], many: bool = False) -> DataFrame:
+    """BLEU at several grains in one pass (E08): rows (columns, h, r) over the grouping sets of columns, as checkpoint, pair,
+    book and draft. grain names a row's set; what is not in it is null. Rows without a draft count as empty ones."""
+    rows = rows.select(*columns, F.coalesce("h", F.array().cast("array<string>")).alias("h"), "r")
+    found, sums = bleu_sums(rows, many)
+    table = found.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().alias("_g"), *sums)
+    ids = {sum(1 << k for k, c in enumerate(reversed(columns)) if c not in s): "+".join(c for c in columns if c in s) or "all" for s in sets}
+    grain = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))[F.col("_g").cast("int")]
+    return bleu_of(table.withColumn("grain", grain), ["grain", *columns], False)
+
+
+def bleu(rows: DataFrame, by: list[str], effective: bool = False, many: bool = False) -> DataFrame:
     """BLEU per group `by` of rows (h, r: word arrays), with precisions, brevity penalty and lengths.
 
     Orders without a match are smoothed exponentially: the k-th of them counts 1 / (2**k * total). With
-    `effective`, orders of which the system has no n-gram are left out, as for single sentences.
+    `effective`, orders of which the system has no n-gram are left out, as for single sentences. With `many`, r is
+    a list of references: matches are clipped by the largest count of one, and the nearest length counts.
     """
-    orders = range(1, ORDERS + 1)
-    sums = [F.sum(F.size("h")).alias("sys_len"), F.sum(F.size("r")).alias("ref_len")]
-    sums += [total(c, n).alias(f"{n}_{c}") for n in orders for c in ("hit", "hyp_n")]
-    found = matches(rows.select(*by, "h", "r"), "h", "r", ORDERS)
+    found, sums = bleu_sums(rows.select(*by, "h", "r"), many)
     return bleu_of(found.groupBy(*by).agg(*sums) if by else found.agg(*sums), by, effective)
 
 
@@ -117,6 +152,15 @@ def bleu_by_draft(rows: DataFrame, draft: str) -> DataFrame:
     return bleu_of(found.cube(draft).agg(*sums), [draft], False)
 
 
+def chrf_many(rows: DataFrame, by: list[str], key: list[str], word_order: int = 0, beta: float = 3.0) -> DataFrame:
+    """`chrf` of rows (key, hyp, refs: texts) with several references: each row counts with the reference it scores best with, the
+    first of equals. (key) is unique; it holds by."""
+    each = rows.select(*key, "hyp", F.posexplode("refs").alias("_k", "ref"))
+    alone = chrf(each, [*key, "_k"], word_order, beta)
+    best = alone.groupBy(*key).agg(F.max(F.struct("chrf", (-F.col("_k")).alias("k"))).alias("b")).select(*key, (-F.col("b.k")).alias("_k"))
+    return chrf(each.join(best, [*key, "_k"]), by, word_order, beta)
+
+
 def chrf(rows: DataFrame, by: list[str], word_order: int = 0, beta: float = 3.0, orders: int = 6) -> DataFrame:
     """chrF per group of rows (hyp, ref: texts); word_order 1 gives chrF+, 2 chrF++.
 

@@ -311,6 +311,53 @@ def bleu_mean(spark, d):
     return bleu_sentence(spark, d).agg(F.round(F.avg("bleu"), 3).alias("m_bleu"))
 
 
+def two_references(spark, d):
+    """drafts with two references, the reply and one that lacks other words, and what a report goes by."""
+    second = S.drop_tokens(F.col("r"), 0.3, "second", F.col("conv_id"), F.col("turn"))
+    meta = [(F.col("turn") % 4 * 500).alias("step"), F.concat(F.lit("en-"), F.col("conv_id") % 3).alias("pair"), (F.col("conv_id") % 5).alias("book"), (F.floor(F.col("turn") / 2) % 3).cast("int").alias("draft")]
+    return drafts(spark, d).select(*KEY, "h", F.array("r", second).alias("r"), *meta)
+
+
+def _bleu_sets(sets: list[list[str]]) -> str:
+    """BLEU against two references over grouping sets of step, pair, book and draft."""
+    of = lambda rel, c, out: f"SELECT conv_id, turn, n, array_to_string({c}[i:i + n - 1], ' ') AS g, count(*) AS {out} FROM (SELECT conv_id, turn, {c}, n, unnest(range(1, len({c}) - n + 2)) AS i FROM {rel}, range(1, 5) o(n)) GROUP BY ALL"
+    refs = f"SELECT conv_id, turn, n, g, max(b) AS b FROM ({of('u', 'r', 'b')} UNION ALL {of('u', 'r2', 'b')}) GROUP BY ALL"
+    hits = ", ".join(f"coalesce(sum(least(a, coalesce(b, 0))) FILTER (n = {n}), 0)::DOUBLE AS h{n}, coalesce(sum(a) FILTER (n = {n}), 0)::DOUBLE AS t{n}" for n in range(1, 5))
+    zeros = lambda n: " + ".join(f"(t{k} > 0 AND h{k} = 0)::INT" for k in range(1, n + 1))
+    ps = ", ".join(f"CASE WHEN t{n} = 0 THEN 0.0 WHEN h{n} = 0 THEN 100.0::DOUBLE / (pow(2.0, {zeros(n)}) * t{n}) ELSE h{n} * 100.0::DOUBLE / t{n} END AS q{n}" for n in range(1, 5))
+    cols = ["step", "pair", "book", "draft"]
+    sums = ", ".join(f"coalesce(sum({x}{n}), 0) AS {x}{n}" for n in range(1, 5) for x in "ht")
+    grain = " ".join(f"WHEN {sum(1 << k for k, c in enumerate(reversed(cols)) if c not in s)} THEN '{'+'.join(s) or 'all'}'" for s in sets)
+    return f"""WITH {_T}, u AS (SELECT conv_id, turn, h, r, list_filter(r, lambda x, i: {Q.uniform("'second'", 'conv_id', 'turn', '(i - 1)')} >= 0.3) AS r2,
+ turn % 4 * 500 AS step, 'en-' || conv_id % 3 AS pair, conv_id % 5 AS book, draft FROM t),
+w AS (SELECT conv_id, turn, {hits} FROM ({of('u', 'h', 'a')}) LEFT JOIN ({refs}) USING (conv_id, turn, n, g) GROUP BY ALL),
+z AS (SELECT step, pair, book, draft, grouping(step, pair, book, draft) AS g, sum(len(h))::BIGINT AS sys_len, sum(CASE WHEN (abs(len(r2) - len(h)), len(r2)) < (abs(len(r) - len(h)), len(r)) THEN len(r2) ELSE len(r) END)::BIGINT AS ref_len, {sums}
+ FROM u LEFT JOIN w USING (conv_id, turn) GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(s) + ")" for s in sets)})),
+q AS (SELECT *, {ps}, CASE WHEN sys_len = 0 THEN 0 WHEN sys_len >= ref_len THEN 1 ELSE exp(1 - ref_len::DOUBLE / sys_len) END AS bp0 FROM z)
+SELECT CASE g {grain} END AS grain, step, pair, book, draft, round(CASE WHEN h1 > 0 AND t1 > 0 AND t2 > 0 AND t3 > 0 AND t4 > 0 THEN bp0 * exp((ln(q1) + ln(q2) + ln(q3) + ln(q4)) / 4) ELSE 0 END, 4) AS bleu,
+ {", ".join(f"round(q{n}, 4) AS p{n}" for n in range(1, 5))}, round(bp0, 6) AS bp, sys_len, ref_len FROM q"""
+
+
+_SETS = [["step", "pair", "book", "draft"], ["step", "pair", "book"], ["step", "pair"], ["step"], ["book", "draft"], []]
+
+
+@query(_bleu_sets(_SETS))
+def bleu_report(spark, d):
+    """Two references, all grains of a report in one pass."""
+    return M.bleu_report(two_references(spark, d), ["step", "pair", "book", "draft"], _SETS, many=True)
+
+
+@query(f"SELECT book, bleu, bp, sys_len, ref_len FROM ({_bleu_sets([_SETS[0], ['book']])}) WHERE grain = 'book'")
+def bleu_two_references(spark, d):
+    return M.bleu(two_references(spark, d), ["book"], many=True).select("book", "bleu", "bp", "sys_len", "ref_len")
+
+
+@query()
+def chrf_two_references(spark, d):
+    rows = two_references(spark, d).select(*KEY, "book", F.array_join("h", " ").alias("hyp"), F.transform("r", lambda r: F.array_join(r, " ")).alias("refs"))
+    return M.chrf_many(rows, ["book"], ["book", *KEY])
+
+
 def texts(spark, d):
     return drafts(spark, d).select(*KEY, F.array_join("h", " ").alias("hyp"), F.array_join("r", " ").alias("ref"))
 

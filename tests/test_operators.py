@@ -397,3 +397,40 @@ def test_passages_of_unequal_length_are_cut_where_the_verses_end():
         want = max(((known.score(a, t), -a, -t) for a in range(begin + 1, end) for t in range(low, min(int(2.5 * end), 79) + 1)))
         assert (want[0], -want[1], -want[2]) == (known.score(at, to), at, to)
     assert all(abs(to - 2 * at) <= 10 for at, to in cuts)
+
+
+def test_several_references_equal_brute_force(spark):
+    from collections import Counter
+
+    from lineweave.operators import mtmetrics as MT
+
+    draw = random.Random(9)
+    rows = []
+    for k in range(30):
+        sent = lambda: [draw.choice("abcd") for _ in range(draw.randrange(0, 9))]
+        rows.append((k % 3, sent(), [sent() for _ in range(draw.randrange(1, 4))]))
+    rows += [(0, ["a", "a"], [None, ["a"]]), (1, ["a"], [])]
+    df = spark.createDataFrame(rows, "g int, h array<string>, r array<array<string>>")
+    got = {r.g: r for r in MT.bleu(df, ["g"], many=True).collect()}
+    for g in range(3):
+        own = [(h, [r for r in refs if r is not None]) for k, h, refs in rows if k == g]
+        assert got[g].sys_len == sum(len(h) for h, _ in own)
+        assert got[g].ref_len == sum(min(((abs(len(r) - len(h)), len(r)) for r in refs), default=(0, 0))[1] for h, refs in own)
+        logs, zeros = 0.0, 0
+        for n in range(1, 5):
+            grams = lambda w: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))  # noqa: E731, B023
+            most = [(grams(h), [grams(r) for r in refs]) for h, refs in own]
+            hit = sum(min(c, max((r[x] for r in rs), default=0)) for h, rs in most for x, c in h.items())
+            of = sum(sum(h.values()) for h, _ in most)
+            zeros += hit == 0
+            p = hit / of if hit else 1 / (2**zeros * of)
+            assert math.isclose(got[g][f"p{n}"], 100 * p, abs_tol=1e-4)
+            logs += math.log(p)
+        bp = min(1.0, math.exp(1 - got[g].ref_len / got[g].sys_len))
+        assert math.isclose(got[g].bleu, 100 * bp * math.exp(logs / 4), abs_tol=1e-3)
+    texts = df.select("g", F.monotonically_increasing_id().alias("id"), F.array_join("h", " ").alias("hyp"), F.transform(F.filter("r", lambda x: x.isNotNull()), lambda r: F.array_join(r, " ")).alias("refs"))
+    best = {tuple(r)[:2]: r.chrf for r in MT.chrf_many(texts, ["g", "id"], ["g", "id"]).collect()}
+    alone = {}
+    for r in MT.chrf(texts.select("g", "id", "hyp", F.posexplode("refs").alias("k", "ref")), ["g", "id", "k"]).collect():
+        alone[r.g, r.id] = max(alone.get((r.g, r.id), 0.0), r.chrf)
+    assert best == alone and len(MT.chrf_many(texts, ["g"], ["g", "id"]).collect()) == 3
