@@ -8,10 +8,12 @@ from lineweave.functions import text as X
 from lineweave.operators import corpus as C
 from lineweave.operators import misc as M
 from lineweave.operators import segmentation as G
+from lineweave.operators import sketches as K
 from lineweave.operators import stats as T
 from lineweave.operators import vocabulary as V
 from lineweave.plans import sqltext as Q
 from lineweave.plans.line_queries import lines, pairs
+from lineweave.session import written
 from lineweave.sources.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -318,3 +320,51 @@ def events_sliding(spark, d):
     from lineweave.streaming.events import sliding
 
     return sliding(load(spark, d, "events"))
+
+
+@query(
+    """WITH e AS (SELECT *, lag(event_type) OVER o AS before, lag(ts) OVER o AS then_ FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> event_type OR ts > then_ + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+SELECT user_id, min(ts) AS start, event_type, count(*) AS n FROM r GROUP BY user_id, run, event_type"""
+)
+def event_runs(spark, d):
+    """Runs of one type of event: the table's plan of the stateful operator."""
+    from lineweave.streaming.events import runs
+
+    return runs(load(spark, d, "events"))
+
+
+def kept(df, name):
+    """Sketches as they are stored: written, and read again."""
+    return written(df, name)
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS within FROM events GROUP BY 1")
+def kept_distinct(spark, d):
+    """Distinct users from sketches of each day: within three standard errors of the exact count."""
+    events = load(spark, d, "events").withColumn("day", F.to_date("ts"))
+    sketches = kept(K.distinct_sketches(events, ["day", "event_type"], "user_id"), "sketches")
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    found = K.distinct_estimates(sketches, ["event_type"]).join(exact, "event_type")
+    return found.select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), 3 * 0.01625 * F.col("users"))).alias("within"))
+
+
+@query("SELECT l_returnflag, share, true AS within FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (0.1::DOUBLE), (0.5), (0.9)) v(share)")
+def kept_quantiles(spark, d):
+    """Quantiles of prices from sketches of each year: their exact ranks are within the stated error."""
+    rows = load(spark, d, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("year"), "l_extendedprice")
+    sketches = kept(K.quantile_sketches(rows, ["l_returnflag", "year"], "l_extendedprice"), "sketches")
+    found = K.quantile_estimates(sketches, ["l_returnflag"], [0.1, 0.5, 0.9])
+    ranks = rows.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "share")  # three rows a flag
+    ranks = ranks.agg(F.avg((F.col("l_extendedprice") <= F.col("value")).cast("double")).alias("rank"))
+    return ranks.select("l_returnflag", "share", (F.abs(F.col("rank") - F.col("share")) <= 0.0165).alias("within"))
+
+
+@query("SELECT user_id, count(*) AS n, true AS enough FROM events GROUP BY 1")
+def kept_counts(spark, d):
+    """Events by user from count-min sketches of each event type: never too small."""
+    events = load(spark, d, "events").select("user_id", "event_type")
+    sketches = kept(K.count_sketches(events, ["event_type"], "user_id"), "sketches")
+    exact = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    found = K.count_estimates(sketches, exact, "user_id")
+    return found.select("user_id", "n", (F.col("estimate") >= F.col("n")).alias("enough"))
