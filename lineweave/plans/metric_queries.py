@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lineweave.functions import meteor as E
 from lineweave.functions import text as X
 from lineweave.functions import udfs as U
 from lineweave.operators import lexicon as L
@@ -481,3 +482,10 @@ def word_diff(spark, d):
 @query(f"SELECT conv_id, turn, md5(array_to_string(regexp_extract_all(nfc_normalize(lower(src)), '[\\p{{L}}\\p{{M}}\\p{{N}}'']+|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}]'), ' ')) AS tokens_md5 FROM ({Q.PAIRS})")
 def corpus_tokenise(spark, d):
     return pairs(spark, d).select(*KEY, F.md5(F.array_join(X.words_and_marks(U.nfc("src")), " ").cast("binary")).alias("tokens_md5"))
+
+
+@query()
+def meteor(spark, d):
+    """METEOR of each draft against its reply, and its mean by conversation."""
+    moved = drafts(spark, d).select(*KEY, S.permute_tokens(F.col("h"), 2, "shift", F.col("conv_id"), F.col("turn")).alias("h"), "r")
+    return moved.select("conv_id", "turn", F.round(E.meteor(F.col("h"), F.col("r")), 6).alias("meteor"))

@@ -434,3 +434,35 @@ def test_several_references_equal_brute_force(spark):
     for r in MT.chrf(texts.select("g", "id", "hyp", F.posexplode("refs").alias("k", "ref")), ["g", "id", "k"]).collect():
         alone[r.g, r.id] = max(alone.get((r.g, r.id), 0.0), r.chrf)
     assert best == alone and len(MT.chrf_many(texts, ["g"], ["g", "id"]).collect()) == 3
+
+
+def test_meteor_equals_exhaustive_matching(spark):
+    import itertools
+
+    from lineweave.functions import meteor as E
+
+    draw = random.Random(12)
+
+    def best(hyp, ref, given):
+        """All one-to-one matchings of equal words: the most matches, then the fewest chunks."""
+        free_h, free_r = [i for i in range(len(hyp)) if i not in given], [j for j in range(len(ref)) if j not in given.values()]
+        out = None
+        for picks in itertools.product(*([-1, *(j for j in free_r if ref[j] == hyp[i])] for i in free_h)):
+            used = [j for j in picks if j >= 0]
+            if len(set(used)) == len(used):
+                m = given | {i: j for i, j in zip(free_h, picks) if j >= 0}
+                chunks = sum(m.get(i - 1, -2) != j - 1 for i, j in m.items())
+                out = min(out or (1, 0), (-len(m), chunks))
+        return out
+
+    for _ in range(150):
+        hyp, ref = [[draw.choice("abc") for _ in range(draw.randrange(0, 6))] for _ in range(2)]
+        for given in ({}, {0: 0} if hyp and ref else {}):
+            m = E.matching(hyp, ref, given, beam=10_000)
+            assert (-len(m), sum(m.get(i - 1, -2) != j - 1 for i, j in m.items())) == best(hyp, ref, given)
+            assert len(E.matching(hyp, ref, given, beam=1)) == len(m)
+    same = "the cat sat on the mat".split()
+    assert math.isclose(E.meteor_score(same, same, same, same), 1 - 0.5 * (1 / 6) ** 3)
+    df = spark.createDataFrame([(same, same), (["x"], ["y"]), ([], []), (["walked"], ["walking"]), (None, ["a"])], "h array<string>, r array<string>")
+    got = [r[0] for r in df.select(E.meteor(F.col("h"), F.col("r"), lambda w: F.substring(w, 1, 4))).collect()]
+    assert got[1:] == [0.0, 0.0, 0.5, None] and got[0] > 0.99
