@@ -6,9 +6,9 @@ A suffix is the words from one place to the end of its piece, `longest` words at
    over all tasks: a bucket below min_count holds no frequent phrase, so a suffix ends before the first word that would
    lead it into such a bucket, and one of fewer than two words is not sent at all. Buckets hold no phrase back that is
    frequent, however full they are: exact counts come later.
-2. Equal suffixes of a block become one row with a weight, and rows are routed by ranges of their leading words. A range
-   ends wherever its share of rows is reached, even between suffixes that begin alike, so no frequent word or phrase
-   weighs on one task.
+2. Equal suffixes of a task become one with a weight, and sorted runs of them are cut at the borders of ranges of leading
+   words and routed. Borders come from a bounded sample of evenly spaced suffixes of all runs. A range ends wherever its share
+   is reached, even between suffixes that begin alike, so no frequent word or phrase weighs on one task.
 3. Each task sorts pointers to its suffixes by multikey three-way quicksort, all segments of a round at once: the
    segment equal to its pivot goes one word deeper and its weight is the count of that prefix; segments that weigh less
    than min_count are abandoned. Only the prefixes of a range's first and last suffix can reach into another range, so
@@ -17,12 +17,12 @@ A suffix is the words from one place to the end of its piece, `longest` words at
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +31,17 @@ from lineweave.llm.tokens import mixed, span_hashes
 from lineweave.llm.words import Words, blocks, kinds, words_of
 
 LONGEST, MIN_COUNT, COVER_PCT, TOP = 5, 100, 100, 2000
-#: Buckets of leading words; counts are kept in a byte each and stay at its largest value.
-BUCKET_BITS, CHUNK_BITS = 24, 14
+#: Buckets of leading words; counts are kept in a byte each and stay at its largest value. They travel a kilobyte a row, as
+#: Arrow takes thousands of rows at a time.
+BUCKET_BITS, CHUNK_BITS = 24, 10
 #: Suffixes in a range, on average; shares of a language that are ranked apart before they meet.
 RANGE_ROWS, SHARES = 1 << 18, 32
 #: Bytes of text whose words are held at a time.
 TEXT_BYTES = 1 << 20
-#: Suffixes of a task that are held to be summed up before they are sent.
-MERGE_ROWS = 1 << 16
+#: Suffixes of a task that are held to be summed up before they are sent; those in a run; runs show every SPACING-th suffix, and
+#: about SAMPLES of these at most tell the borders of ranges.
+MERGE_ROWS, RUN_ROWS, SPACING, SAMPLES = 1 << 16, 1 << 14, 64, 1 << 16
+RUN = "lang array<string>, phrase array<string>, n array<long>"
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -147,14 +150,13 @@ def frequent_buckets(counts: DataFrame, min_count: int) -> list[np.ndarray]:
 
 
 def suffixes(docs: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame:
-    """(lang, phrase, n, task): the suffixes that may hold a frequent phrase, each word followed by a space, equal ones of
-    a task once with their number, as long as they fit into MERGE_ROWS."""
+    """Runs (lang, phrase, n: lists), sorted, of the suffixes that may hold a frequent phrase, each word followed by a space,
+    equal ones of a task once with their number, as long as they fit into MERGE_ROWS."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
         for part in summed_up(each_block(batches), ["lang", "phrase"]):
-            yield pa.record_batch([*part.columns, pa.array(np.full(part.num_rows, task, np.int32))], ["lang", "phrase", "n", "task"])
+            yield from run_of(part.sort_by([("lang", "ascending"), ("phrase", "ascending")]), RUN_ROWS)
 
     def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -189,7 +191,46 @@ def suffixes(docs: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame
             phrase = pc.binary_join_element_wise(*parts, "", " ", null_handling="skip")
             yield pa.record_batch([block.langs.take(pa.array(lang)), phrase, pa.array(total)], ["lang", "phrase", "n"])
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long, task int")
+    return docs.mapInArrow(run, RUN)
+
+
+def run_of(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows as lists of about `size`, one row each."""
+    for lo in range(0, part.num_rows, size):
+        own = part.slice(lo, size)
+        yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), c) for c in own.columns], part.schema.names)
+
+
+def borders(runs: DataFrame, parts: int, total: int) -> list[tuple[str, str]]:
+    """(lang, phrase) where each range but the first begins."""
+    places = F.sequence(F.lit(0), F.size("n") - 1, F.lit(SPACING))
+    shown = runs.select(F.explode(F.transform(places, lambda i: F.struct(F.get("lang", i).alias("lang"), F.get("phrase", i).alias("phrase"), i.alias("i"), F.size("n").alias("n")))).alias("s")).select("s.*")
+    share = max(1, total // SPACING // SAMPLES)  # one in so many, told by hash, so that a rerun shows the same
+    found = shown.filter(F.pmod(F.xxhash64("lang", "phrase", "i", "n"), F.lit(share)) == 0).select("lang", "phrase").toArrow()
+    keys = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
+def routed(runs: DataFrame, cuts: list[tuple[str, str]]) -> DataFrame:
+    """The runs cut at the borders, each piece in the task of its range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                columns = [batch.column(c)[k].values for c in range(3)]
+                keys = list(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))
+                at = bisect_left(cuts, keys[0]) if keys else 0
+                at += at < len(cuts) and cuts[at] == keys[0]
+                lo = 0
+                while lo < len(keys):
+                    hi = bisect_left(keys, cuts[at], lo) if at < len(cuts) else len(keys)
+                    if hi > lo:
+                        piece = pa.record_batch([c.slice(lo, hi - lo) for c in columns], ["lang", "phrase", "n"])
+                        lists = next(run_of(piece, hi - lo))
+                        yield pa.record_batch([pa.array([at], pa.int32()), *lists.columns], ["part", "lang", "phrase", "n"])
+                    lo, at = hi, at + 1
+
+    return runs.mapInArrow(run, f"part int, {RUN}").repartitionById(len(cuts) + 1, "part").select("lang", "phrase", "n")
 
 
 def multikey_counts(rows: np.ndarray, weights: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,7 +269,8 @@ def range_counts(rows: DataFrame, min_count: int, longest: int) -> DataFrame:
     """(lang, phrase, n): the phrases of each range with min_count suffixes or more, and those at its two ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])).combine_chunks()
+        flat = [pa.record_batch([c.flatten() for c in b.columns], ["lang", "phrase", "n"]) for b in batches]
+        held = pa.Table.from_batches(flat, pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])).combine_chunks()
         if not held.num_rows:
             return
         lang = held.column("lang").combine_chunks().dictionary_encode()
@@ -263,8 +305,9 @@ def range_counts(rows: DataFrame, min_count: int, longest: int) -> DataFrame:
         told = [(langs[words[p, 0] - 1], " ".join(vocabulary[w - 1] for w in words[p, 1:d]), t) for p, d, t in counts]
         yield pa.record_batch([pa.array([r[i] for r in told], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
 
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS + 1)
-    return rows.repartitionByRange(parts, "lang", "phrase", "task").select("lang", "phrase", "n").mapInArrow(run, "lang string, phrase string, n long")
+    total = rows.agg(F.sum(F.size("n"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS + 1)
+    return routed(rows, borders(rows, parts, total)).mapInArrow(run, "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:

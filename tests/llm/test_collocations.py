@@ -68,6 +68,7 @@ def told(df):
 @pytest.mark.parametrize(("seed", "min_count", "longest", "cover_pct", "top", "range_rows"), [(1, 3, 5, 100, 2000, 1 << 20), (2, 2, 5, 90, 7, 30), (3, 5, 3, 100, 2000, 10), (4, 300, 5, 100, 5, 40)])
 def test_equals_brute_force(spark, monkeypatch, seed, min_count, longest, cover_pct, top, range_rows):
     monkeypatch.setattr(col, "RANGE_ROWS", range_rows)  # so few rows a range that phrases reach over many of them
+    monkeypatch.setattr(col, "SPACING", 2)
     rows = made(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     found = col.collocations(df, min_count=min_count, longest=longest, cover_pct=cover_pct, top=top)
