@@ -15,6 +15,23 @@ from lineweave.functions import text as X
 from lineweave.functions import udfs as U
 
 ORDERS = 4
+#: Bytes of both sides whose n-grams are counted at a time: the arrays of a count take some hundred bytes for each of them.
+COUNTED = 1 << 18
+
+
+def pieces(batch: pa.RecordBatch, columns: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose rows have about `most` bytes in these columns (texts, lists of them), one row at least."""
+
+    def sizes(column: pa.Array) -> np.ndarray:
+        if not pa.types.is_list(column.type):
+            return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        return np.bincount(pc.list_parent_indices(column).to_numpy(zero_copy_only=False), sizes(pc.list_flatten(column)), len(column)).astype(np.int64)
+
+    share = np.cumsum(sum(sizes(batch.column(c)) for c in columns)) // most
+    ends = [*(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip([0, *ends], ends):
+        if hi > lo or not batch.num_rows:
+            yield batch.slice(lo, hi - lo)
 
 
 def _lists(column: pa.Array, chars: bool) -> tuple[pa.Array | np.ndarray, np.ndarray]:
@@ -72,7 +89,7 @@ def matches(rows: DataFrame, hyp: str, ref: str, orders: int, chars: bool = Fals
     at, to = rows.columns.index(hyp), rows.columns.index(ref)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, [at, to], COUNTED)):
             ref_ = batch.column(to)
             parents = pc.list_parent_indices(ref_).to_numpy() if many else None
             found = row_matches(batch.column(at), pc.list_flatten(ref_) if many else ref_, orders, chars, parents)

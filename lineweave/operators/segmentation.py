@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineweave.functions import text as X
+from lineweave.functions import udfs as U
 
 CROSSING, SENTENCE, WINDOW = -20, 5, 5
 PASSAGE = "struct<src: array<string>, trg: array<string>, links: array<struct<i: int, j: int>>, breaks: array<int>>"
@@ -165,17 +166,14 @@ def splits(links: Links, breaks: list[int], least: int = 15) -> list[tuple[int,
 
 
 def searched(search) -> Column:
-    """A pandas UDF that runs a search over the breaks of each passage: sequential by nature, so a passage is one row."""
+    """An Arrow UDF that runs a search over the breaks of each passage: sequential by nature, so a passage is one row."""
 
-    @F.pandas_udf("array<struct<at: int, to: int>>")
-    def run(passages: pd.DataFrame) -> pd.Series:
-        out = []
-        for src, trg, links, breaks in zip(passages["src"], passages["trg"], passages["links"], passages["breaks"], strict=True):
-            known = Links(list(src), list(trg), [(x["i"], x["j"]) for x in links])
-            out.append([{"at": int(a), "to": int(t)} for a, t in search(known, sorted(int(b) for b in breaks))])
-        return pd.Series(out)
+    def run(passage: dict) -> list[dict]:
+        known = Links(passage["src"], passage["trg"], [(x["i"], x["j"]) for x in passage["links"]])
+        return [{"at": int(a), "to": int(t)} for a, t in search(known, sorted(passage["breaks"]))]
 
-    return run(F.struct("src", "trg", F.col("links").cast("array<struct<i: int, j: int>>").alias("links"), "breaks"))
+    kind = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("to", T.IntegerType())]))
+    return U.mapped(run, kind)(F.struct("src", "trg", F.col("links").cast("array<struct<i: int, j: int>>").alias("links"), "breaks"))
 
 
 def place_breaks(passages: DataFrame) -> DataFrame:
