@@ -38,9 +38,12 @@ BUCKET_BITS, CHUNK_BITS = 24, 10
 RANGE_ROWS, SHARES = 1 << 18, 32
 #: Bytes of text whose words are held at a time.
 TEXT_BYTES = 1 << 20
-#: Suffixes of a task that are held to be summed up before they are sent; those in a run; runs show every SPACING-th suffix, and
-#: about SAMPLES of these at most tell the borders of ranges.
-MERGE_ROWS, RUN_ROWS, SPACING, SAMPLES = 1 << 16, 1 << 14, 64, 1 << 16
+#: Suffixes of a task that are held to be summed up before they are sent; runs show every SPACING-th suffix, and about SAMPLES
+#: of these at most tell the borders of ranges.
+MERGE_ROWS, SPACING, SAMPLES = 1 << 16, 64, 1 << 16
+#: Suffixes in a row of a run, and those that are routed at a time. Spark reads 4096 rows and Arrow takes 10,000 at once, however long they
+#: are, so a row is a few kilobytes.
+RUN_ROWS, ROUTED = 1 << 6, 1 << 14
 RUN = "lang array<string>, phrase array<string>, n array<long>"
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -195,10 +198,12 @@ def suffixes(docs: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame
 
 
 def run_of(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """The rows as lists of about `size`, one row each."""
-    for lo in range(0, part.num_rows, size):
-        own = part.slice(lo, size)
-        yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), c) for c in own.columns], part.schema.names)
+    """The rows as lists of about `size`, a row each; a batch for each stretch of ROUTED."""
+    most = max(size, ROUTED)
+    for lo in range(0, part.num_rows, most):
+        own = part.slice(lo, most)
+        offsets = pa.array([*range(0, own.num_rows, size), own.num_rows], pa.int32())
+        yield pa.record_batch([pa.ListArray.from_arrays(offsets, c) for c in own.columns], part.schema.names)
 
 
 def borders(runs: DataFrame, parts: int, total: int) -> list[tuple[str, str]]:
@@ -213,22 +218,23 @@ def borders(runs: DataFrame, parts: int, total: int) -> list[tuple[str, str]]:
 
 def routed(runs: DataFrame, cuts: list[tuple[str, str]]) -> DataFrame:
     """The runs cut at the borders, each piece in the task of its range."""
+    rows = max(1, ROUTED // RUN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                columns = [batch.column(c)[k].values for c in range(3)]
-                keys = list(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))
-                at = bisect_left(cuts, keys[0]) if keys else 0
-                at += at < len(cuts) and cuts[at] == keys[0]
-                lo = 0
-                while lo < len(keys):
-                    hi = bisect_left(keys, cuts[at], lo) if at < len(cuts) else len(keys)
-                    if hi > lo:
-                        piece = pa.record_batch([c.slice(lo, hi - lo) for c in columns], ["lang", "phrase", "n"])
-                        lists = next(run_of(piece, hi - lo))
-                        yield pa.record_batch([pa.array([at], pa.int32()), *lists.columns], ["part", "lang", "phrase", "n"])
-                    lo, at = hi, at + 1
+        for batch in (whole.slice(lo, rows) for whole in batches for lo in range(0, whole.num_rows, rows)):
+            flat = pa.record_batch([c.flatten() for c in batch.columns], batch.schema.names)
+            keys = list(zip(flat.column(0).to_pylist(), flat.column(1).to_pylist(), strict=True))
+            order = sorted(range(len(keys)), key=keys.__getitem__)  # rows that follow each other are in order but where a run begins
+            flat, keys = flat.take(pa.array(order, pa.int64())), [keys[k] for k in order]
+            at = bisect_left(cuts, keys[0]) if keys else 0
+            at += at < len(cuts) and bool(keys) and cuts[at] == keys[0]
+            lo = 0
+            while lo < len(keys):
+                hi = bisect_left(keys, cuts[at], lo) if at < len(cuts) else len(keys)
+                if hi > lo:
+                    lists = next(run_of(flat.slice(lo, hi - lo), hi - lo))
+                    yield pa.record_batch([pa.array([at], pa.int32()), *lists.columns], ["part", "lang", "phrase", "n"])
+                lo, at = hi, at + 1
 
     return runs.mapInArrow(run, f"part int, {RUN}").repartitionById(len(cuts) + 1, "part").select("lang", "phrase", "n")
 
