@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,33 +225,47 @@ def overlaps(rows: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by).agg(*(F.round(F.avg(c), 6).alias(c) for c in each.columns if c not in by))
 
 
-def gram_counts(rows: DataFrame, key: list[str], words: str, orders: int, out: str) -> DataFrame:
-    """(key, n, g, out): how often each n-gram stands in each row."""
+def reference_grams(rows: DataFrame, orders: int) -> DataFrame:
+    """(n, g, b, hit, begun): the n-grams of r, words behind each other with a sign between that ends each; how often they stand there, how
+    often h has them as well (clipped), and how many matches of n-grams one word longer begin with them. Equal ones of a few rows are one."""
 
-    def of(n: int) -> Column:
-        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.slice(words, i, n).alias("g")))
-
-    each = rows.select(*key, F.explode(F.flatten(F.array(*map(of, range(1, orders + 1))))).alias("x")).select(*key, "x.n", "x.g")
-    return each.groupBy(*key, "n", "g").agg(F.count("*").alias(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, [0, 1], COUNTED)):
+            sums: dict[tuple[str, ...], list[int]] = {}
+            for h, r in U.rows_of(tuple(batch.columns)):
+                grams = lambda x: Counter(tuple(x[i : i + n]) for n in range(1, orders + 1) for i in range(len(x) - n + 1))
+                mine = grams(h or [])
+                for g, b in grams(r or []).items():
+                    own = sums.setdefault(g, [0, 0, 0])
+                    own[0] += b
+                    if hit := min(b, mine[g]):
+                        own[1] += hit
+                        if len(g) > 1:
+                            sums.setdefault(g[:-1], [0, 0, 0])[2] += hit
+            keys = list(sums)
+            yield pa.record_batch([
+                pa.array([len(g) for g in keys], pa.int32()), pa.array(["".join(f"{w}\0" for w in g) for g in keys], pa.string()), *(pa.array([x[k] for x in sums.values()], pa.int64()) for k in range(3)),
+            ], ["n", "g", "b", "hit", "begun"])
+
+    return rows.mapInArrow(run, "n int, g string, b long, hit long, begun long")
 
 
 def nist(rows: DataFrame, key: list[str], orders: int = 5) -> DataFrame:
     """(nist): the corpus score of word arrays h and r.
 
     An n-gram's weight is log2 of how often its first n - 1 words stand in the references over how often it does
-    itself. Weights are of the whole corpus, so here n-grams are shuffled; counts are summed up before.
+    itself. So a match adds the log of its first words' count and takes off that of its own: each n-gram of a reference goes
+    with its count, its matches and those of the n-grams that it begins, which its row tells, and is shuffled once.
     """
-    ref, hyp = gram_counts(rows, key, "r", orders, "b"), gram_counts(rows, key, "h", orders, "a")
-    seen = ref.groupBy("n", "g").agg(F.sum("b").alias("seen"))
     words = rows.agg(F.sum(F.size("r")).alias("ref_len"), F.sum(F.size("h")).alias("sys_len"))
-    shorter = seen.select((F.col("n") + 1).alias("n"), F.col("g").alias("head"), F.col("seen").alias("before"))
-    weights = seen.withColumn("head", F.slice("g", 1, F.col("n") - 1)).join(shorter, ["n", "head"], "left").crossJoin(F.broadcast(words))  # one row
-    weights = weights.select("n", "g", F.log2(F.coalesce("before", "ref_len") / F.col("seen")).alias("w"))
-    hit = hyp.join(ref, [*key, "n", "g"]).groupBy("n", "g").agg(F.sum(F.least("a", "b")).alias("hit"))
-    gained = hit.join(weights, ["n", "g"]).groupBy("n").agg(F.sum(F.col("hit") * F.col("w")).alias("gain"))
-    shown = hyp.groupBy("n").agg(F.sum("a").alias("shown"))
-    score = shown.join(gained, "n", "left").agg(F.sum(F.coalesce(F.col("gain") / F.col("shown"), F.lit(0.0))).alias("score"))
+    told = reference_grams(rows.select("h", "r"), orders).groupBy("n", "g").agg(*(F.sum(c).alias(c) for c in ("b", "hit", "begun")))
+    log = F.log2("b")
+    sums = told.groupBy("n").agg(F.sum("hit").alias("hits"), F.sum(F.col("hit") * log).alias("own"), F.sum(F.col("begun") * log).alias("ahead"))
+    shown = rows.select(F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("n"), F.size("h").alias("size")).groupBy("n").agg(F.sum(F.greatest(F.col("size") - F.col("n") + 1, F.lit(0))).alias("shown"))
+    before = sums.select((F.col("n") + 1).alias("n"), "ahead")
+    each = shown.join(sums.drop("ahead"), "n", "left").join(before, "n", "left").crossJoin(F.broadcast(words))  # one row
+    gain = F.when(F.col("n") == 1, F.col("hits") * F.log2("ref_len")).otherwise(F.col("ahead")) - F.col("own")
+    score = each.agg(F.sum(F.coalesce(F.try_divide(gain, F.col("shown")), F.lit(0.0))).alias("score"))
     ratio = F.least(F.col("sys_len") / F.col("ref_len"), F.lit(1.0))
     penalty = F.exp(F.ln(F.lit(0.5)) / F.pow(F.ln(F.lit(1.5)), 2) * F.pow(F.ln(ratio), 2))  # 0.5 at two thirds of the length
     return score.crossJoin(F.broadcast(words)).select(F.round(F.col("score") * penalty, 4).alias("nist"))
