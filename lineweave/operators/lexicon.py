@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lineweave.session import written
 
 FLOOR = 1e-9
+#: Links of a task, on average, where links are counted one by one.
+LINKS = 1 << 20
 
 
 def build(links: DataFrame) -> DataFrame:
@@ -161,7 +163,13 @@ def alignment_metrics(system: DataFrame, gold: DataFrame, key: list[str], by: li
 
 
 def majority_links(runs: DataFrame, key: list[str], n_runs: int) -> DataFrame:
-    """Links that over half of the runs hold; runs: run, key, i, j."""
+    """Links that over half of the runs hold; runs: run, key, i, j.
+
+    Links are hardly ever equal within a task, so sums before the shuffle would only hold all of them: they are dealt by
+    sentence, LINKS to a task, and summed up there.
+    """
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs.count() // LINKS + 1)
+    runs = runs.repartition(parts, *key)
     return runs.groupBy(*key, "i", "j").agg(F.count_distinct("run").alias("n")).filter(F.col("n") * 2 > n_runs).select(*key, "i", "j")
 
 
