@@ -48,6 +48,13 @@ def tokens(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return own.select(*key, F.explode(F.transform("w", step)).alias("t")).select(*key, "t.*")
 
 
+def counted(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, stop, n): how many tokens of all texts are written alike. What stands between white space is counted as it is, so only
+    distinct writings are taken apart."""
+    raw = texts.select(F.explode(X.tokens(text)).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    return raw.select(F.get(words_of("raw"), 0).alias("w"), "n").select("w.kind", "w.stop", "n")
+
+
 def log_of(p: Column) -> Column:
     return F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300)))
 
@@ -58,12 +65,15 @@ def likelihood(k: Column, n: Column, p: Column) -> Column:
 
 
 def abbreviation_scores(toks: DataFrame) -> DataFrame:
-    """(kind, with_period, without, score): how strongly a type is bound to its period.
+    """(kind, with_period, without, score): how strongly a type is bound to its period. toks: kind, stop, and where rows stand for
+    several tokens n.
 
     The ratio is that of a period by chance (its share of all tokens) against CERTAIN; it is scaled by 1 / e**length, by the periods
     (inner ones and one more) and by 1 / length**without, length being the characters that are no periods.
     """
-    types = toks.groupBy("kind").agg(F.count_if(F.col("stop") == ".").alias("with_period"), F.count_if(F.col("stop") != ".").alias("without"))
+    n = F.col("n") if "n" in toks.columns else F.lit(1).cast("long")
+    many = lambda c: F.sum(F.when(c, n).otherwise(0))
+    types = toks.groupBy("kind").agg(many(F.col("stop") == ".").alias("with_period"), many(F.col("stop") != ".").alias("without"))
     sums = types.agg(F.sum("with_period").alias("_stops"), F.sum(F.col("with_period") + F.col("without")).alias("_all"))
     rows = types.filter("with_period > 0").crossJoin(F.broadcast(sums))  # one row
     n, k = (F.col("with_period") + F.col("without")).cast("double"), F.col("with_period").cast("double")

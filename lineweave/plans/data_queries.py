@@ -205,9 +205,10 @@ def versification(spark, d):
 
 @query("SELECT candidate, parallel, score FROM (SELECT CASE WHEN s_nationkey = 3 THEN c_nationkey ELSE s_nationkey END AS candidate, max(parallel) AS parallel, max(score) AS score FROM (SELECT s_nationkey, c_nationkey, count(*)::BIGINT AS parallel, max(c_custkey)::DOUBLE AS score FROM supplier, customer WHERE s_suppkey % 7 = c_custkey % 7 GROUP BY ALL) WHERE 3 IN (s_nationkey, c_nationkey) GROUP BY 1) WHERE parallel >= 2 AND score >= 50")
 def candidate_selection(spark, d):
-    supplier = load(spark, d, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") % 7).alias("m"))
-    customer = load(spark, d, "customer").select(F.col("c_nationkey").alias("trg"), (F.col("c_custkey") % 7).alias("m"), "c_custkey")
-    stats = supplier.join(customer, "m").groupBy("src", "trg").agg(F.count("*").alias("parallel"), F.max("c_custkey").cast("double").alias("score"))
+    # rows that meet are counted on either side first, so a pair of groups meets once and not a row for each pair of its rows
+    supplier = load(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") % 7).alias("m")).agg(F.count("*").alias("_a"))
+    customer = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("trg"), (F.col("c_custkey") % 7).alias("m")).agg(F.count("*").alias("_b"), F.max("c_custkey").alias("_top"))
+    stats = supplier.join(customer, "m").groupBy("src", "trg").agg(F.sum(F.col("_a") * F.col("_b")).alias("parallel"), F.max("_top").cast("double").alias("score"))
     return D.select_candidates(stats, 3, 2, 50.0)
 
 
@@ -272,7 +273,7 @@ WHERE ratio * exp(-size) * (length(kind) - size + 1) * pow(greatest(size, 1), -w
 )
 def abbreviations(spark, d):
     """Types whose period is their own, over whole documents."""
-    found = N.abbreviation_scores(N.tokens(load(spark, d, "documents"), ["doc_id"]))
+    found = N.abbreviation_scores(N.counted(load(spark, d, "documents")))
     return found.filter(F.col("score") >= N.ABBREVIATION).withColumn("score", F.round("score", 3))
 
 
