@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +47,58 @@ def break_score(at: Column, to: Column) -> Column:
     return score.cast("bigint")
 
 
+def scores_before(at: int | None, m: int, i: np.ndarray, j: np.ndarray, alike: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """`break_score` of the breaks before source word `at` and each target word from 1 to m - 1. i, j: the links; alike: the marks of
+    both sides that count 5 each where both have them, and how far from the break they are looked for."""
+    if at is None:
+        return np.zeros(m - 1, np.int64)
+    before = lambda own: np.cumsum(np.bincount(np.clip(own, 0, m), minlength=m + 1))[: m - 1]  # noqa: E731  of links, those before each place
+    score = CROSSING * ((i < at).sum() + before(j) - 2 * before(j[i < at]))
+    near = j[np.abs(i - at) <= WINDOW]
+    for d in range(-WINDOW, WINDOW + 1):
+        to = near - d
+        score += abs(d) * np.bincount(to[(to >= 1) & (to < m)], minlength=m)[1:m]
+    for d, src, trg in alike:
+        if 0 <= at + d < len(src) and src[at + d]:
+            to = np.arange(1, m) + d
+            score += SENTENCE * (trg[np.minimum(to, len(trg) - 1)] & (to < len(trg)))
+    return score
+
+
 def break_scores(passages: DataFrame) -> DataFrame:
     """(passage, at, to, score) of each candidate break (V02): all pairs of a verse start and a place in the target.
 
     passages: passage, src and trg (words), links (i, j), breaks (source places of verse starts). A passage is scored within
-    its row; only the scores are rows of their own.
+    its row, all places of a break at once, by sums over the links before them; only the scores are rows of their own.
     """
-    cell = lambda at: lambda to: F.struct(at.alias("at"), to.alias("to"), break_score(at, to).alias("score"))
-    grid = F.flatten(F.transform("breaks", lambda at: F.transform(F.sequence(F.lit(1), F.size("trg") - 1), cell(at))))
-    return passages.filter(F.size("trg") > 1).select("passage", F.explode(grid).alias("b")).select("passage", "b.*")
+    bare = lambda side: F.transform(side, lambda w: F.coalesce(~X.contains_letter(w), F.lit(False)))
+    capital = lambda side: F.transform(side, lambda w: F.coalesce(X.starts_with_capital(w), F.lit(False)))
+    ends = F.coalesce("links", F.array().cast("array<struct<i: int, j: int>>"))
+    place = lambda k: F.transform(ends, lambda x: x[k].cast("int"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<boolean>"))
+    rows = passages.filter((F.size("trg") > 1) & (F.size("breaks") > 0)).select(
+        "passage", F.transform("breaks", lambda b: b.cast("int")).alias("breaks"), place("i").alias("i"), place("j").alias("j"),
+        none(bare("src")).alias("sb"), bare("trg").alias("tb"), none(capital("src")).alias("sc"), capital("trg").alias("tc"),
+    )
+    kind = passages.schema["passage"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(lo, U.HELD) for whole in batches for lo in range(0, whole.num_rows, U.HELD)):
+            own, ats, tos, scores = [], [], [], []
+            for k, (breaks, *rest) in enumerate(U.rows_of(tuple(batch.columns[1:]))):
+                i, j = (np.array(x, np.int64) for x in rest[:2])
+                sb, tb, sc, tc = (np.array(x, bool) for x in rest[2:])
+                m = len(tb)
+                for at in breaks:
+                    scores.append(scores_before(at, m, i, j, [(-1, sb, tb), (1, sb, tb), (1, sc, tc)]))
+                own += [np.full(len(breaks) * (m - 1), k)]
+                ats += [at for at in breaks for _ in range(m - 1)]
+                tos += [np.tile(np.arange(1, m), len(breaks))]
+            yield pa.record_batch([
+                batch.column(0).take(pa.array(np.concatenate(own))), pa.array(ats, pa.int32()), pa.array(np.concatenate(tos), pa.int32()), pa.array(np.concatenate(scores), pa.int64()),
+            ], ["passage", "at", "to", "score"])
+
+    return rows.mapInArrow(run, f"passage {kind}, at int, to int, score long")
 
 
 def has_letter(word: str) -> bool:
