@@ -459,10 +459,17 @@ def alignment_experiment(spark, d):
     return found.withColumns({c: F.round(c, 6) for c in ("precision_at_3", "recall_at_3", "f_at_3")})
 
 
+def shifted(spark, d):
+    """drafts with some of their words moved, dealt to all cores: a row is long in work and short in bytes, so Spark's sizes of partitions
+    would leave all rows to a few tasks."""
+    rows = drafts(spark, d).select(*KEY, S.permute_tokens(F.col("h"), 2, "shift", F.col("conv_id"), F.col("turn")).alias("h"), "r")
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *KEY)
+
+
 @query()
 def ter(spark, d):
     """TER per conversation: edits with shifts over reference words; whole replies, one row each."""
-    moved = drafts(spark, d).select(*KEY, S.permute_tokens(F.col("h"), 2, "shift", F.col("conv_id"), F.col("turn")).alias("h"), "r")
+    moved = shifted(spark, d)
     edits = moved.select("conv_id", U.ter_edit_count("h", "r").alias("e"), F.size("r").alias("n"))
     return edits.groupBy("conv_id").agg(F.round(100.0 * F.sum("e") / F.sum("n"), 4).alias("ter"))
 
@@ -487,5 +494,5 @@ def corpus_tokenise(spark, d):
 @query()
 def meteor(spark, d):
     """METEOR of each draft against its reply, and its mean by conversation."""
-    moved = drafts(spark, d).select(*KEY, S.permute_tokens(F.col("h"), 2, "shift", F.col("conv_id"), F.col("turn")).alias("h"), "r")
+    moved = shifted(spark, d)
     return moved.select("conv_id", "turn", F.round(E.meteor(F.col("h"), F.col("r")), 6).alias("meteor"))

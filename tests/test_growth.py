@@ -86,3 +86,10 @@ def test_break_scores_equal_each_break_by_itself(spark):
     each = passages.select("*", F.explode("breaks").alias("at")).select("*", F.explode(F.sequence(F.lit(1), F.size("trg") - 1)).alias("to"))
     want = Counter(tuple(r) for r in each.select("passage", "at", "to", G.break_score(F.col("at"), F.col("to")).alias("score")).collect())
     assert Counter(tuple(r) for r in G.break_scores(passages).collect()) == want and len(want) > 500
+
+
+def test_rows_that_are_long_in_work_are_dealt_to_all_cores(spark):
+    from lineweave.plans.metric_queries import shifted
+
+    rows = shifted(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
