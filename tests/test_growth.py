@@ -93,3 +93,29 @@ def test_rows_that_are_long_in_work_are_dealt_to_all_cores(spark):
 
     rows = shifted(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_ibm1_writes_a_pair_of_words_once_a_block(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(L, "HELD", 40)
+    draw = random.Random(4)
+    rows = [(k, [draw.choice("abcd") for _ in range(draw.randrange(6))], [draw.choice("wxyz") for _ in range(draw.randrange(6))]) for k in range(60)] + [(90, None, ["w"]), (91, ["a"], None)]
+    written, kept = L.written, {}
+    monkeypatch.setattr(L, "written", lambda df, name: kept.setdefault(name, written(df, name)) if name == "cells" else written(df, name))
+    got = {(r.src, r.trg): r.prob for r in L.ibm1(spark.createDataFrame(rows, "k int, src array<string>, trg array<string>"), ["k"], 3).collect()}
+    pairs = [(["NULL", *s], t) for _, s, t in rows if s is not None and t]
+    table = {(a, b): 1 / 4 for s, t in pairs for a in s for b in t}
+    for _ in range(3):
+        counts = Counter()
+        for s, t in pairs:
+            for b in t:
+                for a in s:
+                    counts[a, b] += table[a, b] / sum(table[x, b] for x in s)
+        sums = Counter()
+        for (a, _), n in counts.items():
+            sums[a] += n
+        table = {(a, b): n / sums[a] for (a, b), n in counts.items()}
+    assert got.keys() == table.keys() and all(math.isclose(got[c], table[c], rel_tol=1e-9) for c in table)
+    cells = kept["cells"].groupBy("block", "src", "trg").count()
+    assert cells.filter("count > 1").count() == 0 and kept["cells"].count() < sum(len(set(s)) * len(set(t)) for s, t in pairs)
