@@ -119,3 +119,22 @@ def test_ibm1_writes_a_pair_of_words_once_a_block(spark, monkeypatch):
     assert got.keys() == table.keys() and all(math.isclose(got[c], table[c], rel_tol=1e-9) for c in table)
     cells = kept["cells"].groupBy("block", "src", "trg").count()
     assert cells.filter("count > 1").count() == 0 and kept["cells"].count() < sum(len(set(s)) * len(set(t)) for s, t in pairs)
+
+
+def test_rounds_of_aligners_shuffle_lists_of_distinct_pairs(spark, monkeypatch):
+    from lineweave.operators import aligners as al
+    from lineweave.operators import blocks as B
+
+    monkeypatch.setattr(B, "HELD", 200)
+    draw = random.Random(8)
+    rows = [(k, [draw.choice("abcde") for _ in range(draw.randrange(6))], [draw.choice("vwxyz") for _ in range(draw.randrange(6))]) for k in range(120)]
+    sents, tasks = B.dealt(spark.createDataFrame(rows, "k int, s array<string>, t array<string>"), ["k"], ["k"])
+    cells = B.numbered(sents)
+    blocks = sents.select("block").distinct().count()
+    count = lambda prob: (prob, prob.sum(keepdims=True).ravel())
+    told = al.expected(sents, cells.select("block", "place", "pair", F.lit(1.0).alias("n")), tasks, lambda cells, n: n[: cells.sources], count)
+    want = Counter((a, b) for _, s, t in rows for a in ["NULL", *s] for b in t)
+    assert {(r.src, r.trg): r.n for r in al.counted(cells, told).filter("trg IS NOT NULL").collect()} == want
+    assert blocks > 1 and told.count() <= blocks * (tasks + 1) < sum(want.values()) and al.summed(told)[0] == sum(want.values())
+    sums = B.unpacked(B.met(told)).distinct().collect()
+    assert len({r.pair for r in sums}) == len(sums) and sum(r.n for r in sums) == 2 * sum(want.values())
