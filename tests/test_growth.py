@@ -138,3 +138,28 @@ def test_rounds_of_aligners_shuffle_lists_of_distinct_pairs(spark, monkeypatch):
     assert blocks > 1 and told.count() <= blocks * (tasks + 1) < sum(want.values()) and al.summed(told)[0] == sum(want.values())
     sums = B.unpacked(B.met(told)).distinct().collect()
     assert len({r.pair for r in sums}) == len(sums) and sum(r.n for r in sums) == 2 * sum(want.values())
+
+
+def test_orders_meet_shared_pairs_once_before_the_search(spark, monkeypatch):
+    from lineweave.operators import blocks as B
+    from lineweave.operators import orders as O
+
+    monkeypatch.setattr(O, "HELD", 100)
+    draw = random.Random(6)
+    rows = []
+    for k in range(90):
+        own, book = f"own{k % 3}", "ABC"[k % 3]
+        rows.append((k, book, ["NULL", *(draw.choice(["a", "b", "c", own]) for _ in range(draw.randrange(1, 6)))], [draw.choice(["x", "y", own]) for _ in range(draw.randrange(1, 9))]))
+    sents, books, blocks = O.dealt(O.shared(spark.createDataFrame(rows, "at long, book string, s array<string>, t array<string>")))
+    numbers = {n for r in sents.collect() for n in [*r.s, *r.t]}
+    assert books == ["A", "B", "C"] and blocks > 6 and numbers == set(range(1, 7))  # a, b, c, NULL, x, y
+    lists, cells = O.told(sents, blocks), sum(len(s) * len(t) for _, _, s, t in rows)
+    told = lists.toArrow()
+    assert told.num_rows <= blocks * blocks and len(B.values(told, "pair")) < cells / 2
+    known = O.met(lists, 3).toArrow()
+    held = {(p >> O.BITS, p & (1 << O.BITS) - 1) for p in B.values(known, "pair").tolist()}
+    assert len(held) <= 4 * (2 + 1)  # pairs of shared words, and the sum of each source word
+    known = spark.createDataFrame(known.to_pandas(), "block long, pair binary, book binary, n binary")
+    plan = O.wider(sents, known, 2 * blocks, books, [["A"], ["B"]])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
