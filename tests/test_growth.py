@@ -162,4 +162,3 @@ def test_orders_meet_shared_pairs_once_before_the_search(spark, monkeypatch):
     known = spark.createDataFrame(known.to_pandas(), "block long, pair binary, book binary, n binary")
     plan = O.wider(sents, known, 2 * blocks, books, [["A"], ["B"]])._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
-
