@@ -17,18 +17,23 @@ from lineweave.functions import udfs as U
 
 ORDERS = 4
 #: Bytes of both sides whose n-grams are counted at a time: the arrays of a count take some hundred bytes for each of them.
-COUNTED = 1 << 18
+COUNTED = 1 << 16
 
 
-def pieces(batch: pa.RecordBatch, columns: list[int], most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose rows have about `most` bytes in these columns (texts, lists of them), one row at least."""
+def bounds(column: pa.Array) -> np.ndarray:
+    """Where each row's bytes begin, and where the last one's end; a text of a list counts one more. Only offsets are read: a batch has millions of words."""
+    if pa.types.is_list(column.type):
+        at = column.offsets.to_numpy()
+        return bounds(column.values)[at].astype(np.int64) + (0 if pa.types.is_list(column.values.type) else at)
+    if not len(column):
+        return np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
 
-    def sizes(column: pa.Array) -> np.ndarray:
-        if not pa.types.is_list(column.type):
-            return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        return np.bincount(pc.list_parent_indices(column).to_numpy(zero_copy_only=False), sizes(pc.list_flatten(column)), len(column)).astype(np.int64)
 
-    share = np.cumsum(sum(sizes(batch.column(c)) for c in columns)) // most
+def pieces(batch: pa.RecordBatch, columns: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose rows have about `most` bytes in these columns (texts, lists of them), one row at least."""
+    share = (1 + sum(np.diff(bounds(batch.column(c))).astype(np.int64) for c in columns)).cumsum() // most
     ends = [*(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), batch.num_rows]
     for lo, hi in zip([0, *ends], ends):
         if hi > lo or not batch.num_rows:
@@ -79,25 +84,33 @@ def row_matches(hyp: pa.Array, ref: pa.Array, orders: int, chars: bool, parents:
     return out
 
 
-def matches(rows: DataFrame, hyp: str, ref: str, orders: int, chars: bool = False, many: bool = False) -> DataFrame:
-    """rows and hit, hyp_n, ref_n (arrays by order): clipped matches and n-grams of both sides of each row.
+def matches(rows: DataFrame, *sides: tuple[str, str, int, bool], many: bool = False) -> DataFrame:
+    """rows without the columns of sides, and hit, hyp_n, ref_n (arrays by order, of one of sides after the other): clipped matches and n-grams of both sides of each row.
 
-    hyp and ref are columns of word lists, or with chars of texts; with many, ref is a list of such references. Both sides of a row are at hand, so nothing is
-    shuffled; what is summed up afterwards is three numbers a row and order.
+    sides: (hyp, ref, orders, chars), columns of word lists, or with chars of texts; with many, ref is a list of such references. Both sides of a row are at
+    hand, so nothing is shuffled; what is summed up afterwards is three numbers a row and order. Texts and words go to Python and not back.
     """
     names = ("hit", "hyp_n", "ref_n")
-    schema = StructType([*rows.schema.fields, *(StructField(n, ArrayType(LongType())) for n in names)])
-    at, to = rows.columns.index(hyp), rows.columns.index(ref)
+    texts = [c for hyp, ref, _, _ in sides for c in (hyp, ref)]
+    rest = [f for f in rows.schema.fields if f.name not in texts]
+    schema = StructType([*rest, *(StructField(n, ArrayType(LongType())) for n in names)])
+
+    def counted(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for k, (_, _, orders, chars) in enumerate(sides):
+            ref = piece.column(2 * k + 1)
+            parents = pc.list_parent_indices(ref).to_numpy() if many else None
+            found.append(row_matches(piece.column(2 * k), pc.list_flatten(ref) if many else ref, orders, chars, parents))
+        whole = np.concatenate(found, axis=2)
+        offsets = pa.array(np.arange(0, (piece.num_rows + 1) * whole.shape[2], whole.shape[2], dtype=np.int32))
+        return pa.record_batch([*piece.columns[len(texts) :], *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in whole)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole, [at, to], COUNTED)):
-            ref_ = batch.column(to)
-            parents = pc.list_parent_indices(ref_).to_numpy() if many else None
-            found = row_matches(batch.column(at), pc.list_flatten(ref_) if many else ref_, orders, chars, parents)
-            offsets = pa.array(np.arange(0, (batch.num_rows + 1) * orders, orders, dtype=np.int32))
-            yield pa.record_batch([*batch.columns, *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in found)], [*batch.schema.names, *names])
+        for batch in batches:
+            yield from map(counted, pieces(batch, list(range(len(texts))), COUNTED))
+            del batch  # before the next one is read
 
-    return rows.mapInArrow(run, schema)
+    return rows.select(*texts, *(f.name for f in rest)).mapInArrow(run, schema)
 
 
 def total(column: str, n: int) -> Column:
@@ -114,10 +127,10 @@ def bleu_sums(rows: DataFrame, many: bool) -> tuple[DataFrame, list[Column]]:
     """The rows' matches, and the sums that `bleu_of` wants of them."""
     if many:
         rows = rows.withColumn("r", F.filter(F.coalesce("r", F.array().cast("array<array<string>>")), lambda r: r.isNotNull()))
-    length = closest("h", "r") if many else F.size("r")
-    sums = [F.sum(F.size("h")).alias("sys_len"), F.sum(length).alias("ref_len")]
+    rows = rows.withColumns({"_h": F.size("h"), "_r": closest("h", "r") if many else F.size("r")})
+    sums = [F.sum("_h").alias("sys_len"), F.sum("_r").alias("ref_len")]
     sums += [total(c, n).alias(f"{n}_{c}") for n in range(1, ORDERS + 1) for c in ("hit", "hyp_n")]
-    return matches(rows, "h", "r", ORDERS, many=many), sums
+    return matches(rows, ("h", "r", ORDERS, False), many=many), sums
 
 
 def bleu_report(rows: DataFrame, columns: list[str], sets: list[list[str]], many: bool = False) -> DataFrame:
@@ -164,9 +177,7 @@ def bleu_by_draft(rows: DataFrame, draft: str) -> DataFrame:
 
     A row without a draft text counts as an empty one.
     """
-    sums = [F.sum(F.size("h")).alias("sys_len"), F.sum(F.size("r")).alias("ref_len")]
-    sums += [total(c, n).alias(f"{n}_{c}") for n in range(1, ORDERS + 1) for c in ("hit", "hyp_n")]
-    found = matches(rows.select(draft, F.coalesce("h", F.array().cast("array<string>")).alias("h"), "r"), "h", "r", ORDERS)
+    found, sums = bleu_sums(rows.select(draft, F.coalesce("h", F.array().cast("array<string>")).alias("h"), "r"), False)
     return bleu_of(found.cube(draft).agg(*sums), [draft], False)
 
 
@@ -186,11 +197,10 @@ def chrf(rows: DataFrame, by: list[str], word_order: int = 0, beta: float = 3.0,
     orders both sides have. With words: the mean over all orders of each order's own F.
     """
     squeeze = lambda c: F.regexp_replace(c, X.BLANK, "")
-    found = matches(rows.select(*by, "hyp", "ref", squeeze("hyp").alias("h"), squeeze("ref").alias("r")), "h", "r", orders, True)
-    if word_order:
-        apart = lambda c: X.tokens(F.regexp_replace(c, f"({X.PUNCT})", " $1 "))
-        first = found.select(*by, *(F.col(c).alias(f"_{c}") for c in ("hit", "hyp_n", "ref_n")), apart("hyp").alias("h"), apart("ref").alias("r"))
-        found = matches(first, "h", "r", word_order).select(*by, *(F.concat(f"_{c}", c).alias(c) for c in ("hit", "hyp_n", "ref_n")))
+    apart = lambda c: X.tokens(F.regexp_replace(c, f"({X.PUNCT})", " $1 "))
+    sides = [("h", "r", orders, True), ("hw", "rw", word_order, False)][: 1 + bool(word_order)]
+    words = [apart("hyp").alias("hw"), apart("ref").alias("rw")] if word_order else []
+    found = matches(rows.select(*by, squeeze("hyp").alias("h"), squeeze("ref").alias("r"), *words), *sides)
     n = orders + word_order
     sums = found.groupBy(*by).agg(*(total(c, k).alias(f"{c}{k}") for k in range(1, n + 1) for c in ("hit", "hyp_n", "ref_n")))
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
@@ -208,19 +218,22 @@ def chrf(rows: DataFrame, by: list[str], word_order: int = 0, beta: float = 3.0,
 def overlaps(rows: DataFrame, by: list[str]) -> DataFrame:
     """Mean per group of sentence scores of word arrays h and r (E06): GLEU, F of ROUGE-1, -2 and -L, and precision and
     recall of the sets of words. A score without anything to divide by is 0."""
-    found = matches(rows.select(*by, "h", "r"), "h", "r", ORDERS)
     add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     rouge = lambda hit, a, b: share(2 * hit, a + b)  # noqa: E731  F of hit / a and hit / b
     at = lambda c, k: F.get(c, k)
     sets = F.size(F.array_intersect("h", "r"))
+    whole = {
+        "rouge_l": rouge(U.common_subsequence("h", "r"), F.size("h"), F.size("r")),
+        "set_precision": share(sets, F.size(F.array_distinct("h"))),
+        "set_recall": share(sets, F.size(F.array_distinct("r"))),
+    }
+    found = matches(rows.select(*by, "h", "r", *(c.alias(n) for n, c in whole.items())), ("h", "r", ORDERS, False))
     each = found.select(
         *by,
         share(add("hit"), F.greatest(add("hyp_n"), add("ref_n"))).alias("gleu"),
         *(rouge(at("hit", k), at("hyp_n", k), at("ref_n", k)).alias(f"rouge{k + 1}") for k in (0, 1)),
-        rouge(U.common_subsequence("h", "r"), F.size("h"), F.size("r")).alias("rouge_l"),
-        share(sets, F.size(F.array_distinct("h"))).alias("set_precision"),
-        share(sets, F.size(F.array_distinct("r"))).alias("set_recall"),
+        *whole,
     )
     return each.groupBy(*by).agg(*(F.round(F.avg(c), 6).alias(c) for c in each.columns if c not in by))
 

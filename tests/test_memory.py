@@ -28,6 +28,29 @@ def test_matches_are_counted_by_pieces_of_bounded_size():
     assert [p.num_rows for p in MT.pieces(pa.record_batch([words[0][:0], many[:0]], ["h", "r"]), [0, 1], 64)] == [0]
 
 
+def test_sizes_of_rows_are_read_from_offsets():
+    """A batch of 10,000 rows has millions of words: nothing that has an item for each of them is made before rows are parted."""
+    import tracemalloc
+
+    words = pa.array([["word"] * 300 for _ in range(2000)], pa.list_(pa.string()))
+    many = pa.ListArray.from_arrays(pa.array(range(0, 2001, 2), pa.int32()), words)
+    batch = pa.record_batch([words[:1000], many], ["h", "r"])
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    first = next(MT.pieces(batch, [0, 1], 1 << 16))
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20 and pa.total_allocated_bytes() - held < 1 << 20  # 900,000 words
+    tracemalloc.stop()
+    assert 10 < first.num_rows < 20
+    sliced = batch.slice(500, 100)
+    assert MT.bounds(sliced.column(1))[[0, 1]].tolist() == [1000 * 300 * 5, 1002 * 300 * 5]
+
+
+def test_texts_do_not_come_back_from_python(spark):
+    rows = spark.createDataFrame([(1, "a b".split(), ["a"]), (2, None, ["b"])], "k int, h array<string>, r array<string>")
+    found = MT.matches(rows, ("h", "r", 2, False))
+    assert found.columns == ["k", "hit", "hyp_n", "ref_n"] and sorted(found.collect())[0] == (1, [1, 0], [2, 1], [1, 0])
+
+
 def test_few_rows_are_python_objects_at_a_time(spark):
     class Column:
         """Tells how many rows are asked for at once."""
