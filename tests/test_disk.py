@@ -55,3 +55,19 @@ def test_rounds_of_aligners_replace_each_other(spark, monkeypatch):
     made.clear()
     al.eflomal(rows, ["k"], (1, 1, 3)).count()
     assert not any("marginals" in x.columns for _, x in made)
+
+
+def test_rounds_of_ibm1_tell_sums_of_source_words_alone(spark, monkeypatch):
+    from lineweave.operators import lexicon as L
+
+    made = []
+    monkeypatch.setattr(L, "HELD", 60)
+    monkeypatch.setattr(L, "written", lambda df, name: made.append((name, (out := S.written(df, name)), out.count(), sorted(out.columns))) or out)
+    draw = random.Random(3)
+    rows = [(k, [draw.choice("abcdef") for _ in range(5)], [draw.choice("uvwxyz") for _ in range(5)]) for k in range(60)]
+    table = L.ibm1(spark.createDataFrame(rows, "k int, src array<string>, trg array<string>"), ["k"], 3)
+    assert table.count() == len({(a, b) for _, s, t in rows for a in [*s, "NULL"] for b in t})
+    blocks = next(n for name, _, n, _ in made if name == "cells")
+    assert blocks > 1 and [name for name, *_ in made] == ["sentences", "cells", *["told", "sums"] * 3]
+    assert all(n <= blocks * 7 and "trg" not in columns for name, _, n, columns in made if name in ("told", "sums"))
+    assert not any(files_of(x) for name, x, *_ in made if name in ("sentences", "told"))
