@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import meteor as E
@@ -494,5 +495,6 @@ def corpus_tokenise(spark, d):
 @query()
 def meteor(spark, d):
     """METEOR of each draft against its reply, and its mean by conversation."""
-    moved = shifted(spark, d)
-    return moved.select("conv_id", "turn", F.round(E.meteor(F.col("h"), F.col("r")), 6).alias("meteor"))
+    scored = shifted(spark, d).select("conv_id", "turn", E.meteor(F.col("h"), F.col("r")).alias("m"))
+    mean = F.avg("m").over(Window.partitionBy("conv_id"))  # a conversation's replies are few, and no text goes with them
+    return scored.select("conv_id", "turn", F.round("m", 6).alias("meteor"), F.round(mean, 6).alias("conv_meteor"))
