@@ -71,3 +71,19 @@ def test_rounds_of_ibm1_tell_sums_of_source_words_alone(spark, monkeypatch):
     assert blocks > 1 and [name for name, *_ in made] == ["sentences", "cells", *["told", "sums"] * 3]
     assert all(n <= blocks * 7 and "trg" not in columns for name, _, n, columns in made if name in ("told", "sums"))
     assert not any(files_of(x) for name, x, *_ in made if name in ("sentences", "told"))
+
+
+def test_known_counts_of_book_orders_are_squeezed(spark):
+    from lineweave.operators import orders as O
+
+    draw = random.Random(6)
+    rows = [(k, "ABC"[k % 3], ["NULL", *(f"w{draw.randrange(60)}" for _ in range(8))], [f"x{draw.randrange(60)}" for _ in range(8)]) for k in range(150)]
+    sents, books, blocks = O.dealt(O.shared(spark.createDataFrame(rows, "at long, book string, s array<string>, t array<string>")))
+    plain = O.met(O.told(sents, blocks), len(books))
+    lists = {}
+    for kind, table in (("plain", plain), ("squeezed", O.squeezed(O.met(O.squeezed(O.told(sents, blocks)), len(books))))):
+        found = table.toArrow()
+        lists[kind] = sorted(zip(found.column("block").to_pylist(), *([x.tolist() for x in O.numbers(found, c)] for c in ("pair", "book", "n"))))
+        lists[kind, "bytes"] = sum(len(x) for c in ("pair", "book", "n") for x in found.column(c).to_pylist())
+    assert lists["plain"] == lists["squeezed"] and lists["squeezed", "bytes"] < lists["plain", "bytes"] / 2
+    assert O.squeezed(plain.limit(0)).count() == 0
